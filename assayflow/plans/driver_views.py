@@ -342,4 +342,5 @@ def duck_sql(body: str, *views: str, ctes: str = "") -> str:
     if ctes:
         parts.append(ctes.strip().rstrip(","))
     head = "WITH " + ",\n".join(parts) + "\n" if parts else ""
-    return head + body.strip()
+    text = body.strip()
+    return "WITH" + text[1:] if not parts and text.startswith(",") else head + text

@@ -187,8 +187,10 @@ def _(v: DriverViews):
 @query(
     "c02_cost",
     duck_sql(
-        """SELECT call_id, round_even((input_tokens * r[1] + cache_write_tokens * r[1] * 1.25 + cache_read_tokens * r[3] + output_tokens * r[2])
-                  * CASE WHEN batch THEN 0.5 ELSE 1.0 END / 1000000.0, 6)::DOUBLE AS cost_usd FROM rated""",
+        """SELECT call_id, (n // 20000 + CASE WHEN n % 20000 > 10000 OR (n % 20000 = 10000 AND (n // 20000) % 2 = 1) THEN 1 ELSE 0 END) / 1000000.0::DOUBLE AS cost_usd
+           FROM (SELECT call_id, (input_tokens * R1 * 100 + cache_write_tokens * R1 * 125 + cache_read_tokens * R3 * 100 + output_tokens * R2 * 100)
+                        * CASE WHEN batch THEN 1 ELSE 2 END AS n
+                 FROM (SELECT *, CAST(r[1] * 100 AS BIGINT) AS R1, CAST(r[2] * 100 AS BIGINT) AS R2, CAST(r[3] * 100 AS BIGINT) AS R3 FROM rated))""",
         "ledger", ctes=_RATES,
     ),
 )
@@ -351,12 +353,21 @@ pairs AS (SELECT DISTINCT a.alert_id, f.event_id, f.project_id, f.event_type, f.
             AND NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.alert_id = a.alert_id AND d.event_id = f.event_id AND d.channel = 'email'))"""
 
 
-@query("a02_pending", duck_sql("SELECT alert_id, event_id, event_type, event_date FROM pairs", *_WATCH_VIEWS, ctes=_PENDING))
+@query(
+    "a02_pending",
+    duck_sql("SELECT alert_id, event_id, event_type, event_date FROM pairs ORDER BY event_date DESC NULLS LAST, event_id, alert_id LIMIT 50", *_WATCH_VIEWS, ctes=_PENDING),
+)
 def _(v: DriverViews):
-    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _deliveries(v), limit=None)
+    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _deliveries(v))
     return rows.select("alert_id", "event_id", "event_type", "event_date")
 
 
+@query("a02_pending_counts", duck_sql("SELECT alert_id, count(*) AS n, max(event_date) AS newest FROM pairs GROUP BY 1", *_WATCH_VIEWS, ctes=_PENDING))
+def _(v: DriverViews):
+    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _deliveries(v), limit=None)
+    return rows.groupBy("alert_id").agg(F.count("*").alias("n"), F.max("event_date").alias("newest"))
+
+
 @query(
     "a03_alert_text",
     duck_sql(
