@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,21 +40,39 @@ def match_rows(reference: DataFrame, candidate: DataFrame, tolerance: float = TO
     doc = reference.schema["document_id"].dataType.simpleString()
     row = reference.schema["row_id"].dataType.simpleString()
 
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row_id", kind="stable")
-        wanted, open_rows = group[group["is_ref"]], group[~group["is_ref"]]
-        free = dict(zip(open_rows["row_id"], open_rows["tonnes"]))
-        made = []
-        for ref_id, size in zip(wanted["row_id"], wanted["tonnes"]):
-            for cand_id, other in free.items():
-                if abs(size - other) <= tolerance * max(abs(size), abs(other), 1e-9):
-                    made.append((ref_id, cand_id))
-                    del free[cand_id]
-                    break
-        out = pd.DataFrame(made, columns=["ref_id", "cand_id"])
-        return out.assign(document_id=group["document_id"].iloc[0])[["document_id", "ref_id", "cand_id"]]
-
-    return mixed.groupBy("document_id", "category", "run").applyInPandas(pair, f"document_id {doc}, ref_id {row}, cand_id {row}")
+    keys = ["document_id", "category", "run"]
+    ordered = mixed.select(*keys, "is_ref", "row_id", "tonnes").repartition(*keys).sortWithinPartitions(*keys, "row_id")
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key, wanted, free = None, [], {}
+        for batch in batches:
+            made = []
+            for document, category, run, is_ref, row_id, size in zip(*[batch[c] for c in (*keys, "is_ref", "row_id", "tonnes")]):
+                if (document, category, run) != open_key:
+                    made += _greedy(open_key, wanted, free, tolerance)
+                    open_key, wanted, free = (document, category, run), [], {}
+                if is_ref:
+                    wanted.append((row_id, size))
+                else:
+                    free[row_id] = size
+            if made:
+                yield pd.DataFrame(made, columns=["document_id", "ref_id", "cand_id"])
+        made = _greedy(open_key, wanted, free, tolerance)
+        if made:
+            yield pd.DataFrame(made, columns=["document_id", "ref_id", "cand_id"])
+
+    return ordered.mapInPandas(pair, f"document_id {doc}, ref_id {row}, cand_id {row}")
+
+
+def _greedy(key: tuple | None, wanted: list, free: dict, tolerance: float) -> list[tuple]:
+    made = []
+    for ref_id, size in wanted:
+        for cand_id, other in free.items():
+            if abs(size - other) <= tolerance * max(abs(size), abs(other), 1e-9):
+                made.append((key[0], ref_id, cand_id))
+                del free[cand_id]
+                break
+    return made
 
 
 def map_agreement(pairs: DataFrame, left: str, right: str) -> DataFrame:

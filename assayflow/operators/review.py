@@ -44,9 +44,16 @@ def digits(form: Column) -> Column:
 
 
 def prints(window: Column, value: ColumnLike, scales: tuple[float, ...] = (1.0,), min_digits: int = 1) -> Column:
-    """Whether a text window prints a figure in any form, on number boundaries."""
+    """Whether a text window prints a figure in any form, on number boundaries.
+
+    The numbers of the window are read once and compared as text; only forms grouped by blanks,
+    which large figures alone have, are searched for one by one.
+    """
+    forms = printed_forms(value, scales, min_digits)
+    numbers = F.regexp_extract_all(window, F.lit(NUMBER), F.lit(0))
     pattern = lambda f: F.concat(F.lit(r"(?<![\d.,])"), F.replace(f, F.lit("."), F.lit(r"\.")), F.lit(r"(?![\d]|[.,]\d)"))
-    return F.exists(printed_forms(value, scales, min_digits), lambda f: F.regexp_like(window, pattern(f)))
+    grouped = F.filter(forms, lambda f: f.contains(" "))
+    return F.arrays_overlap(numbers, forms) | F.exists(grouped, lambda f: F.regexp_like(window, pattern(f)))
 
 
 def number_positions(chunks: DataFrame) -> DataFrame:

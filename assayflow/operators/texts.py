@@ -50,6 +50,7 @@ class _Packer:
         self.size = 0
         self.first = self.last = None
         self.made: list[tuple] = []
+        self.count = 0
 
     def close(self, section) -> None:
         if not self.parts:
@@ -57,10 +58,16 @@ class _Packer:
         text = "\n\n".join(self.parts).strip()
         if text:
             start = self.first or 1
-            self.made.append((len(self.made), start, self.last or start, text, section))
+            self.made.append((self.count, start, self.last or start, text, section))
+            self.count += 1
         tail = text[-self.overlap:]
         self.parts, self.size = ([tail], len(tail)) if tail else ([], 0)
 
+    def take(self, document) -> list[tuple]:
+        """Finished chunks since the last call."""
+        rows, self.made = [(document, *row) for row in self.made], []
+        return rows
+
     def add(self, page: int, text: str, is_table: bool, section) -> None:
         length = len(text)
         if self.parts and self.size + length > self.target:
@@ -91,44 +98,34 @@ def chunk_blocks(blocks: DataFrame, target: int = V.CHUNK_CHARS, overlap: int =
         .sortWithinPartitions("document_id", "page", "position")
     )
 
+    columns = ["document_id", "chunk_index", "page_start", "page_end", "content", "section_title"]
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, section = None, None, None
-        columns = ["chunk_index", "page_start", "page_end", "content", "section_title"]
-
-        def drain(document, rows):
-            return pd.DataFrame(rows, columns=columns).assign(document_id=document)[["document_id", *columns]]
-
-        index = 0
         for batch in batches:
-            out = []
-            for document, page, text, table, title in zip(batch["document_id"], batch["page"], batch["text"], batch["is_table"], batch["section"]):
-                title = None if pd.isna(title) else title
+            rows: list[tuple] = []
+            titles = batch["section"].where(batch["section"].notna(), None)
+            for document, page, text, table, title in zip(batch["document_id"], batch["page"], batch["text"], batch["is_table"], titles):
                 if state is None or document != current:
                     if state is not None:
                         state.close(section)
-                        out.append(drain(current, _renumber(state, index)))
-                    current, state, index = document, _Packer(target, overlap), 0
+                        rows += state.take(current)
+                    current, state = document, _Packer(target, overlap)
                 section = title
                 state.add(int(page), text or "", bool(table), section)
-            if state is not None and state.made:
-                rows = _renumber(state, index)
-                index += len(rows)
-                out.append(drain(current, rows))
-                state.made = []
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            if state is not None:
+                rows += state.take(current)
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
         if state is not None:
             state.close(section)
-            if state.made:
-                yield drain(current, _renumber(state, index))
+            rows = state.take(current)
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return ordered.mapInPandas(pack, CHUNK_SCHEMA.format(key=key))
 
 
-def _renumber(state: _Packer, start: int) -> list[tuple]:
-    return [(start + i, *row[1:]) for i, row in enumerate(state.made)]
-
-
 def embedding_batches(chunks: DataFrame, max_texts: int = V.BATCH_TEXTS, max_tokens: int = V.BATCH_TOKENS) -> DataFrame:
     """Greedy request batches per document, bounded by texts and by estimated tokens.
 

@@ -170,7 +170,7 @@ def _(v: DriverViews):
 @query(
     "v05_verify_drills",
     duck_sql(
-        """SELECT drill_id AS fact_id, coalesce(hole_id IS NOT NULL AND length(hole_id) > 3 AND from_m > 0 AND interval_m >= 10 AND coalesce(au, cu) IS NOT NULL AND NOT reviewed, false) AS verified FROM drills""",
+        """SELECT drill_id AS fact_id, coalesce(hole_id IS NOT NULL AND length(hole_id) > 3 AND from_m > 0 AND interval_m > 0 AND coalesce(au, cu) IS NOT NULL AND NOT reviewed, false) AS verified FROM drills""",
         "drills",
     ),
 )
@@ -183,7 +183,7 @@ def _(v: DriverViews):
         F.lit("hole "), F.lower("hole_id"), F.lit(": "), F.format_number("interval_m", 1), F.lit(" m from "), F.format_number("from_m", 0), F.lit(" m, "), F.format_number(assay, 2), F.lit(" "), pad
     )
     chunks = printed.select(F.col("fact_id").alias("chunk_id"), "document_id", F.lit(0).alias("chunk_index"), text.alias("content"))
-    # Hole ids of two characters after folding are too short to prove anything.
+    # Hole ids shorter than three letters and digits prove nothing.
     return V.verify_drills(drills, chunks)
 
 
@@ -299,7 +299,7 @@ def _(v: DriverViews):
     ),
 )
 def _(v: DriverViews):
-    facts = _facts(v).filter("NOT reviewed")
+    facts = _facts(v).filter("NOT reviewed AND tonnes > 0")
     anchors = facts.withColumn("forms", V.printed_forms("tonnes", (1.0, 1e-3, 1e-6), 2)).select("fact_id", "document_id", "forms")
     holes = v.drills.filter("hole_id = 'H-none'").select("document_id", "hole_id")
     chunks = _fact_chunks(v).join(facts.select(F.col("fact_id").alias("chunk_id")), "chunk_id", "left_semi")
@@ -370,7 +370,7 @@ def _(v: DriverViews):
 
 @query(
     "f03_grades",
-    duck_sql("SELECT estimate_id, CASE WHEN au IS NULL AND cu IS NULL THEN '—' ELSE concat_ws(', ', CAST(cu AS INT) || '% Cu', CAST(au AS INT) || ' g/t Au') END AS text FROM resources", "resources"),
+    duck_sql("SELECT estimate_id, CASE WHEN au IS NULL AND cu IS NULL THEN '—' ELSE concat_ws(', ', CAST(au AS INT) || ' g/t Au', CAST(cu AS INT) || '% Cu') END AS text FROM resources", "resources"),
 )
 def _(v: DriverViews):
     return v.resources.select("estimate_id", fmt.grade("grade").alias("text"))
@@ -434,7 +434,7 @@ def _(v: DriverViews):
         """, lr AS (SELECT * FROM resources QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY effective_date DESC NULLS LAST, extraction_confidence DESC NULLS LAST, estimate_id DESC) = 1),
              le AS (SELECT * FROM economics QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY effective_date DESC NULLS LAST, study_id DESC) = 1)
            SELECT p.name AS project, coalesce(c.name, '') AS company, coalesce(p.country, '') AS country, coalesce(p.stage, '') AS stage, array_to_string(p.commodities, '|') AS commodities, coalesce(lr.category, '') AS category,
-                  CASE WHEN lr.au IS NULL AND lr.cu IS NULL THEN '—' ELSE concat_ws(', ', CAST(lr.cu AS INT) || '% Cu', CAST(lr.au AS INT) || ' g/t Au') END AS grade, coalesce(le.study_type, '') AS study
+                  CASE WHEN lr.au IS NULL AND lr.cu IS NULL THEN '—' ELSE concat_ws(', ', CAST(lr.au AS INT) || ' g/t Au', CAST(lr.cu AS INT) || '% Cu') END AS grade, coalesce(le.study_type, '') AS study
            FROM projects p LEFT JOIN companies c ON c.company_id = p.company_id LEFT JOIN lr ON lr.project_id = p.project_id LEFT JOIN le ON le.project_id = p.project_id
            ORDER BY lr.tonnes DESC NULLS LAST, p.name, p.project_id LIMIT 200""",
         "projects", "companies", "resources", "economics",

@@ -208,16 +208,20 @@ def _(v: DriverViews):
     return X.near_duplicate_flags(v.chunks, "source", known=known)
 
 
+_SENTENCES = "sentences AS (SELECT doc_id AS document_id, lang AS source, unnest(string_split(text, '. ')) AS content FROM documents),\n"
+
+
 @query(
     "t18_jaccard",
     duck_sql(
         """, heads AS (SELECT source, min(document_id) AS d FROM (SELECT source, document_id, string_agg(mark, '' ORDER BY mark) AS k FROM marks GROUP BY ALL) GROUP BY source, k)
-           SELECT sim.source, x AS left_id, y AS right_id, round(jaccard, 6) AS jaccard FROM sim JOIN heads a ON a.d = x JOIN heads b ON b.d = y WHERE jaccard < 1""",
-        "chunks", ctes=_MARKS,
+           SELECT sim.source AS lang, x AS left_id, y AS right_id, round(jaccard, 6) AS jaccard FROM sim JOIN heads a ON a.d = x JOIN heads b ON b.d = y WHERE jaccard < 1""",
+        ctes=_SENTENCES + _MARKS.replace("FROM chunks", "FROM sentences"),
     ),
 )
 def _(v: DriverViews):
-    return X.near_duplicates(v.chunks, "source").withColumn("jaccard", F.round("jaccard", 6))
+    sentences = v.documents.select(F.col("doc_id").alias("document_id"), "lang", F.explode(F.split("text", r"\. ")).alias("content"))
+    return X.near_duplicates(sentences, "lang").withColumn("jaccard", F.round("jaccard", 6))
 
 
 _UUID_SQL = "substr(md5({0}), 1, 8) || '-' || substr(md5({0}), 9, 4) || '-' || substr(md5({0}), 13, 4) || '-' || substr(md5({0}), 17, 4) || '-' || substr(md5({0}), 21, 12)"

@@ -71,17 +71,15 @@ def html_cells(pages: DataFrame, html: str = "html") -> DataFrame:
     key = pages.schema["document_id"].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["table_no", "row_no", "col_no", "is_header", "text"]
+        columns = ["document_id", "table_no", "row_no", "col_no", "is_header", "text"]
         for batch in batches:
-            out = []
+            rows: list[tuple] = []
             for document, body in zip(batch["document_id"], batch["html"]):
                 parser = _Cells()
                 parser.feed(body or "")
-                rows = parser.finish()
-                if rows:
-                    out.append(pd.DataFrame(rows, columns=columns).assign(document_id=document)[["document_id", *columns]])
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                rows += [(document, *cell) for cell in parser.finish()]
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("document_id", F.col(html).alias("html")).mapInPandas(parse, CELL_SCHEMA.format(key=key))
 
