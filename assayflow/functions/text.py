@@ -157,7 +157,7 @@ def citation_labels(value: ColumnLike) -> Column:
 
 def cell_number(value: ColumnLike) -> Column:
     """A printed number: separators dropped, parentheses negative, dashes null."""
-    text = F.replace(F.replace(strip(value), F.lit(" "), F.lit(" ")), F.lit(","), F.lit(""))
+    text = F.replace(F.replace(strip(value), F.lit("\u00a0"), F.lit(" ")), F.lit(","), F.lit(""))
     found = F.regexp_extract(text, V.CELL_NUMBER, 0)
     plain = F.replace(F.translate(found, " +)\t\n", ""), F.lit("("), F.lit("-"))
     blank = text.isin("", "-", "—", "n/a", "na", "nil")

@@ -32,15 +32,17 @@ def printed_forms(value: ColumnLike, scales: tuple[float, ...] = (1.0,), min_dig
             shown = v > 0
             if decimals == 0:
                 shown = shown & (F.abs(v - F.round(v)) <= 1e-9)
-            for form in (text, F.replace(text, F.lit(","), F.lit("")), F.replace(text, F.lit(","), F.lit(" "))):
-                forms.append(F.when(shown, form))
+            grouped = shown & (v >= 999)
+            forms.append(F.when(shown, text))
+            forms.append(F.when(grouped, F.replace(text, F.lit(","), F.lit(""))))
+            forms.append(F.when(grouped, F.replace(text, F.lit(","), F.lit(" "))))
     usable = F.array_distinct(F.array_compact(F.array(*forms)))
-    return F.filter(usable, lambda f: digits(f) >= min_digits)
+    return usable if min_digits <= 1 else F.filter(usable, lambda f: digits(f) >= min_digits)
 
 
 def digits(form: Column) -> Column:
     """Significant digits: separators and leading zeros do not count."""
-    return F.length(F.regexp_replace(F.regexp_replace(form, r"\D", ""), "^0+", ""))
+    return F.length(F.ltrim(F.translate(form, "., ", ""), F.lit("0")))
 
 
 def prints(window: Column, value: ColumnLike, scales: tuple[float, ...] = (1.0,), min_digits: int = 1) -> Column:
@@ -81,7 +83,7 @@ def number_positions(chunks: DataFrame) -> DataFrame:
 def readable_chunks(chunks: DataFrame, facts: DataFrame, drop_contents: bool = True) -> DataFrame:
     """Chunks of documents that have facts to check, hard blanks softened, contents pages out."""
     wanted = facts.select("document_id").distinct()
-    rows = chunks.join(wanted, "document_id", "left_semi").withColumn("content", F.replace(F.col("content"), F.lit(" "), F.lit(" ")))
+    rows = chunks.join(wanted, "document_id", "left_semi").withColumn("content", F.replace(F.col("content"), F.lit("\u00a0"), F.lit(" ")))
     return rows.filter(~is_contents_page("content")) if drop_contents else rows
 
 
@@ -150,7 +152,7 @@ def verify_resources(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     window = _around(0, V.FIGURE_WINDOW)
     has_grades = F.size(F.coalesce(F.col("grade"), F.create_map().cast("map<string,double>"))) > 0
     printed = F.forall(F.map_values("grade"), lambda g: prints(window, g))
-    alone = digits(F.left(window, F.lit(12))) >= 3
+    alone = digits(F.regexp_replace(F.left(window, F.lit(12)), r"\D", "")) >= 3
     good = class_near(F.col("category"), _around(*V.CLASS_WINDOW)) & F.when(has_grades, printed).otherwise(alone)
     return _verdicts(facts, hits.filter(good))
 

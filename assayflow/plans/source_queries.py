@@ -246,18 +246,18 @@ _ROWS = "tab AS (SELECT estimate_id, document_id, category, tonnes, au, cu FROM
 
 @query("t10_cells", duck_sql("SELECT document_id, 4 * (count(*) + 1) + 4 AS cells, 2 AS tables FROM tab GROUP BY 1", "resources", ctes=_ROWS))
 def _(v: DriverViews):
-    cells = html.html_cells(_html_pages(v))
+    cells = html.html_cells(_html_pages(v), tasks=v.spark.sparkContext.defaultParallelism)
     return cells.groupBy("document_id").agg(F.count("*").alias("cells"), F.count_distinct("table_no").cast("int").alias("tables"))
 
 
 @query(
     "t14_resource_tables",
-    duck_sql("SELECT document_id, category, round(tonnes, 1) AS tonnes, au, cu, CAST(least(0.9, CASE WHEN tonnes <= 0 THEN 0.3 WHEN tonnes < 10000 THEN 0.5 END) AS DOUBLE) AS extraction_confidence FROM tab", "resources", ctes=_ROWS),
+    duck_sql("SELECT document_id, category, round(tonnes, 2) AS tonnes, au, cu, CAST(least(0.9, CASE WHEN tonnes <= 0 THEN 0.3 WHEN tonnes < 10000 THEN 0.5 END) AS DOUBLE) AS extraction_confidence FROM tab", "resources", ctes=_ROWS),
 )
 def _(v: DriverViews):
-    rows = html.resource_rows(html.html_cells(_html_pages(v)))
+    rows = html.resource_rows(html.html_cells(_html_pages(v), tasks=v.spark.sparkContext.defaultParallelism))
     grade = lambda k, n: F.try_element_at("grade", F.lit(k)).alias(n)
-    return rows.select("document_id", "category", F.round("tonnes", 1).alias("tonnes"), grade("Au_gpt", "au"), grade("Cu_pct", "cu"), "extraction_confidence")
+    return rows.select("document_id", "category", F.round("tonnes", 2).alias("tonnes"), grade("Au_gpt", "au"), grade("Cu_pct", "cu"), "extraction_confidence")
 
 
 @query(
@@ -272,7 +272,7 @@ def _(v: DriverViews):
         F.lit("</table><table>"), pair("post-tax npv (5%)", F.format_number("o_custkey", 0)), pair("Initial capex (us$m)", (F.col("o_orderkey") % 90).cast("string")), F.lit("</table>"),
     )
     pages = v.table("orders").select(F.col("o_orderkey").alias("document_id"), page.alias("html"))
-    rows = html.economics_rows(html.html_cells(pages))
+    rows = html.economics_rows(html.html_cells(pages, tasks=v.spark.sparkContext.defaultParallelism))
     return rows.select("document_id", F.try_element_at("npv", F.lit("post_tax_5pct")).alias("npv_5"), "irr_pct", "capex_initial", "currency", "study_type")
 
 

@@ -66,8 +66,11 @@ class _Cells(HTMLParser):
         return self.rows
 
 
-def html_cells(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Table cells of each page. One page is parsed at a time; nothing crosses pages."""
+def html_cells(pages: DataFrame, html: str = "html", tasks: int | None = None) -> DataFrame:
+    """Table cells of each page. One page is parsed at a time; nothing crosses pages.
+
+    ``tasks`` spreads few but costly pages over more tasks; large inputs arrive split already.
+    """
     key = pages.schema["document_id"].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +84,9 @@ def html_cells(pages: DataFrame, html: str = "html") -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select("document_id", F.col(html).alias("html")).mapInPandas(parse, CELL_SCHEMA.format(key=key))
+    rows = pages.select("document_id", F.col(html).alias("html"))
+    rows = rows.repartition(tasks) if tasks else rows
+    return rows.mapInPandas(parse, CELL_SCHEMA.format(key=key))
 
 
 def table_rows(cells: DataFrame) -> DataFrame:

@@ -1,0 +1 @@
+"""Structured Streaming forms of the poll loops: landing, alerts, freshness, counts, chunks."""
