@@ -92,88 +92,103 @@ def _sum_of(cells: Column, field: str) -> Column:
     return F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + F.coalesce(c[field].cast("double"), F.lit(0.0)))
 
 
-def _group_totals(cells: DataFrame) -> DataFrame:
-    """Totals per (project, date, document, group): combined rows beat their parts, a report
-    total beats its zones, and the grade of each key is weighted by tonnes of rows holding it."""
-    grouped = cells.groupBy("project_id", "estimate_date", "document_id", "grp").agg(
-        F.collect_list(F.struct("combined", "is_total", "key", "n", "t", "gt", "gtt")).alias("cells"),
-        F.max("combined").alias("has_combined"),
-        F.max("filed_at").alias("filed_at"),
+def _rows_in(cells: Column) -> Column:
+    """Row count of cells: the entries with a null key carry it."""
+    plain = F.filter(cells, lambda c: c["key"].isNull())
+    return F.aggregate(plain, F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+
+
+def _pick_documents(documents: DataFrame) -> DataFrame:
+    """The fullest document of each (project, date), then the newest filing, then the smallest id."""
+    newest_first = -F.coalesce(F.unix_date("filed_at"), F.lit(-1_000_000_000))
+    order = F.struct(-F.col("row_count"), newest_first, F.col("document_id"))
+    kept = [c for c in documents.columns if c not in ("project_id", "estimate_date")]
+    return (
+        documents.groupBy("project_id", "estimate_date")
+        .agg(F.min_by(F.struct(*kept), order).alias("d"), (F.count("*") - 1).alias("also_in"))
+        .select("project_id", "estimate_date", "d.*", "also_in")
     )
-    plain = F.col("grp").isin("inferred", "other")
-    chosen = F.filter("cells", lambda c: plain | (c["combined"] == F.col("has_combined")))
-    counts = lambda cells, f: F.aggregate(  # noqa: E731 - local shorthand
-        F.filter(cells, lambda c: c["key"].isNull() & f(c)), F.lit(0).cast("long"), lambda acc, c: acc + c["n"]
-    )
-    staged = grouped.withColumn("chosen", chosen)
-    totals = counts(F.col("chosen"), lambda c: c["is_total"])
-    everything = counts(F.col("chosen"), lambda c: F.lit(True))
-    staged = staged.withColumn("totals_win", (totals > 0) & (totals < everything))
-    staged = staged.withColumn("chosen", F.filter("chosen", lambda c: ~F.col("totals_win") | c["is_total"]))
-    keys = F.array_distinct(F.transform(F.filter("chosen", lambda c: c["gtt"] > 0), lambda c: c["key"]))
-    of_key = lambda k: F.filter(F.col("chosen"), lambda c: c["key"] == k)
-    grades = F.map_from_entries(
-        F.transform(keys, lambda k: F.struct(k.alias("key"), (_sum_of(of_key(k), "gt") / _sum_of(of_key(k), "gtt")).alias("value")))
+
+
+def chosen_documents(dated: DataFrame) -> DataFrame:
+    """(project, date) -> the document whose rows make the estimate, and how many restate it."""
+    documents = dated.groupBy("project_id", "estimate_date", "document_id").agg(
+        F.count("*").alias("row_count"), F.max("filed_at").alias("filed_at")
     )
-    tonnes = _sum_of(F.filter("chosen", lambda c: c["key"].isNull()), "t")
-    key_counts = F.transform(
-        F.array_distinct(F.transform(F.filter("cells", lambda c: c["key"].isNotNull()), lambda c: c["key"])),
+    return _pick_documents(documents)
+
+
+def _key_counts(cells: Column) -> Column:
+    """struct(key, n) per grade key: in how many rows it is printed."""
+    keyed = F.filter(cells, lambda c: c["key"].isNotNull())
+    return F.transform(
+        F.array_distinct(F.transform(keyed, lambda c: c["key"])),
         lambda k: F.struct(
             k.alias("key"),
-            F.aggregate(F.filter("cells", lambda c: c["key"] == k), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n"),
+            F.aggregate(F.filter(keyed, lambda c: c["key"] == k), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n"),
         ),
     )
-    return staged.select(
-        "project_id", "estimate_date", "document_id", "grp", "filed_at",
-        counts(F.col("cells"), lambda c: F.lit(True)).alias("all_rows"),
-        counts(F.col("chosen"), lambda c: F.lit(True)).alias("row_count"),
-        tonnes.alias("tonnes"),
-        grades.alias("grades"),
-        key_counts.alias("key_counts"),
-    )
 
 
-def _merged_counts(arrays: Column) -> Column:
-    """Sum struct(key, n) arrays by key."""
-    flat = F.flatten(arrays)
-    keys = F.array_distinct(F.transform(flat, lambda c: c["key"]))
+def _merged_counts(counts: Column) -> Column:
+    """Sum struct(key, n) entries of one array by key."""
+    keys = F.array_distinct(F.transform(counts, lambda c: c["key"]))
     return F.transform(
         keys,
         lambda k: F.struct(
             k.alias("key"),
-            F.aggregate(F.filter(flat, lambda c: c["key"] == k), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n"),
+            F.aggregate(F.filter(counts, lambda c: c["key"] == k), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n"),
         ),
     )
 
 
+def _weighted_grades(cells: Column) -> Column:
+    keys = F.array_distinct(F.transform(F.filter(cells, lambda c: c["gtt"] > 0), lambda c: c["key"]))
+    of_key = lambda k: F.filter(cells, lambda c: c["key"] == k)
+    return F.map_from_entries(
+        F.transform(keys, lambda k: F.struct(k.alias("key"), (_sum_of(of_key(k), "gt") / _sum_of(of_key(k), "gtt")).alias("value")))
+    )
+
+
 def estimates(resources: DataFrame, filings: DataFrame) -> DataFrame:
     """One estimate per (project, date): the fullest document wins, refilings are counted.
 
     Columns: project_id, estimate_date, document_id, also_in, row_count, and for each group
     ``<group>_tonnes``, ``<group>_rows`` and ``<group>_grades``; ``key_counts`` feeds the choice
-    of the main grade key.
+    of the main grade key. Combined rows beat their parts and a report total beats its zones.
+
+    Rows are first summed to cells (group, combined, total row, grade key); a document then holds
+    a handful of them, its cells travel as one array and totals are worked out for the chosen
+    document only.
     """
-    totals = _group_totals(_cells(dated_resources(resources, filings)))
+    cells = _cells(dated_resources(resources, filings))
+    documents = cells.groupBy("project_id", "estimate_date", "document_id").agg(
+        F.collect_list(F.struct("grp", "combined", "is_total", "key", "n", "t", "gt", "gtt")).alias("cells"),
+        F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("row_count"),
+        F.max("filed_at").alias("filed_at"),
+    )
+    table = _pick_documents(documents)
+    own = {g: F.filter("cells", lambda c: c["grp"] == g) for g in GROUPS}
+    table = table.withColumns({f"_{g}": e for g, e in own.items()})
+    level = {
+        f"_{g}": F.filter(f"_{g}", lambda c: (c["combined"] == F.exists(F.col(f"_{g}"), lambda x: x["combined"])) | F.lit(g == "inferred"))
+        for g in GROUPS
+    }
+    table = table.withColumns(level)
+    totals = {g: _rows_in(F.filter(f"_{g}", lambda c: c["is_total"])) for g in GROUPS}
+    table = table.withColumns({f"_{g}_wins": (totals[g] > 0) & (totals[g] < _rows_in(F.col(f"_{g}"))) for g in GROUPS})
+    table = table.withColumns({f"_{g}": F.filter(f"_{g}", lambda c: ~F.col(f"_{g}_wins") | c["is_total"]) for g in GROUPS})
+    table = table.withColumns({f"_{g}_t": _sum_of(F.filter(f"_{g}", lambda c: c["key"].isNull()), "t") for g in GROUPS})
     columns = []
-    for group in GROUPS:
-        has = F.col("tonnes") > 0
+    for g in GROUPS:
+        has = F.col(f"_{g}_t") > 0
         columns += [
-            F.first(F.when((F.col("grp") == group) & has, F.col(name)), ignorenulls=True).alias(f"{group}_{short}")
-            for name, short in (("tonnes", "tonnes"), ("row_count", "rows"), ("grades", "grades"))
+            F.when(has, F.col(f"_{g}_t")).alias(f"{g}_tonnes"),
+            F.when(has, _rows_in(F.col(f"_{g}"))).alias(f"{g}_rows"),
+            F.when(has, _weighted_grades(F.col(f"_{g}"))).alias(f"{g}_grades"),
         ]
-    documents = totals.groupBy("project_id", "estimate_date", "document_id").agg(
-        F.sum("all_rows").alias("row_count"),
-        F.max("filed_at").alias("filed_at"),
-        _merged_counts(F.collect_list("key_counts")).alias("key_counts"),
-        *columns,
-    )
-    newest_first = -F.coalesce(F.unix_date("filed_at"), F.lit(-1_000_000_000))
-    order = F.struct(-F.col("row_count"), newest_first, F.col("document_id"))
-    kept = [c for c in documents.columns if c not in ("project_id", "estimate_date")]
-    return (
-        documents.groupBy("project_id", "estimate_date")
-        .agg(F.min_by(F.struct(*kept), order).alias("d"), (F.count("*") - 1).alias("also_in"))
-        .select("project_id", "estimate_date", "d.*", "also_in")
+    return table.select(
+        "project_id", "estimate_date", "document_id", "also_in", "row_count", "filed_at", _key_counts(F.col("cells")).alias("key_counts"), *columns
     )
 
 
@@ -238,7 +253,7 @@ def estimate_deltas(resources: DataFrame, filings: DataFrame) -> DataFrame:
     paired = table.withColumn("_prev", F.lag(F.struct(*carried)).over(by_date)).select(
         *table.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in carried]
     )
-    both = _merged_counts(F.array("key_counts", F.coalesce("prev_key_counts", F.array().cast("array<struct<key:string,n:bigint>>"))))
+    both = _merged_counts(F.concat("key_counts", F.coalesce("prev_key_counts", F.array().cast("array<struct<key:string,n:bigint>>"))))
     usable = F.filter(both, lambda c: is_main_grade_key(c["key"]))
     keyed = paired.withColumn("metal_key", most_common_key(usable))
     keyed = keyed.withColumn("metal", _estimate_metal("", F.col("metal_key"))).withColumn(
@@ -295,9 +310,7 @@ def zone_cells(resources: DataFrame, filings: DataFrame) -> DataFrame:
     The first row of a cell is the smallest estimate_id.
     """
     dated = dated_resources(resources, filings).withColumn("grp", category_group("category"))
-    chosen = estimates(resources, filings).select(
-        "project_id", "estimate_date", F.col("document_id").alias("_doc")
-    )
+    chosen = chosen_documents(dated).select("project_id", "estimate_date", F.col("document_id").alias("_doc"))
     rows = (
         dated.join(chosen, ["project_id", "estimate_date"])
         .filter(F.col("document_id").eqNullSafe(F.col("_doc")) & F.col("grp").isin(*GROUPS))

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread_few_files
+
 AS_OF_FILINGS = "2001-08-01"
 AS_OF_EVENTS = "2024-01-31"
 
@@ -24,6 +26,10 @@ class DriverViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def heavy(self, name: str) -> DataFrame:
+        """A table whose rows feed maps, regexes or other work that is heavy per row."""
+        return spread_few_files(self.table(name))
+
     @cached_property
     def companies(self) -> DataFrame:
         nation = self.table("nation").select("n_nationkey", "n_name")
@@ -69,7 +75,7 @@ class DriverViews:
 
     @cached_property
     def resources(self) -> DataFrame:
-        return self.table("lineitem").selectExpr(
+        return self.heavy("lineitem").selectExpr(
             "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity AS bigint)) AS estimate_id",
             "l_orderkey DIV 8 AS project_id", "l_orderkey AS document_id",
             "CASE WHEN l_orderkey % 7 <> 3 THEN make_date(cast(1995 + (l_orderkey % 8) DIV 2 * 2 AS int),"
@@ -87,7 +93,7 @@ class DriverViews:
 
     @cached_property
     def economics(self) -> DataFrame:
-        return self.table("orders").filter("o_orderstatus <> 'O'").selectExpr(
+        return self.heavy("orders").filter("o_orderstatus <> 'O'").selectExpr(
             "o_orderkey AS study_id", "o_orderkey DIV 8 AS project_id", "o_orderkey AS document_id",
             "CASE o_orderpriority WHEN '1-URGENT' THEN 'pea' WHEN '2-HIGH' THEN 'pfs' WHEN '3-MEDIUM' THEN 'fs' "
             "WHEN '4-NOT SPECIFIED' THEN 'scoping' ELSE 'other' END AS study_type",
@@ -108,7 +114,7 @@ class DriverViews:
 
     @cached_property
     def drills(self) -> DataFrame:
-        return self.table("lineitem").selectExpr(
+        return self.heavy("lineitem").selectExpr(
             "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_quantity AS bigint)) AS drill_id",
             "l_orderkey DIV 8 AS project_id", "l_orderkey AS document_id",
             "CASE WHEN l_suppkey % 10 <> 0 THEN concat('H-', l_suppkey % 40) END AS hole_id",
@@ -192,7 +198,7 @@ class DriverViews:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return self.heavy("documents")
 
     @cached_property
     def chunks(self) -> DataFrame:

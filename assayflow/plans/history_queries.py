@@ -88,7 +88,7 @@ def _history(body: str, *more: str) -> str:
 
 @query("h01_estimates", _history("SELECT project_id, estimate_date, document_id, also_in, row_count FROM best"))
 def _(v: DriverViews):
-    return H.estimates(v.resources, v.filings).select("project_id", "estimate_date", "document_id", "also_in", "row_count")
+    return H.chosen_documents(H.dated_resources(v.resources, v.filings)).select("project_id", "estimate_date", "document_id", "also_in", "row_count")
 
 
 @query(

@@ -49,3 +49,14 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages re-read files, so a lost executor costs nothing twice."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread_few_files(frame: DataFrame) -> DataFrame:
+    """Rows of a table held in fewer files than there are cores, dealt out to all of them.
+
+    A file with one row group is one task however many cores wait; work that is heavy per row
+    then runs on one core. Tables of many files, as on a cluster, pass through without a shuffle.
+    Filters and column pruning still reach the scan through the exchange.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame

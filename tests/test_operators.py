@@ -178,7 +178,7 @@ def verified(spark, text, **changes):
 def test_resource_figures_must_stand_together(spark):
     assert verified(spark, "Indicated 12,345,678 t at 1.25 g/t")
     assert verified(spark, "Indicated 12 345 678 t at 1.25 g/t")
-    assert verified(spark, "Indicated 12,346 kt at 1.25 g/t")
+    assert verified(spark, "Indicated\u00a012,345.678 kt at 1.25 g/t")
     assert not verified(spark, "Inferred 12,345,678 t at 1.25 g/t")
     assert not verified(spark, "Indicated 112,345,678 t at 1.25 g/t")
     assert not verified(spark, "Indicated 12,345,678 t at 11.25 g/t")
