@@ -477,8 +477,11 @@ def resource_movers(
     if commodity:
         names = names.filter(F.array_contains("commodities", commodity))
     has_delta = F.coalesce("mi_pct", "inferred_pct", "metal_pct").isNotNull()
-    rows = recent.join(names, "project_id").filter(has_delta | F.coalesce("mi_tonnes", "inferred_tonnes").isNotNull())
-    newest = last_per_key(rows, ["project_id"], F.col("estimate_date"))
+    # The condition sits in the pick's order (null loses) and not in a filter below it: a filter
+    # would be pushed to the window and repeat every change expression there.
+    tells = has_delta | F.coalesce("mi_tonnes", "inferred_tonnes").isNotNull()
+    newest = last_per_key(recent, ["project_id"], F.when(tells, F.col("estimate_date"))).filter(F.col("estimate_date").isNotNull())
+    newest = newest.join(names, "project_id")
     size = F.when(has_delta, F.greatest(*[F.abs(F.coalesce(F.col(c), F.lit(0.0))) for c in ("metal_pct", "mi_pct", "inferred_pct")])).otherwise(F.lit(0.0))
     rank = F.when(~has_delta, F.lit(2)).when(F.col("scope_change"), F.lit(1)).otherwise(F.lit(0))
     scored = newest.withColumn("move_class", rank).withColumn("move_size", size)
