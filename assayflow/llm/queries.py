@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, rules
+from . import language, licenses, lines, minhash, mixing, packing, quality, rules, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,109 @@ FROM c GROUP BY doc_id
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.drop_common_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def _spelled(text: str) -> str:
+    """A text's canonical lines in SQL, as the operator makes them."""
+    lines = f"list_filter(string_split(lower({text}), chr(10)), lambda x: NOT regexp_matches(x, {_quoted(licenses.COPYRIGHT)}))"
+    plain = f"regexp_replace(array_to_string({lines}, chr(10)), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for spelled, as_one in licenses.SPELLINGS.items():
+        plain = f"regexp_replace({plain}, '\\b{spelled}\\b', '{as_one}', 'g')"
+    return f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LICENSES_SQL = f"""
+WITH k AS (
+  SELECT license_id, {_spelled("text")} AS lines
+  FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) AS t(license_id, text)
+), known AS (
+  SELECT md5(array_to_string(lines, ' ')) AS digest, min(license_id) AS license_id FROM k WHERE len(lines) > 0 GROUP BY 1
+), d AS (
+  SELECT doc_id, {_spelled("coalesce(text, '')")} AS lines FROM documents
+), found AS (
+  SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS names
+  FROM (SELECT doc_id, md5(unnest(lines)) AS digest FROM d) JOIN known USING (digest) GROUP BY doc_id
+), w AS (
+  SELECT doc_id, CASE WHEN len(lines) > 0 THEN md5(array_to_string(lines, ' ')) END AS digest FROM d
+)
+SELECT w.doc_id, w.digest, known.license_id, coalesce(found.n, 0)::BIGINT AS n_notices, found.names AS licenses
+FROM w LEFT JOIN known USING (digest) LEFT JOIN found ON w.doc_id = found.doc_id
+"""
+
+
+@query("op3_license_scan", LICENSES_SQL)
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(table(spark, folder, "documents"))
+
+
+SUBSTRINGS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)
+), low AS (
+  SELECT g, min(doc_id) AS low FROM win GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM win JOIN low USING (g), range(50) AS t(k) WHERE low < doc_id
+), each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY each.i) FILTER (gone.i IS NULL) AS text
+  FROM each LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op4_substring_dedup", SUBSTRINGS_SQL)
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substrings.without_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query("op5_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+
+
+@query("op7_quality_scores")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = quality.scored(table(spark, folder, "documents"), labels, F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op8_exact_topk", TOPK_SQL)
+def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.nearest(table(spark, folder, "embeddings"))
+
+
+@query("op9_packing")
+def packing_order(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query("op10_mixing")
+def mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.rated(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "domain", "confidence", "n_tokens", "rate", "copies")
