@@ -24,11 +24,15 @@ def match_rows(reference: DataFrame, candidate: DataFrame, tolerance: float = TO
 
     Both inputs hold document_id, row_id, category and tonnes. Rows of a class are first cut
     into runs: where sorted tonnes jump by more than the tolerance no pair can cross. A document
-    with very many rows so becomes many small groups, and only a run is walked in order.
+    with very many rows so becomes many small groups, and only a run is walked in order. Rows
+    without tonnes agree with each other, so they are paired by their place in id order.
     """
+    place = F.row_number().over(Window.partitionBy("document_id", "category").orderBy("row_id"))
+    missing = lambda rows, name: rows.filter("tonnes IS NULL").select("document_id", "category", F.col("row_id").alias(name), place.alias("place"))
+    unknown = missing(reference, "ref_id").join(missing(candidate, "cand_id"), ["document_id", "category", "place"])
     both = reference.select("document_id", "category", "row_id", "tonnes", F.lit(True).alias("is_ref")).unionByName(
         candidate.select("document_id", "category", "row_id", "tonnes", F.lit(False).alias("is_ref"))
-    )
+    ).filter("tonnes IS NOT NULL")
     by_size = Window.partitionBy("document_id", "category").orderBy("tonnes", "is_ref", "row_id")
     before = F.lag("tonnes").over(by_size)
     breaks = F.when(before.isNull() | (F.col("tonnes") - before > tolerance * F.greatest(F.abs("tonnes"), F.abs(before), F.lit(1e-9))), 1).otherwise(0)
@@ -61,7 +65,8 @@ def match_rows(reference: DataFrame, candidate: DataFrame, tolerance: float = TO
         if made:
             yield pd.DataFrame(made, columns=["document_id", "ref_id", "cand_id"])
 
-    return ordered.mapInPandas(pair, f"document_id {doc}, ref_id {row}, cand_id {row}")
+    known = ordered.mapInPandas(pair, f"document_id {doc}, ref_id {row}, cand_id {row}")
+    return known.unionByName(unknown.select("document_id", "ref_id", "cand_id"))
 
 
 def _greedy(key: tuple | None, wanted: list, free: dict, tolerance: float) -> list[tuple]:

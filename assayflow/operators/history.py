@@ -471,8 +471,10 @@ def resource_movers(
     """Estimates filed in the window, one per project, real changes before scope changes before
     first estimates; inside each class the biggest move, then the newest."""
     window = filings.filter(F.col("filed_at") >= F.lit(as_of - timedelta(days=days))).select("document_id")
-    deltas = estimate_deltas(resources, filings)
-    recent = deltas.join(window, "document_id", "left_semi")
+    # only projects that filed in the window are worked out, and a filing counts under its first estimate
+    active = resources.join(window, "document_id", "left_semi").select("project_id").distinct()
+    deltas = estimate_deltas(resources.join(active, "project_id", "left_semi"), filings)
+    recent = first_per_key(deltas.join(window, "document_id", "left_semi"), ["project_id", "document_id"], F.col("estimate_date"))
     names = projects.select("project_id", F.col("name").alias("project_name"), "company_id", "commodities")
     if commodity:
         names = names.filter(F.array_contains("commodities", commodity))

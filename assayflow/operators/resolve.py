@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions.columns import blank_to_null
 from ..functions.text import filing_identity, plain_name, profile_digits
-from .keyed import first_per_key, upsert
+from .keyed import last_per_key, upsert
 
 
 def companies_by_cik(companies: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def resolve_companies(mentions: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def apply_company_updates(companies: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Companies after the mentions: a cik match renames, a name match fills a missing cik.
+    """Companies after the mentions: a cik match renames and fills a missing ticker, a name match fills a missing cik.
 
-    Several mentions of one company settle by the last mention_id.
+    Names settle by the last mention_id; what fills a gap is the first that has it.
     """
     last = F.col("mention_id")
     renames = resolved.filter((F.col("how") == "cik") & blank_to_null("name").isNotNull()).groupBy("company_id").agg(
@@ -57,13 +57,12 @@ def apply_company_updates(companies: DataFrame, resolved: DataFrame) -> DataFram
     ciks = resolved.filter((F.col("how") == "name") & F.col("cik").isNotNull()).groupBy("company_id").agg(
         F.min_by("cik", last).alias("_cik")
     )
-    joined = companies.join(renames, "company_id", "left").join(ciks, "company_id", "left")
-    return joined.select(
-        *[
-            F.coalesce("_name", "name").alias(c) if c == "name" else F.coalesce("cik", "_cik").alias(c) if c == "cik" else F.col(c)
-            for c in companies.columns
-        ]
+    tickers = resolved.filter((F.col("how") == "cik") & blank_to_null("ticker").isNotNull()).groupBy("company_id").agg(
+        F.min_by("ticker", last).alias("_ticker")
     )
+    joined = companies.join(renames, "company_id", "left").join(ciks, "company_id", "left").join(tickers, "company_id", "left")
+    fresh = {"name": F.coalesce("_name", "name"), "cik": F.coalesce("cik", "_cik"), "ticker": F.coalesce(F.col("ticker"), F.col("_ticker")) if "ticker" in companies.columns else None}
+    return joined.select(*[fresh.get(c, F.col(c)).alias(c) for c in companies.columns])
 
 
 def new_companies(resolved: DataFrame) -> DataFrame:
@@ -163,8 +162,11 @@ def missing_company_names(plan: DataFrame, limit: int = 15) -> DataFrame:
 
 
 def upsert_issuers(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Merge an issuer list by profile number; the last row of a number wins inside the list."""
-    one = first_per_key(incoming, ["profile_number"], F.struct("name"))
+    """Merge an issuer list by profile number; inside the list the last row of a number wins.
+
+    ``position`` is the place of a row in the list (file and line).
+    """
+    one = last_per_key(incoming, ["profile_number"], F.col("position")).drop("position")
     return upsert(stored, one, ["profile_number"], overwrite=["name", "active"], fill=["jurisdiction", "industry"])
 
 
@@ -351,6 +353,9 @@ def archive_stats(matched: DataFrame) -> DataFrame:
 
 
 def upsert_occurrences(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Merge occurrences by (source, external id); a stored project link is kept."""
-    one = first_per_key(incoming, ["source", "external_id"], F.struct("name"))
+    """Merge occurrences by (source, external id); a stored project link is kept.
+
+    Of several rows of one id the last by ``position`` wins.
+    """
+    one = last_per_key(incoming, ["source", "external_id"], F.col("position")).drop("position")
     return upsert(stored, one, ["source", "external_id"], overwrite=["name", "lat", "lng"], fill=["country", "region", "commodities"])

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import date
-from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import fixed_values as V
 from ..functions import text as T
 from .keyed import top_per_key
 
-QUERY_BLOCK = 1024
+#: Queries, and chunks, of a cell.
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 65_536
 
 
 def filtered_chunks(
@@ -44,59 +46,76 @@ def merge_filters(pinned: dict, asked: dict) -> dict:
 # --- vector arm --------------------------------------------------------------------------------
 
 
-def vector_hits(chunks: DataFrame, queries: DataFrame, limit: int = V.ARM_LIMIT, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_hits(chunks: DataFrame, queries: DataFrame, limit: int = V.ARM_LIMIT, block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """The nearest chunks of each query by cosine distance, exact.
 
-    ``queries`` holds query_id and embedding. A task scores its Arrow batches against a block of
-    queries with one matrix product and keeps ``limit`` rows per query, so what is shuffled does
-    not grow with the chunks. Queries beyond one block are taken block by block, each a pass
-    over the chunks; the block bounds what a task is sent.
+    ``queries`` holds query_id and embedding. Queries and chunks are cut into blocks by a hash of their id;
+    every pair of blocks is a cell, in which a matrix product scores chunks against the block's queries and
+    ``limit`` rows per query remain. The numbers of blocks are subqueries of the one plan, so nothing runs
+    while it is built and a task holds one block of queries, whatever the sizes.
     """
-    count = queries.count()
-    blocks = max(1, ceil(count / block))
-    parts = [_block_hits(chunks, queries, limit, blocks, b) for b in range(blocks)]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    parts = lambda rows, size: rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int")).scalar()
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    stored = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    query_type, chunk_type = (rows.schema[0].dataType for rows in (asked, stored))
+    n, m = parts(asked, block), parts(stored, chunk_block)
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    own = lambda name, count: F.pmod(F.xxhash64(name), count).cast("int")
+    left = asked.select(own("query_id", n).alias("qb"), every(m).alias("cb"), F.lit(0).alias("side"), "query_id", F.lit(None).cast(chunk_type).alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    right = stored.select(every(n).alias("qb"), own("chunk_id", m).alias("cb"), F.lit(1).alias("side"), F.lit(None).cast(query_type).alias("query_id"), "chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    cells = left.unionByName(right).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "side")
+    hits = cells.mapInArrow(_nearest(limit), StructType([StructField("query_id", query_type), StructField("chunk_id", chunk_type), StructField("distance", DoubleType())]))
     return top_per_key(hits, ["query_id"], [F.col("distance"), F.col("chunk_id")], limit, "rank")
 
 
-def _block_hits(chunks: DataFrame, queries: DataFrame, limit: int, blocks: int, block: int) -> DataFrame:
-    wanted = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-    held = wanted.select("query_id", "embedding").toPandas()
-    ids = held["query_id"].tolist()
-    matrix = np.array([np.asarray(e, dtype=np.float64) for e in held["embedding"]])
-    if len(ids):
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
+def _nearest(limit: int):
+    """Sorted cells: the queries of a cell first, then its chunks stream past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, rows, matrix, kept = None, [], [], None, []
+        types = {}
+
+        def flush() -> pa.RecordBatch:
+            out = [(q, c, d) for q, found in zip(ids, kept) for d, c in found]
+            columns = list(zip(*out)) if out else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], types["query_id"]), pa.array(columns[1], types["chunk_id"]), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "distance"])
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept_ids: list[np.ndarray] = [np.array([])] * len(ids)
-        kept: list[np.ndarray] = [np.array([])] * len(ids)
         for batch in batches:
-            if not len(ids) or batch.empty:
-                continue
-            rows = np.stack([np.asarray(e, dtype=np.float64) for e in batch["embedding"]])
-            norms = np.linalg.norm(rows, axis=1)
-            usable = norms > 0
-            names = batch["chunk_id"].to_numpy()[usable]
-            distances = 1.0 - (rows[usable] / norms[usable][:, None]) @ matrix.T
-            for q in range(len(ids)):
-                all_ids = np.concatenate([kept_ids[q], names]) if len(kept_ids[q]) else names
-                all_d = np.concatenate([kept[q], distances[:, q]])
-                if len(all_d) > limit:
-                    edge = np.partition(all_d, limit - 1)[limit - 1]
-                    near = all_d <= edge
-                    all_ids, all_d = all_ids[near], all_d[near]
-                order = sorted(range(len(all_d)), key=lambda i: (all_d[i], all_ids[i]))[:limit]
-                kept_ids[q], kept[q] = all_ids[order], all_d[order]
-        out = [pd.DataFrame({"query_id": ids[q], "chunk_id": kept_ids[q], "distance": kept[q]}) for q in range(len(ids)) if len(kept[q])]
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-    rows = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    return rows.mapInPandas(best, f"query_id {query_type}, chunk_id {chunk_type}, distance double")
+            types = {c: batch.schema.field(c).type for c in ("query_id", "chunk_id")}
+            marks = np.stack([batch.column(c).to_numpy() for c in ("qb", "cb", "side")], axis=1)
+            edges = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]).any(axis=1)])) if len(marks) else []
+            for a, b in zip(edges, [*edges[1:], len(marks)]):
+                at = tuple(marks[a, :2])
+                if at != cell:
+                    if kept:
+                        yield flush()
+                    cell, ids, rows, matrix, kept = at, [], [], None, []
+                vectors = np.array(batch.column("embedding").slice(a, b - a).to_pylist(), dtype=np.float64)
+                if marks[a, 2] == 0:
+                    ids += batch.column("query_id").slice(a, b - a).to_pylist()
+                    rows.append(vectors)
+                    continue
+                if not ids:
+                    continue
+                if matrix is None:
+                    matrix = np.concatenate(rows)
+                    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+                    kept = [[] for _ in ids]
+                norms = np.linalg.norm(vectors, axis=1)
+                usable = norms > 0
+                names = np.array(batch.column("chunk_id").slice(a, b - a).to_pylist())[usable]
+                distances = 1.0 - (vectors[usable] / norms[usable][:, None]) @ matrix.T
+                if not len(distances):
+                    continue
+                edge = np.partition(distances, min(limit, len(distances)) - 1, axis=0)[min(limit, len(distances)) - 1]
+                near = distances <= edge
+                for q in range(len(ids)):
+                    found = list(zip(distances[near[:, q], q].tolist(), names[near[:, q]].tolist()))
+                    kept[q] = sorted(kept[q] + found)[:limit]
+        if kept:
+            yield flush()
+
+    return run
 
 
 # --- keyword arm -------------------------------------------------------------------------------
@@ -179,6 +198,23 @@ def first_correct(hits: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.select("query_id").distinct().join(right, "query_id", "left")
 
 
+def documents_holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, document_id) of documents whose content holds a passage (query_id, passage) of three words or more.
+
+    A passage is looked for only where the rarest of its inner words stands, so it meets few documents;
+    words are cut at single spaces, as inner words of the passage stand between spaces in the text too.
+    """
+    inner = F.expr("slice(split(passage, ' '), 2, greatest(0, size(split(passage, ' ')) - 2))")
+    asked = passages.select("query_id", F.explode(F.array_distinct(inner)).alias("word"))
+    held = documents.select("document_id", F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
+    held = held.join(asked.select("word").distinct(), "word", "left_semi")
+    often = held.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "word").groupBy("query_id").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    met = held.join(rarest, "word").select("query_id", "document_id")
+    texts = met.join(passages.select("query_id", "passage"), "query_id").join(documents.select("document_id", "content"), "document_id")
+    return texts.filter(F.contains("content", F.col("passage"))).select("query_id", "document_id").distinct()
+
+
 def expected_pages(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """Pages whose text matches a question's answer pattern inside its document."""
     rows = chunks.join(questions.select("query_id", "document_id", "answer"), "document_id")

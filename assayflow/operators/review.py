@@ -143,8 +143,14 @@ def class_near(category: Column, window: Column) -> Column:
     return rule
 
 
+def to_review(facts: DataFrame) -> DataFrame:
+    """Facts that no one has signed off; the others are not checked again."""
+    return facts.filter(~F.coalesce("reviewed", F.lit(False))) if "reviewed" in facts.columns else facts
+
+
 def verify_resources(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(fact_id, verified): tonnes, class word and every grade printed together."""
+    """(fact_id, verified) of the facts to review: tonnes, class word and every grade printed together."""
+    facts = to_review(facts)
     grades = F.coalesce(F.map_entries("grade"), F.array().cast("array<struct<key:string,value:double>>"))
     sane = F.forall(grades, lambda e: grade_plausible(e["key"], e["value"])) & contained_consistent("tonnes", "grade", "contained_metal")
     anchors = facts.filter(sane).withColumn("forms", printed_forms("tonnes", V.FIGURE_SCALES, 3))
@@ -158,7 +164,8 @@ def verify_resources(facts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def verify_economics(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(fact_id, verified): a labelled value with the rate of return or the capital near it."""
+    """(fact_id, verified) of the facts to review: a labelled value with the rate of return or the capital near it."""
+    facts = to_review(facts)
     values = F.coalesce(F.map_values("npv"), F.array().cast("array<double>"))
     anchors = facts.withColumn("forms", F.array_distinct(F.flatten(F.transform(values, lambda v: printed_forms(v, (1.0,), 3)))))
     hits = figure_hits(anchors, readable_chunks(chunks, anchors)).join(facts.select("fact_id", "irr_pct", "capex_initial"), "fact_id")
@@ -173,11 +180,12 @@ HOLES_PER_SLICE = 500
 
 
 def verify_drills(facts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(fact_id, verified): the hole id followed by interval, from and one of the assays.
+    """(fact_id, verified) of the facts to review: the hole id followed by interval, from and one of the assays.
 
     Hole ids of a document travel with its chunks in slices of bounded size and are looked up
     inside the expression, so only holes a chunk really names become rows.
     """
+    facts = to_review(facts)
     named = facts.filter(F.length(F.regexp_replace(F.lower("hole_id"), "[^a-z0-9]", "")) >= 3)
     holes = named.select("document_id", "hole_id").distinct()
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("hole_id")) - 1
@@ -233,14 +241,14 @@ def verdict_counts(kinds: dict[str, DataFrame]) -> DataFrame:
 def apply_decisions(facts: DataFrame, decisions: DataFrame, kind: str, source: str = "human") -> DataFrame:
     """Facts after approve, edit and delete decisions of one kind.
 
-    Already reviewed rows are left alone. Edits are text cast to the stored type; a decision
+    Already reviewed rows are left alone, and so of several decisions on a row the first by ``seq`` counts. Edits are text cast to the stored type; a decision
     naming a field that may not be edited changes nothing.
     """
     editable = V.EDITABLE_FIELDS[kind]
     rows = decisions.filter(F.col("kind") == kind).withColumn("_fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
     allowed = F.array(*[F.lit(f) for f in editable])
     rows = rows.filter(F.forall(F.map_keys("_fields"), lambda k: F.array_contains(allowed, k)))
-    one = rows.groupBy(F.col("id").alias("fact_id")).agg(F.first(F.struct("action", "_fields", "note")).alias("_d"))
+    one = rows.groupBy(F.col("id").alias("fact_id")).agg(F.min_by(F.struct("action", "_fields", "note"), "seq").alias("_d"))
     joined = facts.join(one, "fact_id", "left")
     active = F.col("_d").isNotNull() & ~F.col("reviewed")
     kept = joined.filter(~F.coalesce(active & F.col("_d.action").isin("delete", "reject"), F.lit(False)))
@@ -263,12 +271,13 @@ def apply_decisions(facts: DataFrame, decisions: DataFrame, kind: str, source: s
 
 
 def decision_counts(facts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """How decisions land: approve, edit, delete, or skipped because reviewed or gone."""
+    """How decisions land: approve, edit, delete, or skipped because reviewed, gone or decided before."""
     state = facts.select(F.col("fact_id").alias("id"), "kind", "reviewed")
-    joined = decisions.join(state, ["kind", "id"], "left")
+    counts = decisions.groupBy("kind", "id").agg(F.min("seq").alias("_first"))
+    joined = decisions.join(counts, ["kind", "id"]).join(state, ["kind", "id"], "left")
     edited = F.size(F.coalesce("fields", F.create_map().cast("map<string,string>"))) > 0
     outcome = (
-        F.when(F.col("reviewed").isNull() | F.col("reviewed"), F.lit("skipped"))
+        F.when(F.col("reviewed").isNull() | F.col("reviewed") | (F.col("seq") > F.col("_first")), F.lit("skipped"))
         .when(F.col("action").isin("delete", "reject"), F.lit("delete"))
         .when(edited, F.lit("edit"))
         .otherwise(F.lit("approve"))
@@ -278,7 +287,9 @@ def decision_counts(facts: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def bulk_approve(facts: DataFrame, least: float = V.TRUSTED_CONFIDENCE) -> DataFrame:
     good = ~F.col("reviewed") & (F.col("extraction_confidence") >= least)
-    return facts.withColumn("reviewed", F.col("reviewed") | F.coalesce(good, F.lit(False)))
+    good = F.coalesce(good, F.lit(False))
+    before = F.col("review_source") if "review_source" in facts.columns else F.lit(None).cast("string")
+    return facts.withColumns({"review_source": F.when(good, F.lit("human")).otherwise(before), "reviewed": F.col("reviewed") | good})
 
 
 # --- queue -------------------------------------------------------------------------------------

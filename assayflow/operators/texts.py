@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,46 +43,29 @@ def with_sections(blocks: DataFrame, order: Sequence[str] = ("page", "position")
 CHUNK_SCHEMA = "document_id {key}, chunk_index int, page_start int, page_end int, content string, section_title string"
 
 
-class _Packer:
-    """Greedy packing state of one document while its blocks stream by."""
-
-    def __init__(self, target: int, overlap: int):
-        self.target, self.overlap = target, overlap
-        self.parts: list[str] = []
-        self.size = 0
-        self.first = self.last = None
-        self.made: list[tuple] = []
-        self.count = 0
-
-    def close(self, section) -> None:
-        if not self.parts:
-            return
-        text = "\n\n".join(self.parts).strip()
-        if text:
-            start = self.first or 1
-            self.made.append((self.count, start, self.last or start, text, section))
-            self.count += 1
-        tail = text[-self.overlap:]
-        self.parts, self.size = ([tail], len(tail)) if tail else ([], 0)
-
-    def take(self, document) -> list[tuple]:
-        """Finished chunks since the last call."""
-        rows, self.made = [(document, *row) for row in self.made], []
-        return rows
-
-    def add(self, page: int, text: str, is_table: bool, section) -> None:
-        length = len(text)
-        if self.parts and self.size + length > self.target:
-            self.close(section)
-            self.first = page
-        if self.first is None:
-            self.first = page
-        self.last = page
-        if is_table and length > self.target and self.parts:
-            self.close(section)
-            self.first = page
-        self.parts.append(text)
-        self.size += length
+def _packed(blocks: Iterable[tuple], target: int, overlap: int) -> Iterator[tuple]:
+    """Chunks (first page, last page, content, section) of one document's blocks (page, text, is_table, section).
+
+    Only lengths decide: a block that would take the open chunk past ``target`` begins a new one, which
+    starts with the last ``overlap`` characters of the one before. A table longer than a chunk does not
+    share one even with that overlap, which then stands alone. A chunk has the section of the block that
+    closed it.
+    """
+    held, length, pages, section = [], 0, [], None
+    for page, text, is_table, section in blocks:
+        ends = 0 if length + len(text) <= target else 2 if is_table and len(text) > target else 1
+        while held and ends:
+            content = "\n\n".join(held).strip()
+            if content:
+                yield pages[0] or 1, pages[-1] or pages[0] or 1, content, section
+            held = [content[-overlap:]] if content else []
+            length, pages, ends = sum(map(len, held)), [page], ends - 1
+        held.append(text)
+        length += len(text)
+        pages = [*pages[:1], page]
+    content = "\n\n".join(held).strip()
+    if content:
+        yield pages[0] or 1, pages[-1] or pages[0] or 1, content, section
 
 
 def chunk_blocks(blocks: DataFrame, target: int = V.CHUNK_CHARS, overlap: int = V.OVERLAP_CHARS) -> DataFrame:
@@ -101,27 +86,20 @@ def chunk_blocks(blocks: DataFrame, target: int = V.CHUNK_CHARS, overlap: int =
     columns = ["document_id", "chunk_index", "page_start", "page_end", "content", "section_title"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, section = None, None, None
-        for batch in batches:
-            rows: list[tuple] = []
-            titles = batch["section"].where(batch["section"].notna(), None)
-            for document, page, text, table, title in zip(batch["document_id"], batch["page"], batch["text"], batch["is_table"], titles):
-                if state is None or document != current:
-                    if state is not None:
-                        state.close(section)
-                        rows += state.take(current)
-                    current, state = document, _Packer(target, overlap)
-                section = title
-                state.add(int(page), text or "", bool(table), section)
-            if state is not None:
-                rows += state.take(current)
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-        if state is not None:
-            state.close(section)
-            rows = state.take(current)
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+        rows = (
+            (document, (int(page), text or "", bool(table), title))
+            for batch in batches
+            for document, page, text, table, title in zip(
+                batch["document_id"], batch["page"], batch["text"], batch["is_table"], batch["section"].where(batch["section"].notna(), None)
+            )
+        )
+        chunks = (
+            (document, number, *chunk)
+            for document, own in groupby(rows, key=itemgetter(0))
+            for number, chunk in enumerate(_packed(map(itemgetter(1), own), target, overlap))
+        )
+        while part := list(islice(chunks, 1000)):
+            yield pd.DataFrame(part, columns=columns)
 
     return ordered.mapInPandas(pack, CHUNK_SCHEMA.format(key=key))
 

@@ -107,8 +107,10 @@ def _(v: DriverViews):
     "d04_issuer_upsert",
     duck_sql(
         """, stored AS (SELECT profile_number, name, active, industry, 'ON' AS jurisdiction FROM issuers WHERE industry <> 'FURNITURE'),
-           incoming AS (SELECT profile_number, lower(name) AS name, NOT active AS active, CASE WHEN active THEN industry || '2' END AS industry, CASE WHEN active THEN 'BC' END AS jurisdiction
-                        FROM issuers WHERE industry IN ('FURNITURE','BUILDING'))
+           listed AS (SELECT profile_number, lower(name) AS name, NOT active AS active, CASE WHEN active THEN industry || '2' END AS industry, CASE WHEN active THEN 'BC' END AS jurisdiction, 1 AS position
+                        FROM issuers WHERE industry IN ('FURNITURE','BUILDING')
+                      UNION ALL SELECT profile_number, 'z ' || name, active, NULL, 'YT', 2 FROM issuers WHERE industry = 'BUILDING' AND active),
+           incoming AS (SELECT * EXCLUDE position FROM listed QUALIFY row_number() OVER (PARTITION BY profile_number ORDER BY position DESC) = 1)
            SELECT coalesce(s.profile_number, i.profile_number) AS profile_number, CASE WHEN i.profile_number IS NOT NULL THEN i.name ELSE s.name END AS name,
                   CASE WHEN i.profile_number IS NOT NULL THEN i.active ELSE s.active END AS active, coalesce(i.industry, s.industry) AS industry, coalesce(i.jurisdiction, s.jurisdiction) AS jurisdiction
            FROM stored s FULL JOIN incoming i ON s.profile_number = i.profile_number""",
@@ -119,15 +121,20 @@ def _(v: DriverViews):
     columns = ["profile_number", "name", "active", "industry", "jurisdiction"]
     stored = v.issuers.filter("industry <> 'FURNITURE'").withColumn("jurisdiction", F.lit("ON")).select(*columns)
     incoming = v.issuers.filter("industry IN ('FURNITURE','BUILDING')").selectExpr(
-        "profile_number", "lower(name) AS name", "NOT active AS active", "CASE WHEN active THEN concat(industry, '2') END AS industry", "CASE WHEN active THEN 'BC' END AS jurisdiction"
+        "profile_number", "lower(name) AS name", "NOT active AS active", "CASE WHEN active THEN concat(industry, '2') END AS industry", "CASE WHEN active THEN 'BC' END AS jurisdiction", "1 AS position"
     )
-    return R.upsert_issuers(stored, incoming)
+    later = v.issuers.filter("industry = 'BUILDING' AND active").selectExpr(
+        "profile_number", "concat('z ', name) AS name", "active", "cast(NULL AS string) AS industry", "'YT' AS jurisdiction", "2 AS position"
+    )
+    return R.upsert_issuers(stored, later.unionByName(incoming))
 
 
 @query(
     "d05_occurrence_upsert",
     duck_sql(
-        """, stored AS (SELECT occurrence_id, name, region, lat, lng FROM occurrences WHERE lat <= 30), incoming AS (SELECT occurrence_id, upper(name) AS name, region, lat + 1 AS lat, lng + 1 AS lng FROM occurrences WHERE lat > 20)
+        """, stored AS (SELECT occurrence_id, name, region, lat, lng FROM occurrences WHERE lat <= 30), listed AS (SELECT occurrence_id, upper(name) AS name, region, lat + 1 AS lat, lng + 1 AS lng, 1 AS position FROM occurrences WHERE lat > 20
+             UNION ALL SELECT occurrence_id, 'z ' || name, region, lat + 2, lng + 2, 2 FROM occurrences WHERE lat > 40),
+           incoming AS (SELECT * EXCLUDE position FROM listed QUALIFY row_number() OVER (PARTITION BY occurrence_id ORDER BY position DESC) = 1)
            SELECT coalesce(s.occurrence_id, i.occurrence_id) AS external_id, coalesce(i.name, s.name) AS name, coalesce(i.region, s.region) AS region, coalesce(i.lat, s.lat) AS lat, coalesce(i.lng, s.lng) AS lng,
                   CASE WHEN s.occurrence_id IS NOT NULL THEN 7 END AS project_id
            FROM stored s FULL JOIN incoming i ON s.occurrence_id = i.occurrence_id""",
@@ -138,8 +145,9 @@ def _(v: DriverViews):
     base = v.occurrences.withColumns({"source": F.lit("usgs"), "external_id": F.col("occurrence_id"), "country": F.lit(None).cast("string")})
     columns = ["source", "external_id", "name", "country", "region", "commodities", "lat", "lng"]
     stored = base.filter("lat <= 30").select(*columns, F.lit(7).alias("project_id"))
-    incoming = base.filter("lat > 20").select(*columns).withColumns({"name": F.upper("name"), "lat": F.col("lat") + 1, "lng": F.col("lng") + 1})
-    return R.upsert_occurrences(stored, incoming).select("external_id", "name", "region", "lat", "lng", "project_id")
+    incoming = base.filter("lat > 20").select(*columns).withColumns({"name": F.upper("name"), "lat": F.col("lat") + 1, "lng": F.col("lng") + 1, "position": F.lit(1)})
+    later = base.filter("lat > 40").select(*columns).withColumns({"name": F.concat(F.lit("z "), "name"), "lat": F.col("lat") + 2, "lng": F.col("lng") + 2, "position": F.lit(2)})
+    return R.upsert_occurrences(stored, later.unionByName(incoming)).select("external_id", "name", "region", "lat", "lng", "project_id")
 
 
 _MENTIONS = """mentions AS (SELECT c_custkey AS mention_id, CASE WHEN c_custkey % 4 = 0 THEN lower(n) ELSE n END AS name,
@@ -162,7 +170,7 @@ def _resolved(v: DriverViews):
     mentions = v.table("customer").selectExpr(
         "c_custkey AS mention_id", "concat('Supplier#', lpad(cast(c_custkey DIV 8 AS string), 9, '0')) AS n",
         "CASE WHEN c_custkey % 3 = 0 THEN lpad(cast(c_custkey DIV 9 AS string), 10, '0') END AS cik",
-    ).selectExpr("mention_id", "CASE WHEN mention_id % 4 = 0 THEN lower(n) ELSE n END AS name", "cik", "cast(NULL AS string) AS ticker")
+    ).selectExpr("mention_id", "CASE WHEN mention_id % 4 = 0 THEN lower(n) ELSE n END AS name", "cik", "CASE WHEN mention_id % 2 = 1 THEN concat('T', mention_id) END AS ticker")
     return R.resolve_companies(mentions, _stored_companies(v))
 
 
@@ -174,14 +182,16 @@ def _(v: DriverViews):
 @query(
     "d06_company_updates",
     duck_sql(
-        """SELECT s.company_id, coalesce(r.name, s.name) AS name, coalesce(s.cik, c.cik) AS cik FROM stored s
+        """SELECT s.company_id, coalesce(r.name, s.name) AS name, coalesce(s.cik, c.cik) AS cik, coalesce(CASE WHEN s.company_id % 5 = 0 THEN 'OLD' END, t.ticker) AS ticker FROM stored s
+           LEFT JOIN (SELECT company_id, 'T' || min(mention_id) AS ticker FROM resolved WHERE how = 'cik' AND mention_id % 2 = 1 GROUP BY 1) t USING (company_id)
            LEFT JOIN (SELECT company_id, arg_max(name, mention_id) AS name FROM resolved WHERE how = 'cik' GROUP BY 1) r USING (company_id)
            LEFT JOIN (SELECT company_id, arg_min(cik, mention_id) AS cik FROM resolved WHERE how = 'name' AND cik IS NOT NULL GROUP BY 1) c USING (company_id)""",
         "companies", ctes=_MENTIONS,
     ),
 )
 def _(v: DriverViews):
-    return R.apply_company_updates(_stored_companies(v), _resolved(v)).select("company_id", "name", "cik")
+    stored = _stored_companies(v).withColumn("ticker", F.when(F.col("company_id") % 5 == 0, F.lit("OLD")))
+    return R.apply_company_updates(stored, _resolved(v)).select("company_id", "name", "cik", "ticker")
 
 
 @query("d06_new_companies", duck_sql("SELECT new_key, arg_min(name, mention_id) AS name, count(*) AS mentions FROM resolved WHERE how = 'new' GROUP BY 1", "companies", ctes=_MENTIONS))

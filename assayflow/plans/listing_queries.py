@@ -78,7 +78,7 @@ def _(v: DriverViews):
            LEFT JOIN (SELECT company_id, count(DISTINCT project_id) AS n, array_to_string(list_sort(list_distinct(flatten(list(commodities)))), '|') AS commodities
                       FROM projects GROUP BY 1) p USING (company_id)
            LEFT JOIN (SELECT company_id, count(*) AS n, max(filed_at) AS last_filed FROM filings GROUP BY 1) d USING (company_id)
-           ORDER BY c.name, c.company_id LIMIT 2000""",
+           ORDER BY c.name, c.company_id""",
         "companies", "projects", "filings",
     ),
 )
@@ -248,7 +248,8 @@ def _(v: DriverViews):
     "q40_merge_events",
     duck_sql(
         """SELECT arg_max(event_id, o) AS event_id, arg_max(project_id, o) AS project_id, arg_max(event_date, o) AS event_date,
-                  array_to_string(list_sort(list_distinct(list(coalesce(event_type, 'event')))), '|') AS types, bool_or(is_new) AS is_new
+                  (SELECT string_agg(k, '|' ORDER BY m DESC) FROM (SELECT u.k AS k, max(u.o) AS m FROM (SELECT unnest(list(struct_pack(k := coalesce(event_type, 'event'), o := o))) AS u) GROUP BY 1)) AS types,
+                  bool_or(is_new) AS is_new
            FROM (SELECT *, created_at > TIMESTAMP '2024-01-20' AS is_new,
                         CASE WHEN document_id IS NOT NULL THEN 'f|' || project_id || '|' || document_id ELSE 'e|' || event_id END AS entry,
                         struct_pack(a := coalesce(event_date, DATE '0001-01-01'), b := event_id) AS o FROM project_events)

@@ -29,11 +29,11 @@ def _vectors(v: DriverViews):
 
 def _questions(v: DriverViews):
     vectors = v.table("embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    items = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("query_text"))
+    items = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return items.join(vectors, "query_id")
 
 
-_COSINE = """q AS (SELECT item_id AS query_id, left(text, 60) AS query_text, embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
+_COSINE = """q AS (SELECT item_id AS query_id, text AS query_text, embedding::DOUBLE[] AS qe FROM benchmark JOIN embeddings ON vec_id = item_id),
 vh AS (SELECT query_id, vec_id AS chunk_id, 1 - list_dot_product(embedding::DOUBLE[], qe) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(qe, qe)) AS distance FROM embeddings, q),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vh QUALIFY rank <= 40)"""
 # The fused search sees vectors of stored documents only.
@@ -105,17 +105,18 @@ def _(v: DriverViews):
 @query(
     "r07_quality",
     duck_sql(
-        """, ans AS (SELECT q.query_id, d.doc_id AS document_id FROM q JOIN benchmark b ON b.item_id = q.query_id JOIN documents d ON contains(d.text, left(b.text, 40))),
+        """, ans AS (SELECT q.query_id, d.doc_id AS document_id FROM q JOIN benchmark b ON b.item_id = q.query_id JOIN documents d ON contains(d.text, b.text)),
              f AS (SELECT a.query_id, min(t.place) AS first_rank FROM (SELECT DISTINCT query_id FROM ans) a LEFT JOIN (SELECT t.query_id, t.place FROM top t JOIN ans x ON x.query_id = t.query_id AND x.document_id = t.chunk_id) t USING (query_id) GROUP BY 1)
              SELECT count(*) AS questions, count(*) FILTER (first_rank <= 1) AS hit_1, count(*) FILTER (first_rank <= 3) AS hit_3, count(*) FILTER (first_rank <= 8) AS hit_8, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM f""",
         ctes=",".join((_COSINE_DOCS, _WORDS, _FUSED)),
     ),
 )
 def _(v: DriverViews):
-    opening = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("opening"))
-    found = v.documents.join(opening, F.contains(F.col("text"), F.col("opening"))).select("query_id", F.col("doc_id").alias("document_id"))
-    asked = _questions(v).select("query_id")
-    expected = found.join(asked, "query_id", "left_semi").withColumns({"page_start": F.lit(1), "page_end": F.lit(1)})
+    texts = _texts(v)
+    passages = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    found = R.documents_holding(texts, passages.join(_questions(v).select("query_id"), "query_id", "left_semi"))
+    asked = found.join(passages, "query_id").select("query_id", "document_id", F.concat(F.lit("\\Q"), "passage", F.lit("\\E")).alias("answer"))
+    expected = R.expected_pages(texts, asked)
     return R.retrieval_quality(_hybrid(v), expected).withColumn("mrr", F.round("mrr", 6))
 
 
@@ -164,7 +165,7 @@ def _fact_chunks(v: DriverViews):
 _GOOD = "flag <> 'N' AND tonnes > 0 AND coalesce(au, 1) > 0"
 
 
-@query("v04_verify_resources", duck_sql(f"SELECT estimate_id AS fact_id, {_GOOD} AS verified FROM facts", "resources", ctes=_FACTS))
+@query("v04_verify_resources", duck_sql(f"SELECT estimate_id AS fact_id, {_GOOD} AS verified FROM facts WHERE NOT reviewed", "resources", ctes=_FACTS))
 def _(v: DriverViews):
     return V.verify_resources(_facts(v), _fact_chunks(v))
 
@@ -172,7 +173,7 @@ def _(v: DriverViews):
 @query(
     "v05_verify_drills",
     duck_sql(
-        """SELECT drill_id AS fact_id, coalesce(hole_id IS NOT NULL AND length(hole_id) > 3 AND from_m > 0 AND interval_m > 0 AND coalesce(au, cu) IS NOT NULL AND NOT reviewed, false) AS verified FROM drills""",
+        """SELECT drill_id AS fact_id, coalesce(hole_id IS NOT NULL AND length(hole_id) > 3 AND from_m > 0 AND interval_m > 0 AND coalesce(au, cu) IS NOT NULL AND NOT reviewed, false) AS verified FROM drills WHERE NOT reviewed""",
         "drills",
     ),
 )
@@ -192,7 +193,7 @@ def _(v: DriverViews):
 @query(
     "v06_verify_economics",
     duck_sql(
-        """SELECT study_id AS fact_id, npv_key IS NOT NULL AND reviewed AS verified FROM economics""",
+        """SELECT study_id AS fact_id, npv_key IS NOT NULL AND study_id % 3 = 0 AS verified FROM economics WHERE NOT reviewed""",
         "economics",
     ),
 )
@@ -200,7 +201,7 @@ def _(v: DriverViews):
     studies = v.economics.withColumnRenamed("study_id", "fact_id").withColumn("npv", F.map_filter("npv", lambda k, _: k != "unspecified"))
     value = F.try_element_at(F.map_values("npv"), F.lit(1))
     other = F.coalesce(F.concat(F.lit(" IRR "), F.format_number("irr_pct", 1), F.lit("%")), F.concat(F.lit(" capital "), F.format_number("capex_initial", 2)), F.lit(""))
-    label = F.when(F.col("reviewed"), F.lit("After-tax NPV of US$ ")).otherwise(F.lit("Revenue of US$ "))
+    label = F.when(F.col("fact_id") % 3 == 0, F.lit("After-tax NPV of US$ ")).otherwise(F.lit("Revenue of US$ "))
     text = F.concat(label, F.format_number(value, 3), F.lit(" million."), other)
     chunks = studies.filter(value.isNotNull()).select(F.col("fact_id").alias("chunk_id"), "document_id", F.lit(0).alias("chunk_index"), text.alias("content"))
     return V.verify_economics(studies, chunks)
@@ -218,7 +219,7 @@ def _(v: DriverViews):
     return V.apply_verdicts(facts, V.verify_resources(facts, _fact_chunks(v))).select("fact_id", "reviewed", "review_source")
 
 
-@query("v07_counts", duck_sql(f"SELECT 'resource' AS kind, count(*) FILTER ({_GOOD}) AS verified, count(*) FILTER (NOT ({_GOOD})) AS to_read FROM facts", "resources", ctes=_FACTS))
+@query("v07_counts", duck_sql(f"SELECT 'resource' AS kind, count(*) FILTER ({_GOOD}) AS verified, count(*) FILTER (NOT ({_GOOD})) AS to_read FROM facts WHERE NOT reviewed", "resources", ctes=_FACTS))
 def _(v: DriverViews):
     return V.verdict_counts({"resource": V.verify_resources(_facts(v), _fact_chunks(v))})
 
@@ -229,7 +230,10 @@ def _decisions(v: DriverViews):
     change = F.create_map(F.lit("tonnes"), F.lit("123.5"), F.lit("category"), F.lit("inferred"), F.lit("grade"), F.lit('{"Au_gpt": 2.5}'))
     odd = F.create_map(F.lit("reviewed"), F.lit("true"))
     fields = F.when((action == "edit") & (F.col("document_id") % 2 == 0), change).when(action == "edit", odd)
-    return picked.select(F.lit("resource").alias("kind"), F.col("estimate_id").alias("id"), action.alias("action"), F.lit("ok").alias("note"), fields.alias("fields"))
+    first = picked.select(F.lit("resource").alias("kind"), F.col("estimate_id").alias("id"), action.alias("action"), F.lit("ok").alias("note"), fields.alias("fields"), F.lit(1).alias("seq"))
+    # a second, contrary decision on every other filing: it comes too late
+    late = first.withColumns({"action": F.when(F.col("action") == "delete", F.lit("approve")).otherwise(F.lit("delete")), "seq": F.lit(2)})
+    return late.filter("length(id) % 2 = 0").unionByName(first)
 
 
 _DECIDED = """decided AS (SELECT r.*, CASE WHEN toxic = 1 THEN 'delete' WHEN quality = 1 THEN 'approve' WHEN quality = 0 THEN 'edit' END AS action FROM resources r LEFT JOIN labels ON doc_id = document_id)"""
@@ -252,16 +256,16 @@ def _(v: DriverViews):
 
 @query(
     "v08_decision_counts",
-    duck_sql("SELECT CASE WHEN reviewed THEN 'skipped' WHEN action = 'delete' THEN 'delete' WHEN action = 'edit' THEN 'edit' ELSE 'approve' END AS outcome, count(*) AS n FROM decided WHERE action IS NOT NULL GROUP BY 1", "resources", ctes=_DECIDED),
+    duck_sql("SELECT outcome, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN reviewed THEN 'skipped' WHEN action = 'delete' THEN 'delete' WHEN action = 'edit' THEN 'edit' ELSE 'approve' END AS outcome, count(*) AS n FROM decided WHERE action IS NOT NULL GROUP BY 1 UNION ALL SELECT 'skipped', count(*) FROM decided WHERE action IS NOT NULL AND length(estimate_id) % 2 = 0) GROUP BY 1", "resources", ctes=_DECIDED),
 )
 def _(v: DriverViews):
     facts = v.resources.select(F.col("estimate_id").alias("fact_id"), F.lit("resource").alias("kind"), "reviewed")
     return V.decision_counts(facts, _decisions(v))
 
 
-@query("v08_bulk_approve", duck_sql("SELECT estimate_id, reviewed OR extraction_confidence >= 0.7 AS reviewed FROM resources", "resources"))
+@query("v08_bulk_approve", duck_sql("SELECT estimate_id, reviewed OR extraction_confidence >= 0.7 AS reviewed, CASE WHEN NOT reviewed AND extraction_confidence >= 0.7 THEN 'human' END AS review_source FROM resources", "resources"))
 def _(v: DriverViews):
-    return V.bulk_approve(v.resources).select("estimate_id", "reviewed")
+    return V.bulk_approve(v.resources).select("estimate_id", "reviewed", "review_source")
 
 
 @query(
@@ -312,9 +316,10 @@ def _(v: DriverViews):
 
 
 def _sides(v: DriverViews):
-    rows = v.resources.select("document_id", F.col("estimate_id").alias("row_id"), "category", "tonnes", "grade")
+    tonnes = F.when(F.col("line") % 5 != 0, F.col("tonnes")) if "line" in v.resources.columns else F.when(F.length("estimate_id") % 3 != 0, F.col("tonnes"))
+    rows = v.resources.select("document_id", F.col("estimate_id").alias("row_id"), "category", tonnes.alias("tonnes"), "grade")
     new = rows.withColumn("tonnes", F.when(F.length("row_id") % 2 == 0, F.col("tonnes") * 1.01).otherwise(F.col("tonnes") * 1.1))
-    return rows.filter("tonnes > 0"), new.filter("tonnes > 0")
+    return rows, new
 
 
 @query("e01_match")
@@ -380,11 +385,11 @@ def _(v: DriverViews):
 
 @query(
     "f04_money",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'US$' ELSE 'XYZ ' END || CASE WHEN o_custkey >= 1000 THEN rtrim(rtrim(printf('%.2f', o_custkey / 1000.0), '0'), '.') || 'B' ELSE o_custkey || 'M' END AS text FROM orders WHERE o_custkey % 10 = 0 AND o_custkey > 0""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'US$' ELSE 'XYZ ' END || CASE WHEN o_custkey >= 1000 THEN rtrim(rtrim(printf('%.2f', o_custkey / 1000.0), '0'), '.') || 'B' ELSE o_custkey || 'M' END AS text FROM orders WHERE o_custkey > 0""",
 )
 def _(v: DriverViews):
     code = F.when(F.col("o_orderkey") % 2 == 0, F.lit("USD")).otherwise(F.lit("XYZ"))
-    return v.table("orders").filter("o_custkey % 10 = 0 AND o_custkey > 0").select("o_orderkey", fmt.money("o_custkey", code).alias("text"))
+    return v.table("orders").filter("o_custkey > 0").select("o_orderkey", fmt.money("o_custkey", code).alias("text"))
 
 
 @query("f05_contained", "SELECT p_partkey, p_size || ' Moz Au, ' || p_size || ' Blb Cu' AS text, 'US$' || p_size || '/oz Au' AS price FROM part")

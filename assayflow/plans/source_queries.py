@@ -81,9 +81,9 @@ def _(v: DriverViews):
     return rows.select(F.regexp_extract("guid", r"(\d+)$", 1).cast("long").alias("event_id"), "guid", "filed_at", "on_topic")
 
 
-@query("s16_topic_counts", "SELECT regexp_matches(lower(left(text, 200)), 'drill|intercept|ni 43-101|sk-1300|resource|reserve|mine|mining|gold|copper|lithium|uranium|nickel') AS on_topic, count(*) AS n FROM documents GROUP BY 1")
+@query("s16_topic_counts", "SELECT regexp_matches(lower(text), 'drill|intercept|ni 43-101|sk-1300|resource|reserve|mine|mining|gold|copper|lithium|uranium|nickel') AS on_topic, count(*) AS n FROM documents GROUP BY 1")
 def _(v: DriverViews):
-    return feeds.topic_counts(v.documents.select(F.left("text", F.lit(200)).alias("title")))
+    return feeds.topic_counts(v.documents.select(F.col("text").alias("title")))
 
 
 def _index_files(v: DriverViews):
@@ -221,7 +221,7 @@ def _(v: DriverViews):
 )
 def _(v: DriverViews):
     special = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('<a href="https://x.sedarplus.ca/f/'), F.col("conv_id").cast("string"), F.lit('">'))).otherwise(F.lit(""))
-    link = feeds.mail_link(F.lit("see http://news.example/a)."), F.left("text", F.lit(50)), special)
+    link = feeds.mail_link(F.lit("see http://news.example/a)."), F.col("text"), special)
     return v.table("conversations").select("conv_id", "turn", link.alias("link"))
 
 

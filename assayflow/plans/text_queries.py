@@ -180,12 +180,12 @@ def _(v: DriverViews):
     "t17_event_class",
     """SELECT doc_id, CASE WHEN lang IN ('fr','es') AND regexp_matches(t, 'drill|intercept|assay|metre of|meter of|m of') THEN 'drill_results'
               WHEN lang IN ('fr','es') AND regexp_matches(t, 'financ|bought deal|private placement|offering|bought-deal|placement') THEN 'financing' ELSE 'new_report' END AS event_type
-       FROM (SELECT *, lower(source || ' ' || CASE WHEN doc_id % 4 = 0 THEN 'Bought Deal ' WHEN doc_id % 4 = 1 THEN '12 m of gold ' ELSE '' END || left(text, 200)) AS t FROM documents)""",
+       FROM (SELECT *, lower(source || ' ' || CASE WHEN doc_id % 4 = 0 THEN 'Bought Deal ' WHEN doc_id % 4 = 1 THEN '12 m of gold ' ELSE '' END || text) AS t FROM documents)""",
 )
 def _(v: DriverViews):
     kind = F.when(F.col("lang") == "fr", F.lit("mda")).when(F.col("lang") == "es", F.lit("Press_Release")).otherwise(F.col("lang"))
     lead = F.when(F.col("doc_id") % 4 == 0, F.lit("Bought Deal ")).when(F.col("doc_id") % 4 == 1, F.lit("12 m of gold ")).otherwise(F.lit(""))
-    return v.documents.select("doc_id", T.event_type(kind, "source", F.concat(lead, F.left("text", F.lit(200)))).alias("event_type"))
+    return v.documents.select("doc_id", T.event_type(kind, "source", F.concat(lead, "text")).alias("event_type"))
 
 
 _MARKS = """marks AS (SELECT DISTINCT source, document_id, sha256(left(content, 500)) AS mark FROM chunks WHERE content <> ''),
@@ -233,7 +233,7 @@ def _cited_messages(v: DriverViews):
     uuid = F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
     page = (F.col("turn") % 3 + 1).cast("string")
     text = F.concat(
-        F.left("text", F.lit(20)), F.lit(" ["), uuid, F.lit(" p."), page, F.lit("] and ["), F.upper(uuid), F.lit(" p.2-"), (F.col("turn") % 3 + 2).cast("string"), F.lit("] ["), uuid, F.lit(" p."), page, F.lit("]"),
+        F.col("text"), F.lit(" ["), uuid, F.lit(" p."), page, F.lit("] and ["), F.upper(uuid), F.lit(" p.2-"), (F.col("turn") % 3 + 2).cast("string"), F.lit("] ["), uuid, F.lit(" p."), page, F.lit("]"),
     )
     return v.table("conversations").withColumn("text", text)
 

@@ -1,10 +1,7 @@
-"""Session settings and the two reliability helpers the operators share."""
+"""Session settings and the reliability helpers the operators share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -28,35 +25,19 @@ def build_session(app: str = "assayflow", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one beside the warehouse tables, on any master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return root.rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: on a cluster such a folder would
-    exist on one machine and the checkpoint would be lost with it.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    context.setCheckpointDir(shared)
+    """Checkpoints go to the shared folder; a folder set on the context before stays."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages re-read files, so a lost executor costs nothing twice."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
-
-
-def spread_few_files(frame: DataFrame) -> DataFrame:
-    """Rows of a table held in fewer files than there are cores, dealt out to all of them.
-
-    A file with one row group is one task however many cores wait; work that is heavy per row
-    then runs on one core. Tables of many files, as on a cluster, pass through without a shuffle.
-    Filters and column pruning still reach the scan through the exchange.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame

@@ -28,8 +28,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Review decisions, one JSON object a line; blank lines are no decisions."""
-    return spark.read.schema(DECISION_SHAPE).json(path).filter(F.col("id").isNotNull())
+    """Review decisions, one JSON object a line, in the order of ``seq``; blank lines are no decisions."""
+    return spark.read.schema(DECISION_SHAPE).json(path).withColumn("seq", F.monotonically_increasing_id()).filter(F.col("id").isNotNull())
 
 
 def write_to_read(rows: DataFrame, path: str) -> None:

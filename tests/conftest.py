@@ -12,8 +12,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"})
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    folders = {"spark.checkpoint.dir": f"{shared}/checkpoints", "spark.sql.warehouse.dir": f"{shared}/warehouse"}
+    session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g", **folders})
     session.sparkContext.setLogLevel("OFF")
     logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     yield session

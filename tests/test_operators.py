@@ -43,53 +43,43 @@ def test_headings(spark, text, is_head):
     assert (got == text) if is_head else got is None
 
 
-def plain_chunks(blocks, target, overlap, sections):
-    """Whole-document walk used to check the streaming packer."""
-    chunks, buf, size, first, last = [], [], 0, None, None
-
-    def flush(section):
-        nonlocal buf, size
-        if not buf:
-            return
-        text = "\n\n".join(buf).strip()
-        if text:
-            chunks.append((len(chunks), first or 1, last or first or 1, text, section))
-        tail = text[-overlap:] if text else ""
-        buf, size = ([tail], len(tail)) if tail else ([], 0)
-
-    section = None
-    for (page, text, table), section in zip(blocks, sections):
-        if buf and size + len(text) > target:
-            flush(section)
-            first = page
-        first = page if first is None else first
-        last = page
-        if table and len(text) > target and buf:
-            flush(section)
-            first = page
-        buf.append(text)
-        size += len(text)
-    flush(section)
-    return chunks
-
-
-def test_chunks_match_a_plain_walk(spark):
-    rng = random.Random(3)
-    docs = {}
-    for d in range(12):
-        docs[d] = [(1 + i // 5, rng.choice(["Item 3 Area", "1.2 Setting", "text"]) + "\n" + "w" * rng.randint(0, 160), rng.random() < 0.2) for i in range(rng.randint(1, 60))]
-    rows = [(d, p, i, t, table) for d, bs in docs.items() for i, (p, t, table) in enumerate(bs)]
-    table = spark.createDataFrame(rows, "document_id int, page int, position int, text string, is_table boolean")
+def test_chunks_of_stated_blocks(spark):
+    """Target 20, overlap 4: what opens a chunk, what it carries over, its pages and its section."""
+    blocks = {
+        "short": [(1, "aaaa", False), (2, "bbbb", False)],
+        "full": [(1, "a" * 15, False), (2, "bbbbbb", False), (3, "cc", False)],
+        "table": [(1, "intro text", False), (2, "t" * 25, True), (2, "after", False)],
+        "first table": [(4, "t" * 25, True)],
+        "headed": [(1, "Item 3 Area\n" + "x" * 8, False), (1, "Item 4 Other\n" + "y" * 8, False)],
+        "blank": [(1, "  ", False), (2, "", False)],
+    }
+    want = {
+        "short": [(0, 1, 2, "aaaa\n\nbbbb", None)],
+        "full": [(0, 1, 1, "a" * 15, None), (1, 2, 3, "aaaa\n\nbbbbbb\n\ncc", None)],
+        "table": [(0, 1, 1, "intro text", None), (1, 2, 2, "text", None), (2, 2, 2, "text\n\n" + "t" * 25, None), (3, 2, 2, "tttt\n\nafter", None)],
+        "first table": [(0, 4, 4, "t" * 25, None)],
+        "headed": [(0, 1, 1, "Item 3 Area\n" + "x" * 8, "Item 4 Other"), (1, 1, 1, "xxxx\n\nItem 4 Other\n" + "y" * 8, "Item 4 Other")],
+    }
+    rows = [(d, p, i, t, table) for d, bs in blocks.items() for i, (p, t, table) in enumerate(bs)]
+    frame = spark.createDataFrame(rows, "document_id string, page int, position int, text string, is_table boolean")
     got = {}
-    for r in X.chunk_blocks(table, target=120, overlap=15).collect():
+    for r in X.chunk_blocks(frame, target=20, overlap=4).collect():
         got.setdefault(r.document_id, []).append((r.chunk_index, r.page_start, r.page_end, r.content, r.section_title))
-    for d, bs in docs.items():
-        section, sections = None, []
-        for _, t, _table in bs:
-            head = t.split("\n")[0]
-            section = head if head != "text" else section
-            sections.append(section)
-        assert sorted(got[d]) == plain_chunks(bs, 120, 15, sections)
+    assert {d: sorted(c) for d, c in got.items()} == want
+
+
+def test_every_block_is_in_its_documents_chunks(spark):
+    rng = random.Random(3)
+    rows = [(d, 1 + i // 5, i, f"{d}:{i}:" + "w" * rng.randint(1, 160), rng.random() < 0.2) for d in range(12) for i in range(rng.randint(1, 60))]
+    frame = spark.createDataFrame(rows, "document_id int, page int, position int, text string, is_table boolean")
+    chunks = {}
+    for r in sorted(X.chunk_blocks(frame, target=120, overlap=15).collect(), key=lambda r: (r.document_id, r.chunk_index)):
+        chunks.setdefault(r.document_id, []).append(r)
+    for d, own in chunks.items():
+        assert [c.chunk_index for c in own] == list(range(len(own)))
+        assert all(b.content.startswith(a.content[-15:]) for a, b in zip(own, own[1:]))
+        for _, page, _, text, _ in (r for r in rows if r[0] == d):
+            assert any(text in c.content and c.page_start <= page <= c.page_end for c in own)
 
 
 def test_embedding_batches(spark):
@@ -210,11 +200,55 @@ def test_tiers_and_full_extraction(spark):
 def test_guarded_select(spark):
     table = spark.range(3).toDF("company_id")
     assert listing.guarded_select(spark, "WITH x AS (SELECT company_id FROM v_companies) SELECT count(*) AS n FROM x;", {"v_companies": table}).first().n == 3
-    for bad in ("DELETE FROM v_companies", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "SELECT * FROM v_companies WHERE 1 = (SELECT 1 FROM information_schema.tables)"):
+    for bad in ("DELETE FROM v_companies", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "SELECT * FROM v_companies WHERE 1 = (SELECT 1 FROM information_schema.tables)", "SELECT * FROM v_companies, secrets",
+                "SELECT * FROM range(5)", "SHOW TABLES", "SELECT (SELECT max(id) FROM secrets) FROM v_companies", "FROM secrets SELECT *", "SELECT 1 FROM v_companies WHERE EXISTS (SELECT 1 FROM secrets)"):
         with pytest.raises(ValueError):
             listing.guarded_select(spark, bad, {"v_companies": table})
 
 
+def test_guard_leaves_no_views(spark):
+    spark.range(2).createOrReplaceTempView("secrets")
+    table = spark.range(3).toDF("company_id")
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = listing.guarded_select(spark, "SELECT c.company_id FROM v_companies c JOIN v_companies d USING (company_id) ORDER BY 1 DESC", {"v_companies": table})
+    assert [r.company_id for r in rows.collect()] == [2, 1, 0]
+    with pytest.raises(ValueError):
+        listing.guarded_select(spark, "SELECT * FROM v_companies, secrets", {"v_companies": table})
+    assert {t.name for t in spark.catalog.listTables()} == before
+    spark.catalog.dropTempView("secrets")
+
+
+def test_missing_tonnes_pair_by_place(spark):
+    shape = "document_id int, row_id string, category string, tonnes double"
+    old = spark.createDataFrame([(1, "a", "inferred", None), (1, "b", "inferred", 100.0), (1, "c", "inferred", 0.0)], shape)
+    new = spark.createDataFrame([(1, "x", "inferred", None), (1, "y", "inferred", 101.0), (1, "z", "inferred", 0.0), (1, "zz", "inferred", None)], shape)
+    got = sorted((r.ref_id, r.cand_id) for r in E.match_rows(old, new).collect())
+    assert got == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_first_decision_counts(spark):
+    facts = spark.createDataFrame([("f", False, 1.0)], "fact_id string, reviewed boolean, tonnes double")
+    for order in ((1, 2), (2, 1)):
+        rows = [("resource", "f", "approve", None, None, order[0]), ("resource", "f", "delete", None, None, order[1])]
+        decisions = spark.createDataFrame(rows, "kind string, id string, action string, note string, fields map<string,string>, seq int")
+        assert V.apply_decisions(facts, decisions, "resource").count() == (order[0] == 1)
+        kinds = facts.withColumn("kind", F.lit("resource"))
+        assert dict(map(tuple, V.decision_counts(kinds, decisions).collect())) == {"approve" if order[0] == 1 else "delete": 1, "skipped": 1}
+
+
+def test_vector_hits_over_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(150, 6))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, [0.0] * 6), (901, None)], "chunk_id int, embedding array<double>")
+    queries = table.filter("chunk_id < 25").select(F.concat(F.lit("q"), "chunk_id").alias("query_id"), "embedding")
+    got = {}
+    for r in R.vector_hits(table, queries, limit=7, block=4, chunk_block=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(25):
+        assert [c for _, c in sorted(got[f"q{q}"])] == np.argsort(1 - unit @ unit[q], kind="stable")[:7].tolist()
+
+
 def test_landing_stream_keeps_each_filing_once(spark, tmp_path):
     folder, store, checkpoint = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "cp")
     folder.mkdir()
