@@ -129,7 +129,11 @@ def clean_metal(grade: ColumnLike, metal: ColumnLike) -> Column:
 
 
 def validate_resources(rows: DataFrame) -> DataFrame:
-    """Split categories, convert tonnage, move stray ounces and lower the confidence of odd rows."""
+    """Split categories, convert tonnage, move stray ounces and lower the confidence of odd rows.
+
+    Labels repeat, so each different one is split once and joined back.
+    """
+    labels = rows.select(F.col("category").alias("_label")).distinct().withColumn("_split", split_category("_label"))
     empty = F.create_map().cast("map<string,double>")
     grade = F.coalesce(F.col("grade"), empty)
     metal = F.coalesce(F.col("contained_metal"), empty)
@@ -139,11 +143,11 @@ def validate_resources(rows: DataFrame) -> DataFrame:
         *[c for c in rows.columns if c not in ("grade", "contained_metal")],
         grade.alias("grade"),
         metal.alias("contained_metal"),
-        split_category("category").alias("_split"),
         tonnes_in_metric("tonnes", "tonnage_unit").alias("_tonnes"),
         (F.col("tonnage_unit").isNotNull() & lookup(V.TONNAGE_FACTORS, unit).isNull()).alias("_odd_unit"),
         F.map_entries(grade).alias("_entries"),
     )
+    staged = staged.join(labels, F.col("category").eqNullSafe(F.col("_label")), "left").drop("_label")
     entries = F.col("_entries")
     bad_key = F.exists(entries, lambda e: ~e["key"].rlike(V.GRADE_KEY))
     stray = F.exists(entries, lambda e: _ounces(e["key"], e["value"]))

@@ -276,7 +276,14 @@ def _(v: DriverViews):
     return rows.select("document_id", F.try_element_at("npv", F.lit("post_tax_5pct")).alias("npv_5"), "irr_pct", "capex_initial", "currency", "study_type")
 
 
-@query("t10_page_cells")
+@query("t10_page_cells", "SELECT page_id AS document_id, 4::BIGINT AS cells, 2 AS tables, len(url)::BIGINT AS url_length, len(html) - len(replace(html, '<', '')) AS marks FROM pages")
 def _(v: DriverViews):
-    """Cells of the driver's own pages; they hold no tables, so this is an empty result."""
-    return html.html_cells(v.table("pages").select(F.col("page_id").alias("document_id"), "html"))
+    """The driver's own pages hold no tables, so each gets two around what it has: its address and its number of tags."""
+    marks = F.length("html") - F.length(F.replace("html", F.lit("<"), F.lit("")))
+    row = lambda a, b: F.concat(F.lit("<table><tr><td>"), a, F.lit("</td><td>"), b.cast("string"), F.lit("</td></tr></table>"))
+    page = F.concat("html", row(F.lit("address"), F.length("url")), row(F.lit("tags"), marks))
+    cells = html.html_cells(v.table("pages").select(F.col("page_id").alias("document_id"), page.alias("html")))
+    second = lambda table: F.max(F.when((F.col("col_no") == 1) & (F.col("table_no") == table), F.col("text"))).cast("long")
+    return cells.groupBy("document_id").agg(
+        F.count("*").alias("cells"), F.count_distinct("table_no").cast("int").alias("tables"), second(0).alias("url_length"), second(1).alias("marks")
+    )
