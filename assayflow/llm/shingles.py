@@ -7,7 +7,7 @@ import xxhash
 
 SHINGLE = 5
 #: A task forgets its word hashes beyond this many, so that its memory stays bounded.
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
