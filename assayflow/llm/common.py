@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 #: White space of the word rule, as a character class and as the characters themselves.
 BLANK = "[ \\t-\\r]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -28,14 +30,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one beside the tables of the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return root.rstrip("/")
-
-
 class Written:
     """Tables written once in the shared folder and read again; they cut lineage and outlive executors."""
 
