@@ -56,6 +56,9 @@ class Runs:
     def add(self, digests: DataFrame) -> None:
         """A batch: one row per document and different digest in it."""
         own = digests.groupBy("digest").agg(F.count("*").alias("docs"))
+        if self.settled:
+            # counted and written first: an anti-join would else be moved below the count, to one row for every line
+            own = self.tables.keep(own, f"batch-{self.made}")
         for run in self.settled:
             own = own.join(run.select("digest").hint("merge"), "digest", "left_anti")
         self._place(0, self._write(own))
