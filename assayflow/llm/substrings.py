@@ -31,7 +31,7 @@ from .fm_index import FMIndex
 from .shingles import WordHashes, chained, words_in
 
 WINDOW, ANCHOR = 50, 20
-HOT = 256
+HOT = 2000
 SHARD_WORDS = 200_000
 #: Window digests that a task remembers, to send the words of a frequent window once.
 SEEN = 100_000
@@ -159,16 +159,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     pieces = tables.keep(held.mapInArrow(_cut, "doc_id long, k1 long, k2 int, start int, windows int, key long, digest binary, words binary"), "pieces")
     tables.drop("anchors", "shared")
 
-    different = pieces.groupBy("key", "digest", "windows").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("words").alias("words"))
-    different = tables.keep(different.filter("windows > 1 OR owner < last").drop("last"), "different")
-    words = different.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)) / 8).first()[0]
+    words = pieces.filter("words IS NOT NULL").agg(F.coalesce(F.sum(F.col("windows") + WINDOW), F.lit(0))).first()[0]
     shards = max(1, round(words / SHARD_WORDS))
-    dealt = different.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "digest", "words", "owner")
+    different = pieces.groupBy("key", "digest", "windows").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("words").alias("words"))
+    dealt = different.filter("windows > 1 OR owner < last").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "digest", "words", "owner")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
     least = tables.keep(dealt.mapInArrow(_searched, "digest binary, least array<long>"), "least")
     found = pieces.select("k1", "k2", "doc_id", "start", "digest").join(least, "digest")
     starts = F.transform("least", lambda low, i: F.when(low < F.col("doc_id"), F.col("start") + i))
     found = found.select("k1", "k2", F.array_compact(starts).alias("starts")).filter(F.size("starts") > 0)
     found = tables.keep(found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts")), "found")
-    tables.drop("pieces", "different", "least")
+    tables.drop("pieces", "least")
     return keyed.join(found, ["k1", "k2"], "left").select("doc_id", "text", "starts").mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_text string")
