@@ -59,7 +59,8 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """``license_id, text`` of the texts above; a caller may pass a larger table of the same columns."""
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in KNOWN])
+    return spark.range(1).select(F.inline(rows))
 
 
 def canonical_lines(text: Column) -> Column:
