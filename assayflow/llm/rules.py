@@ -147,6 +147,8 @@ def ablations(rows: DataFrame, policies: list[Policy]) -> DataFrame:
 def keep_good(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
     """The documents that pass, with the columns they came with."""
     spare = "ledger_" + "_".join(docs.columns)[:200]
-    rows = measured(docs, into=spare)
-    failed = F.col(f"`{spare}`.failed")
-    return rows.filter(passes(failed, policy) & passes(failed, BASE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # exploding keeps the filter above the measures; moved below them it would repeat every measure's expression
+    rows = measured(docs, into=spare).select(*own, F.explode(F.array(F.col(f"`{spare}`.failed"))).alias(spare))
+    failed = F.col(f"`{spare}`")
+    return rows.filter(passes(failed, policy) & passes(failed, BASE)).select(*own)
