@@ -112,12 +112,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int =
     kept = F.when(F.col("gone").isNull(), text_of(F.col("row").getField("text"))).otherwise(
         F.array_join(F.transform("stay", lambda i: F.get(F.col("lines"), i)), "\n")
     )
-    return held.select(
-        *[F.col("row").getField(c).alias(c) for c in own],
-        F.size("lines").cast("long").alias(into[0]),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(into[1]),
-        kept.alias(into[2]),
-    )
+    counts = F.struct(F.size("lines").cast("long").alias("n"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("d"), kept.alias("t"))
+    # made before the input's own columns come back, whose names may be those used here
+    held = held.select("row", counts.alias("made"))
+    return held.select(*[F.col("row").getField(c).alias(c) for c in own], *[F.col("made").getField(k).alias(name) for k, name in zip("ndt", into, strict=True)])
 
 
 def without_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
