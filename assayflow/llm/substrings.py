@@ -68,7 +68,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, seen = WordHashes(), set()
     names = ("doc_id", "k1", "k2")
     for batch in batches:
-        rows: dict[str, list] = {c: [] for c in (*names, "start", "windows", "key", "digest", "words")}
+        rows: dict[str, list] = {c: [] for c in (*names, "start", "windows", "key", "hot", "digest", "words")}
 
         def add(own: tuple, start: int, windows: int, key: int, words: bytes, once: bool, rows=rows) -> None:
             digest = hashlib.blake2b(words, digest_size=16).digest()
@@ -78,7 +78,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(digest)
-            for c, v in zip(rows, (*own, start, windows, key, digest, words), strict=True):
+            for c, v in zip(rows, (*own, start, windows, key, once, digest, words), strict=True):
                 rows[c].append(v)
 
         columns = [batch.column(c).to_pylist() for c in (*names, "text", "shared", "hot")]
@@ -100,7 +100,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     add(own, start, end - start, int(key[at]), hashes[start : end + WINDOW - 1].tobytes(), False)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+            [pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)],
             list(rows),
         )
 
@@ -156,13 +156,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     shared = tables.keep(shared.filter("low < high").select("anchor", (F.col("n") > HOT).alias("hot")), "shared")
     held = each.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     held = keyed.filter("doc_id IS NOT NULL").join(held, ["k1", "k2"])
-    pieces = tables.keep(held.mapInArrow(_cut, "doc_id long, k1 long, k2 int, start int, windows int, key long, digest binary, words binary"), "pieces")
+    pieces = tables.keep(held.mapInArrow(_cut, "doc_id long, k1 long, k2 int, start int, windows int, key long, hot boolean, digest binary, words binary"), "pieces")
     tables.drop("anchors", "shared")
 
     words = pieces.filter("words IS NOT NULL").agg(F.coalesce(F.sum(F.col("windows") + WINDOW), F.lit(0))).first()[0]
     shards = max(1, round(words / SHARD_WORDS))
-    different = pieces.groupBy("key", "digest", "windows").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("words").alias("words"))
-    dealt = different.filter("windows > 1 OR owner < last").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "digest", "words", "owner")
+    different = pieces.groupBy("key", "digest", "windows", "hot").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("words").alias("words"))
+    # a hot window meets only itself; any other piece may hold, or be, a window of a longer piece of its anchor
+    dealt = different.filter("NOT hot OR owner < last").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "digest", "words", "owner")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
     least = tables.keep(dealt.mapInArrow(_searched, "digest binary, least array<long>"), "least")
     found = pieces.select("k1", "k2", "doc_id", "start", "digest").join(least, "digest")

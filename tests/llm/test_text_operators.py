@@ -1,6 +1,7 @@
 """The operators on texts against plain Python on a small corpus with the odd cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -176,6 +177,23 @@ def test_substrings_equal_brute_force(docs_of, corpus, monkeypatch, hot):
     assert sum(r[2] for r in want) > 600
 
 
+def test_edge_windows_alone_in_their_piece(docs_of):
+    """Pairs that share exactly one or 21 windows, whose edge windows may be a piece of their own in one of the two only."""
+    draw = random.Random(11)
+    text = lambda n: [f"{draw.getrandbits(40):x}" for _ in range(n)]
+    rows, want = [], []
+    for pair in range(3000):
+        size = (50, 70)[pair % 2]
+        shared = text(size)
+        for k in range(2):
+            before, after = text(draw.randint(1, 40)), text(draw.randint(1, 40))
+            rows.append((2 * pair + k, " ".join(before + shared + after)))
+            want.append((2 * pair + k, size * k, " ".join(before + after if k else before + shared + after)))
+    got = substrings.without_repeats(docs_of(rows)).select("doc_id", "n_removed", "kept_text").collect()
+    wrong = [g[0] for g, w in zip(sorted(map(tuple, got)), want, strict=True) if g != w]
+    assert not wrong, f"{len(wrong)} documents: {wrong[:10]}"
+
+
 def test_licence_texts_match_in_any_spelling(docs_of):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and "hereby" in t)
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper()), (2, mit.replace("sublicense", "sub" + "licence").replace(", ", " -- ")), (3, "Some text.\nReleased under the M.I.T. Licence"), (4, "Some text.\n  ** Released under the MIT Licence!!\nMore."), (5, None), (6, ""), (7, "(c) All"), (None, "Licensed under CC BY-NC 4.0.")]
