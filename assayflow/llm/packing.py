@@ -5,10 +5,10 @@ projected to few dimensions; the place of that point on a Hilbert curve is its s
 so neighbours in a sequence are alike, and laid end to end: sequence n holds the ids from n * length on. So only the very
 last sequence can be short, whatever the document lengths are.
 
-Ids are those of the ``tokenizers`` file. Texts are cut before single spaces, where that byte-level vocabulary never joins
-what stands on both sides, and the ids of each cut are remembered; cuts not met before are encoded from the same
-vocabulary by ``tiktoken``, which needs less time a call. Texts with runs of spaces, or a space at the end, are encoded
-whole; texts that spell a special token go to ``tokenizers`` itself.
+Ids are those of the ``tokenizers`` file. Texts are cut before spaces, and the ids of each cut are remembered; cuts not met
+before are encoded from the same vocabulary by ``tiktoken``, which needs less time a call. A cut is exact only where no
+white space of any kind stands before the space, as a run of white space may be one token: texts in which a cut ends
+with white space are encoded whole; texts that spell a special token go to ``tokenizers`` itself.
 
 Nulls and odd input: a null or empty text is its end id alone; a null doc_id stays null; repeated rows are packed each on
 its own; other columns are not looked at; an empty table gives no pieces.
@@ -66,13 +66,15 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
         cuts = text.replace(" ", "\0 ").split("\0")
-        if "\0" in text or " " in cuts:
+        if "\0" in text:
             return self._bytes(self.quick.encode_ordinary(text))
         held = self.held
         if len(held) > HELD:
             held.clear()
         for cut in cuts:
             if cut not in held:
+                if cut[-1:].isspace():
+                    return self._bytes(self.quick.encode_ordinary(text))
                 held[cut] = self._bytes(self.quick.encode_ordinary(cut))
         return b"".join(map(held.__getitem__, cuts))
 

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, exact search by brute force, packing by round trip, mixing by its totals, the pipeline."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -128,6 +129,15 @@ def test_packing_is_an_exact_round_trip(spark, docs_of, corpus):
     assert packing.packed(docs_of([])).count() == 0
 
 
+def test_runs_of_any_white_space_are_encoded_whole():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    draw = random.Random(3)
+    texts = ["x \u00a0 \u00a0 y", "x\u00a0 \u00a0y", "x\n \ny", " \u00a0 \u00a0", "x \u00a0", "x \u00a0 y \u00a0 \u00a0 \u00a0 \u00a0 z"]
+    texts += ["".join(draw.choice("xy1.   \u00a0\u00a0\n\t\x1c\x85\u2009\u3000\u200b") for _ in range(draw.randint(1, 16))) for _ in range(20_000)]
+    wrong = [t for t in texts if encoder.encode(t) != encoder._bytes(encoder.whole.encode(t, add_special_tokens=False).ids)]
+    assert not wrong, f"{len(wrong)} of {len(texts)} texts: {wrong[:5]}"
+
+
 def test_hilbert_steps_to_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert(grid, 3)
