@@ -3,7 +3,10 @@
 A text is brought to a canonical form: lower case, lines that only state a copyright left out, equivalent spellings made
 one, and every run of other characters than letters and digits one space. The digest of the canonical form is joined
 with the digests of known licence texts, which went through the same form. Whole documents are looked up as they are,
-and every line of a document as a text of its own, which finds licence notices inside other text.
+and every line of a document as a text of its own, which finds licence notices inside other text. Known texts of more
+lines are found inside other text as runs of blocks, which blank lines divide: blocks equal to the first block of a known
+text are candidates, and the blocks after them are compared by digest. Overlapping texts (a licence that quotes its
+notice) count each.
 
 Nulls and odd input: a null, empty or blank text has no digest and no licence; every row is looked up by itself, so
 repeated rows and null ids are fine; other columns are not looked at; an empty table gives an empty result.
@@ -11,6 +14,8 @@ repeated rows and null ids are fine; other columns are not looked at; an empty t
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +62,18 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Files of ``license_texts``: whole licences, their standard headers and spellings, named by what stands before the plus.
+FILES = (
+    "0BSD", "Apache-2.0", "Apache-2.0+header", "BSD-2-Clause", "BSD-2-Clause+1", "BSD-3-Clause", "BSD-3-Clause+1", "BSD-3-Clause+2", "BSD-3-Clause+3", "CC0-1.0", "GPL-2.0",
+    "GPL-2.0+header",
+    "GPL-3.0", "GPL-3.0+header", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT+1", "MIT+2", "MPL-2.0", "MPL-2.0+header", "Unlicense", "Zlib",
+)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """``license_id, text`` of the texts above; a caller may pass a larger table of the same columns."""
-    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in KNOWN])
+    files = [(name.split("+")[0], pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in FILES]
+    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in (*KNOWN, *files)])
     return spark.range(1).select(F.inline(rows))
 
 
@@ -79,22 +93,31 @@ def canonical_lines(text: Column) -> Column:
 
 
 def digests(texts: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, with the digest of the whole canonical text and those of its canonical lines."""
-    lines = texts.select(*keep, canonical_lines(text_of(F.col("`text`"))).alias("lines"))
+    """``keep``, with the digest of the whole canonical text, those of its canonical lines, and digest and lines of its blocks."""
+    blocks = F.filter(F.transform(F.split(text_of(F.col("`text`")), r"\n\s*\n"), canonical_lines), lambda lines: F.size(lines) > 0)
+    lines = texts.select(*keep, blocks.alias("blocks")).withColumn("lines", F.flatten("blocks"))
     whole = F.when(F.size("lines") > 0, F.md5(F.array_join("lines", " ")))
-    return lines.select(*keep, whole.alias("digest"), F.transform("lines", lambda line: F.md5(line)).alias("line_digests"))
+    each = F.transform("blocks", lambda block: F.struct(F.md5(F.array_join(block, " ")).alias("digest"), F.size(block).alias("n")))
+    return lines.select(*keep, whole.alias("digest"), F.transform("lines", lambda line: F.md5(line)).alias("line_digests"), each.alias("blocks"))
 
 
 def scanned(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """``doc_id, digest, license_id, n_notices, licenses``: the licence that the whole text is, and those its lines state."""
+    """``doc_id, digest, license_id, n_notices, licenses``: the licence that the whole text is, and those stated inside it."""
     spark = docs.sparkSession
     known = known_licenses(spark) if known is None else known
-    names = digests(known, "license_id").filter("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
     tables = Written(spark, "licenses")
-    names = tables.keep(names, "known")
+    texts = tables.keep(digests(known, "license_id").filter("digest IS NOT NULL"), "known")
+    names = texts.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    runs = texts.groupBy(F.col("blocks.digest").alias("run")).agg(F.min("license_id").alias("license_id"))
+    runs = runs.select(F.col("run")[0].alias("digest"), "run", "license_id")
     rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").cast("string").alias("text"))
     rows = tables.keep(digests(rows, "doc_id").withColumn("row", F.monotonically_increasing_id()), "digests")
-    lines = rows.select("row", F.explode("line_digests").alias("digest")).join(names, "digest")
-    found = lines.groupBy("row").agg(F.count("*").alias("n_notices"), F.array_sort(F.collect_set("license_id")).alias("licenses"))
+    lines = rows.select("row", F.explode("line_digests").alias("digest")).join(names, "digest").select("row", "license_id")
+    # few blocks begin a known text, and only these meet the blocks of their row again; a block of one line counts as a line
+    begins = rows.select("row", F.posexplode("blocks").alias("at", "block")).select("row", "at", F.col("block.n").alias("n"), F.col("block.digest").alias("digest"))
+    begins = begins.join(runs, "digest").filter("n > 1 OR size(run) > 1").select("row", "at", "run", "license_id")
+    same = F.slice("blocks.digest", F.col("at") + 1, F.size("run")) == F.col("run")
+    inside = begins.join(rows.select("row", "blocks"), "row").filter(same).select("row", "license_id")
+    found = lines.unionByName(inside).groupBy("row").agg(F.count("*").alias("n_notices"), F.array_sort(F.collect_set("license_id")).alias("licenses"))
     whole = rows.select("row", "doc_id", "digest").join(names, "digest", "left").join(found, "row", "left")
     return whole.select("doc_id", "digest", "license_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.array_join("licenses", ",").alias("licenses"))

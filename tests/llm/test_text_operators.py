@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,19 @@ def test_licence_texts_match_in_any_spelling(docs_of):
     assert got[None].license_id == "CC-BY-NC-4.0"
 
 
+def test_full_licence_texts_whole_and_inside(docs_of):
+    texts = {n: (Path(licenses.__file__).parent / "license_texts" / f"{n}.txt").read_text() for n in licenses.FILES}
+    rows = [(k, "Copyright (c) 1999 Me\n\n" + texts[n]) for k, n in enumerate(licenses.FILES)]
+    rows += [(100 + k, "Own words before.\n\n" + texts[n] + "\n\nOwn words\nafter.") for k, n in enumerate(licenses.FILES)]
+    rows += [(200, texts["Zlib"].rsplit("\n\n", 1)[0] + "\n\nanother end")]
+    got = {r.doc_id: r for r in licenses.scanned(docs_of(rows)).collect()}
+    for k, name in enumerate(licenses.FILES):
+        own = name.split("+")[0]
+        assert got[k].license_id == own and got[100 + k].license_id is None, name
+        assert own in (got[100 + k].licenses or "").split(","), name
+    assert got[200].license_id is None and got[200].licenses is None and got[200].n_notices == 0
+
+
 @pytest.mark.parametrize("call", [minhash.classes, rules.ledger, lines.drop_common_lines, substrings.without_repeats, licenses.scanned, minhash.without_near_copies, rules.keep_good, lines.without_common_lines])
 def test_empty_table(docs_of, call):
     assert call(docs_of([])).count() == 0
