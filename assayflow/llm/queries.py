@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, lines, minhash, mixing, packing, quality, rules, substrings, topk
+from . import collocations, language, lattice, licenses, lines, minhash, mixing, packing, quality, rules, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +193,72 @@ def packing_order(spark: SparkSession, folder: str) -> DataFrame:
 def mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.rated(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return rows.select(F.col("row.doc_id").alias("doc_id"), "domain", "confidence", "n_tokens", "rate", "copies")
+
+
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10))) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), g AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS t(size)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.f AS a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail
+  FROM c, (VALUES (1), (2)) AS t(k) WHERE k < c.size
+), s AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+), best AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_pairs AS (
+  SELECT lang, phrase, max(f) AS most FROM (
+    SELECT lang, f, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase FROM c WHERE size = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inner_pairs i ON i.lang = best.lang AND i.phrase = best.phrase
+  WHERE size = 3 OR i.most IS NULL OR 100 * i.most < 50 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASES_SQL)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+COSINE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT reach.u, links.w FROM reach JOIN links ON links.u = reach.w
+), low AS (
+  SELECT u, min(w) AS component_id FROM reach GROUP BY u
+), n AS (
+  SELECT u, count(*) AS n_links FROM links GROUP BY u
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN low ON low.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""
+
+
+@query("op13_embedding_near_dedup", COSINE_SQL)
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_copies(table(spark, folder, "embeddings"))
