@@ -37,6 +37,8 @@ MIN_COUNT, TOP, SHARDS = 10, 2000, 4
 INSIDE = 50
 #: Bytes of text that a task counts at a time.
 CHUNK = 12_000_000
+#: Different words of a chunk up to which the numbers of three fit into 63 bits.
+MOST_WORDS = 1 << 21
 #: log2 of the bits of a bitmap: 16 MB, whatever the input.
 BITMAP_BITS = 27
 #: Ranks of a language are taken within so many parts first.
@@ -94,7 +96,7 @@ class _Chunk:
         code, base = self.at[starts], len(self.words)
         for k in range(1, size):
             following = self.at[starts + k]
-            if k == 2 and base >= 1 << 21:  # three numbers would not fit into 63 bits
+            if k == 2 and base >= MOST_WORDS:
                 pairs, code = np.unique(code, return_inverse=True)
                 codes, counts = np.unique(code * base + following, return_counts=True)
                 firsts = pairs[codes // base]

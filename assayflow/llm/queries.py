@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, language, lattice, licenses, lines, minhash, mixing, packing, quality, rules, substrings, topk
+from . import alignment, collocations, language, lattice, licenses, lines, minhash, mixing, packing, quality, rules, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,6 +195,11 @@ def mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "domain", "confidence", "n_tokens", "rate", "copies")
 
 
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(table(spark, folder, "documents"))
+
+
 PHRASES_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
