@@ -24,9 +24,11 @@ single spaces is one range; other columns are not looked at; an empty table give
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,8 +41,8 @@ from .common import Written
 
 #: Characters of a byte range, fragments that one step of the tree composes, and links of a chunk.
 RANGE, FAN, LINKS = 1 << 18, 16, 1 << 22
-#: Words that a task remembers, and their characters in all.
-HELD, HELD_CHARACTERS = 200_000, 4_000_000
+#: Words that a task remembers, and their characters in all; characters of texts whose new words are encoded together.
+HELD, HELD_CHARACTERS, TOGETHER = 300_000, 6_000_000, 2_000_000
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 _DONE = "n_a long, n_b long, n_groups long, n_links long"
@@ -118,18 +120,24 @@ class Fragment:
         return Fragment(self.prefix, (*self.closed, self.suffix + other.prefix, *other.closed), other.suffix, True)
 
 
-class Word:
-    """A word aligned on its own: sums, the text of its groups, and its links; not ``fine`` where it is not given back."""
-
-    __slots__ = ("fine", "text", "links", "sums")
-
-    def __init__(self, run: Run | None):
-        self.fine, self.text, self.links, self.sums = run is not None, b"", _NONE, (0, 0, 0, 0)
-        if run is not None:
-            whole = Fragment.of(run)
-            groups = [whole.prefix, *whole.closed]
-            self.text, self.links = b";".join(g.text() for g in groups), run.links()
-            self.sums = (len(run.a), len(run.b), len(groups), len(self.links))
+def _spelled_links(a: list[int], a_size: list[int], b: list[int], b_size: list[int]) -> tuple[bytes, bytes, int]:
+    """Text of the groups, links and number of groups of tokens that begin and end at the same bytes."""
+    links, groups, i, j = array("q"), [], 0, 0
+    end_a, end_b, begin_a, begin_b = a_size[0], b_size[0], 0, 0
+    while True:
+        links.append(a[i] << 32 | b[j])
+        if end_a == end_b:
+            groups.append(",".join(map(str, a[begin_a : i + 1])) + "|" + ",".join(map(str, b[begin_b : j + 1])))
+            i, j = i + 1, j + 1
+            if i == len(a):
+                return ";".join(groups).encode(), links.tobytes(), len(groups)
+            begin_a, begin_b, end_a, end_b = i, j, end_a + a_size[i], end_b + b_size[j]
+        elif end_a < end_b:
+            i += 1
+            end_a += a_size[i]
+        else:
+            j += 1
+            end_b += b_size[j]
 
 
 class Aligner:
@@ -137,6 +145,8 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -147,7 +157,14 @@ class Aligner:
         letter = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(hidden)}
         self.a_bytes = {number: bytes(letter[c] for c in token) for token, number in self.a.get_vocab(with_added_tokens=False).items() if set(token) <= letter.keys()}
         self.b_bytes = [self._piece(n) for n in range(self.b.get_piece_size())]
-        self.words: dict[str, Word] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: numbers of the words held; by number: groups, links, and sums with a mark of words that are not given back
+        self.numbers: dict[str, int] = {}
+        self.texts: list[bytes] = []
+        self.links: list[bytes] = []
+        self.sums = np.zeros((1 << 12, 5), np.int64)
         self.characters = 0
 
     def _piece(self, number: int) -> bytes:
@@ -157,42 +174,74 @@ class Aligner:
     def run(self, text: str) -> Run | None:
         """Tokens of space + text, None where one side's bytes differ from it."""
         a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        sizes = self._sizes(text, a, b)
+        return sizes and Run(*(np.array(x, np.int64) for x in (a, sizes[0], b, sizes[1])))
+
+    def _sizes(self, text: str, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
         a_bytes, b_bytes = [self.a_bytes.get(x, b"") for x in a], [self.b_bytes[x] for x in b]
-        whole = (" " + text).encode()
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+        if b"".join(a_bytes) != (whole := (" " + text).encode()) or b"".join(b_bytes) != whole:
             return None
-        return Run(np.array(a, np.int64), np.array([len(x) for x in a_bytes]), np.array(b, np.int64), np.array([len(x) for x in b_bytes]))
-
-    def aligned(self, text: str) -> list[Word]:
-        """The words of a text, cut at the single spaces between other characters."""
-        held = self.words
-        if len(held) > HELD or self.characters > HELD_CHARACTERS:
-            held.clear()
-            self.characters = 0
-        parts = _words(text)
-        for part in parts:
-            if part not in held:
-                held[part] = Word(self.run(part))
-                self.characters += len(part)
-        return [held[part] for part in parts]
+        return [len(x) for x in a_bytes], [len(x) for x in b_bytes]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode and align words that are not held."""
+        both = zip(words, self.a.encode_batch([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True)
+        while len(self.sums) < len(self.texts) + len(words):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        for word, a, b in both:
+            number = self.numbers[word] = len(self.texts)
+            text = links = b""
+            if sizes := self._sizes(word, a.ids, b):
+                text, links, groups = _spelled_links(a.ids, sizes[0], b, sizes[1])
+                self.sums[number] = len(a.ids), len(b), groups, len(links) // 8, 0
+            else:
+                self.sums[number] = 0, 0, 0, 0, 1
+            self.texts.append(text)
+            self.links.append(links)
+            self.characters += len(word)
+
+    def aligned(self, texts: list[str]) -> Iterator[list[int]]:
+        """For each text the numbers of its words, cut at the single spaces between other characters.
+
+        Numbers hold until the next one is asked for.
+        """
+        begin = 0
+        while begin < len(texts):
+            end, size = begin + 1, len(texts[begin])
+            while end < len(texts) and (size := size + len(texts[end])) <= TOGETHER:
+                end += 1
+            parts = [_words(text) for text in texts[begin:end]]
+            different = dict.fromkeys(w for own in parts for w in own)
+            fresh = [w for w in different if w not in self.numbers]
+            if len(self.numbers) + len(fresh) > HELD or self.characters > HELD_CHARACTERS:
+                self._forget()
+                fresh = list(different)
+            if fresh:
+                self._learn(fresh)
+            for own in parts:
+                yield list(map(self.numbers.__getitem__, own))
+            begin = end
+
+    def closed(self, words: list[int]) -> tuple[list[int] | None, bytes, bytes]:
+        """Sums, text and links of neighbouring words; no sums where a word is not given back."""
+        *sums, lost = self.sums[words].sum(axis=0).tolist() if words else [0] * 5
+        if lost:
+            return None, b"", b""
+        return sums, b";".join(map(self.texts.__getitem__, words)), b"".join(map(self.links.__getitem__, words))
 
 
 def _words(text: str) -> list[str]:
     return _JOINT.split(text) if _LOOSE.search(text) else text.split(" ")
 
 
-def _zipped(links: np.ndarray) -> bytes:
-    return struct.pack("<Q", links.nbytes) + pa.compress(links.tobytes(), codec="zstd", asbytes=True)
+def _zipped(links: bytes) -> bytes:
+    return struct.pack("<Q", len(links)) + pa.compress(links, codec="zstd", asbytes=True)
 
 
 def _unzipped(raw: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], struct.unpack_from("<Q", raw)[0], codec="zstd", asbytes=True), np.int64)
 
 
-def _sums(words: Iterable[Word]) -> list[int]:
-    return [sum(column) for column in zip((0, 0, 0, 0), *(w.sums for w in words), strict=True)]
-
-
 def ranges(text: str, size: int) -> list[str]:
     """A text cut at single spaces, which go, after ``size`` characters at least."""
     out, begin = [], 0
@@ -220,13 +269,13 @@ def _whole_documents(paths: tuple[str, str], most: int):
     def aligned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*paths)
         for batch in batches:
-            sums, digests, links = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = aligner.aligned(text) if text else []
-                fine = bool(words) and all(w.fine for w in words)
-                sums.append(_sums(words) if fine else [0] * 4)
-                digests.append(hashlib.sha256(b";".join([w.text for w in words])).hexdigest() if fine else "")
-                links.append(_zipped(np.concatenate([w.links for w in words])) if fine else None)
+            texts = batch.column("text").to_pylist()
+            sums, digests, links = [[0] * 4 for _ in texts], [""] * len(texts), [None] * len(texts)
+            filled = [n for n, text in enumerate(texts) if text]
+            for n, words in zip(filled, aligner.aligned([texts[n] for n in filled]), strict=True):
+                own, closed, raw = aligner.closed(words)
+                if own:
+                    sums[n], digests[n], links[n] = own, hashlib.sha256(closed).hexdigest(), _zipped(raw)
             columns = [pa.array(c, pa.int64()) for c in np.array(sums, np.int64).reshape(-1, 4).T]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(links, pa.binary()), batch.column("doc_id"), *columns, pa.array(digests, pa.string())], _ROW)
 
@@ -240,18 +289,21 @@ def _fragments(paths: tuple[str, str]):
         aligner = Aligner(*paths)
         for batch in batches:
             out = []
-            for row, doc, part, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "part", "text")), strict=True):
-                words = aligner.aligned(text)
-                if not all(w.fine for w in words):
-                    out.append((row, doc, part, False, 0, 0, 0, 0, b"", None, b"", b""))
+            texts = batch.column("text").to_pylist()
+            rows = zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "part")), strict=True)
+            for row, text, words in zip(rows, texts, aligner.aligned(texts), strict=True):
+                sums, closed, links = aligner.closed(words[1:])
+                first = aligner.run(_words(text)[0])
+                if not sums or not first:
+                    out.append((*row, False, 0, 0, 0, 0, b"", None, b"", b""))
                     continue
                 # the first end of the first word is the first common end of the range, and the last word closes it
-                head = Fragment.of(aligner.run(_words(text)[0]))
-                links = np.concatenate([*(g.links() for g in head.closed), *(w.links for w in words[1:]), _NONE])
-                sums = _sums(words[1:])
-                sums = [sums[0] + sum(len(g.a) for g in head.closed), sums[1] + sum(len(g.b) for g in head.closed), sums[2] + len(head.closed), len(links)]
-                closed = b";".join([*(g.text() for g in head.closed), *(w.text for w in words[1:])])
-                out.append((row, doc, part, True, *sums, closed, _zipped(links), head.prefix.packed(), head.suffix.packed()))
+                head = Fragment.of(first)
+                for group in reversed(head.closed):
+                    more = group.links()
+                    sums = [x + y for x, y in zip(sums, (len(group.a), len(group.b), 1, len(more)), strict=True)]
+                    closed, links = group.text() + b";" * bool(closed) + closed, more.tobytes() + links
+                out.append((*row, True, *sums, closed, _zipped(links), head.prefix.packed(), head.suffix.packed()))
             names = ("row", "doc_id", "part", "fine", "n_a", "n_b", "n_groups", "n_links", "closed", "links", "prefix", "suffix")
             types = (pa.int64(),) * 3 + (pa.bool_(),) + (pa.int64(),) * 4 + (pa.binary(),) * 4
             columns = zip(*out, strict=True) if out else [[]] * len(names)
@@ -305,7 +357,7 @@ def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = [Run.unpacked(raw) for raw in batch.column("seam").to_pylist()]
         links = [r.links() for r in runs]
         sums = [pa.array(x, pa.int64()) for x in ([len(r.a) for r in runs], [len(r.b) for r in runs], [1] * len(runs), [len(x) for x in links])]
-        texts, raw = pa.array([r.text() for r in runs], pa.binary()), pa.array([_zipped(x) for x in links], pa.binary())
+        texts, raw = pa.array([r.text() for r in runs], pa.binary()), pa.array([_zipped(x.tobytes()) for x in links], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), *sums, texts, raw], ["row", "part", "n_a", "n_b", "n_groups", "n_links", "closed", "links"])
 
 

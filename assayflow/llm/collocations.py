@@ -7,10 +7,10 @@ global support, however unequal the shards are. Within a shard mining goes by le
 frequent than both of its pairs. The phrases that are frequent in some shard are united, and all their occurrences in all
 documents are counted exactly.
 
-Tasks count in chunks of words and send one row for each different phrase of a chunk. Which phrases are worth sending is
-told by a bitmap of hashes of fixed size. It never stops a phrase that matters; the others it lets through are frequent
-nowhere, so their counts fall below the support. With more phrases than it can tell apart it stops fewer, and the result is
-the same.
+Tasks count in chunks of words and send one row for each different phrase of a chunk. Mining knows phrases by 64-bit hashes,
+as it only has to miss none; the exact counts are of the phrases themselves. Which phrases are worth sending is told by a
+bitmap of hashes of fixed size. It never stops a phrase that matters; the others it lets through are frequent nowhere, so
+their counts fall below the support. With more phrases than it can tell apart it stops fewer, and the result is the same.
 
 Nulls and odd input: a null text is empty and has no words; a null language is ``und``; repeated rows count each;
 doc_id and other columns are not looked at; very long texts are counted in slices that overlap by two words; ties in the score go
@@ -36,7 +36,9 @@ MIN_COUNT, TOP, SHARDS = 10, 2000, 4
 #: A pair inside a longer phrase goes when the longer one has at least this share (in hundredths) of its occurrences.
 INSIDE = 50
 #: Bytes of text that a task counts at a time.
-CHUNK = 12_000_000
+CHUNK = 6_000_000
+#: Rows that a task sends at a time.
+SENT = 1 << 16
 #: Different words of a chunk up to which the numbers of three fit into 63 bits.
 MOST_WORDS = 1 << 21
 #: log2 of the bits of a bitmap: 16 MB, whatever the input.
@@ -45,7 +47,7 @@ BITMAP_BITS = 27
 PARTS = 64
 _ENDS = bytes(range(0x0A, 0x0E)) + b".,;:!?"
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_ENDS))
-_PHRASES = "shard int, lang string, size int, phrase binary, f long"
+_KEYS, _PHRASES = "shard int, key long, f long", "lang string, size int, phrase binary, f long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,16 +56,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _seed(shard: int, lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), shard & 0xFFFF))
-
-
-def _places(seed: np.uint64, *words: np.ndarray) -> np.ndarray:
-    """Bit numbers of phrases, given the hashes of their first, second and third words."""
-    x = np.full(len(words[0]), seed ^ np.uint64(len(words)), np.uint64)
+def _keys(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    """64-bit names of a language's phrases, given the hashes of their first, second and third words."""
+    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"), len(words)))
+    x = np.full(len(words[0]), seed, np.uint64)
     for hashes in words:
         x = _mix(x ^ hashes)
-    return x >> np.uint64(64 - BITMAP_BITS)
+    return x
+
+
+def _bits(keys: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
+    """Bit numbers of phrases of a shard, or of all shards together (-1)."""
+    return _mix(keys + np.asarray(shard + 2).astype(np.uint64)) >> np.uint64(64 - BITMAP_BITS)
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -86,11 +90,11 @@ class _Chunk:
         self.inside = pair[:-1] & self.word[1:]
         self.inside_three = pair[:-2] & pair[1:-1] & self.word[2:]
 
-    def counted(self, size: int, wanted: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
-        """Phrases of ``size`` words (those that start where ``wanted`` is true) and how often each occurs."""
+    def counted(self, size: int, wanted: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Phrases of ``size`` words (those that start where ``wanted`` is true), by the numbers of their words, and counts."""
         last = len(self.at) - size + 1
         if last <= 0:
-            return pa.array([], pa.binary()), np.empty(0, np.int64)
+            return [np.empty(0, np.int64)] * size, np.empty(0, np.int64)
         ok = (self.word, self.inside, self.inside_three)[size - 1]
         starts = np.flatnonzero(ok if wanted is None else ok & wanted)
         code, base = self.at[starts], len(self.words)
@@ -100,19 +104,19 @@ class _Chunk:
                 pairs, code = np.unique(code, return_inverse=True)
                 codes, counts = np.unique(code * base + following, return_counts=True)
                 firsts = pairs[codes // base]
-                return self._spelled([firsts // base, firsts % base, codes % base]), counts
+                return [firsts // base, firsts % base, codes % base], counts
             code = code * base + following
         codes, counts = np.unique(code, return_counts=True)
-        return self._spelled([codes // base**k % base for k in range(size - 1, -1, -1)]), counts
+        return [codes // base**k % base for k in range(size - 1, -1, -1)], counts
 
-    def _spelled(self, numbers: list[np.ndarray]) -> pa.Array:
+    def spelled(self, numbers: list[np.ndarray]) -> pa.Array:
         parts = [self.words.take(pa.array(n)) for n in numbers]
         return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
 
-    def listed(self, size: int, seed: np.uint64, bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    def listed(self, size: int, lang: str, shard: int, bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """For each start: is the bit of the phrase that starts there set?"""
         last = max(0, len(self.at) - size + 1)
-        places = _places(seed, *(hashes[self.at[k : k + last]] for k in range(size)))
+        places = _bits(_keys(lang, [hashes[self.at[k : k + last]] for k in range(size)]), shard)
         return (bits[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -149,20 +153,22 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
         yield *group, _Chunk(b" ".join([b"", *(b" \n " + t for t in texts), b"\n"]), 0)
 
 
-def _sent(shard: int, lang: str, size: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    n = len(counts)
-    columns = [pa.array(np.full(n, shard, np.int32)), pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrases, pa.array(counts)]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "size", "phrase", "f"])
+def _keys_sent(shard: int, lang: str, hashes: np.ndarray, numbers: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    keys = _keys(lang, [hashes[n] for n in numbers]).view(np.int64)
+    for at in range(0, len(counts), SENT):
+        own = counts[at : at + SENT]
+        columns = [pa.array(np.full(len(own), shard, np.int32)), pa.array(keys[at : at + SENT]), pa.array(own)]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "f"])
 
 
 def _words_and_pairs(limit: int):
-    """Totals (size 0), words and pairs of each shard."""
+    """Words and pairs of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, lang, chunk in _chunks(batches, limit):
-            yield _sent(shard, lang, 0, pa.array([b""], pa.binary()), np.array([chunk.word.sum()], np.int64))
+            hashes = _hashes(chunk.words)
             for size in (1, 2):
-                yield _sent(shard, lang, size, *chunk.counted(size))
+                yield from _keys_sent(shard, lang, hashes, *chunk.counted(size))
 
     return run
 
@@ -173,38 +179,43 @@ def _threes(limit: int, bitmap: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         for shard, lang, chunk in _chunks(batches, limit):
-            pair = chunk.listed(2, _seed(shard, lang), bits, _hashes(chunk.words))
-            yield _sent(shard, lang, 3, *chunk.counted(3, pair[:-1] & pair[1:]))
+            hashes = _hashes(chunk.words)
+            pair = chunk.listed(2, lang, shard, bits, hashes)
+            yield from _keys_sent(shard, lang, hashes, *chunk.counted(3, pair[:-1] & pair[1:]))
 
     return run
 
 
 def _candidates(limit: int, bitmap: Broadcast):
-    """Counts of all candidates, whatever the shard."""
+    """Counts of all candidates, whatever the shard, and of all words (size 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
-        for shard, lang, chunk in _chunks(batches, limit):
-            hashes, seed = _hashes(chunk.words), _seed(-1, lang)
+        for _, lang, chunk in _chunks(batches, limit):
+            hashes = _hashes(chunk.words)
+            sums = [(0, pa.array([b""], pa.binary()), np.array([chunk.word.sum()], np.int64))]
             for size in (1, 2, 3):
-                yield _sent(-1, lang, size, *chunk.counted(size, chunk.listed(size, seed, bits, hashes)))
+                numbers, counts = chunk.counted(size, chunk.listed(size, lang, -1, bits, hashes))
+                for at in range(0, len(counts), SENT):
+                    sums.append((size, chunk.spelled([n[at : at + SENT] for n in numbers]), counts[at : at + SENT]))
+                for of, phrases, own in sums:
+                    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(np.full(len(own), of, np.int32)), phrases, pa.array(own)]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
+                sums = []
 
     return run
 
 
 def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = np.empty(batch.num_rows, np.int64)
-        rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "lang", "phrase")), strict=True)
-        for n, (shard, lang, phrase) in enumerate(rows):
-            words = [np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) for w in phrase.split(b" ")]
-            out[n] = int(_places(_seed(shard, lang), *words)[0])
-        yield pa.RecordBatch.from_arrays([pa.array(out + 1)], ["bit"])
+        keys = batch.column("key").to_numpy().view(np.uint64)
+        bits = _bits(keys, batch.column("shard").to_numpy().astype(np.int64)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(bits + 1)], ["bit"])
 
 
 def _bitmap(phrases: DataFrame) -> Broadcast:
-    """The bitmap of ``phrases`` (shard, lang, phrase): as many bytes for any number of them."""
-    bits = phrases.select("shard", "lang", "phrase").mapInArrow(_bits_of, "bit long")
+    """The bitmap of ``phrases`` (shard, key): as many bytes for any number of them."""
+    bits = phrases.select("shard", "key").mapInArrow(_bits_of, "bit long")
     parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     whole = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for part, own in parts.collect():  # parts of 4096 bytes, numbered from 1
@@ -219,16 +230,18 @@ def counted_phrases(docs: DataFrame, tables: Written, min_count: int = MIN_COUNT
     texts = texts.select(F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"), "lang", "text")
     support = -(-min_count // shards)
 
-    local = texts.mapInArrow(_words_and_pairs(chunk), _PHRASES).groupBy("lang", "shard", "size", "phrase").agg(F.sum("f").alias("f"))
-    local = tables.keep(local.filter((F.col("f") >= support) | (F.col("size") == 0)), "local")
-    pairs = _bitmap(local.filter("size = 2"))
-    threes = texts.mapInArrow(_threes(chunk, pairs), _PHRASES).groupBy("lang", "shard", "size", "phrase").agg(F.sum("f").alias("f"))
-    threes = tables.keep(threes.filter(F.col("f") >= support), "threes")
-    united = local.filter("size > 0").unionByName(threes).select("lang", "phrase").distinct()
-    listed = _bitmap(united.withColumn("shard", F.lit(-1)))
-    counts = texts.mapInArrow(_candidates(chunk, listed), _PHRASES).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    counts = counts.filter(F.col("f") >= min_count).withColumn("phrase", F.col("phrase").cast("string"))
-    return tables.keep(counts, "counts"), local.filter("size = 0").groupBy("lang").agg(F.sum("f").alias("n"))
+    count = F.sum("f").alias("f")
+
+    local = texts.mapInArrow(_words_and_pairs(chunk), _KEYS).groupBy("key", "shard").agg(count).filter(F.col("f") >= support)
+    local = tables.keep(local.select("shard", "key"), "local")
+    threes = texts.mapInArrow(_threes(chunk, _bitmap(local)), _KEYS).groupBy("key", "shard").agg(count).filter(F.col("f") >= support)
+    threes = tables.keep(threes.select("shard", "key"), "threes")
+    listed = _bitmap(local.unionByName(threes).withColumn("shard", F.lit(-1)))
+    whole = texts.withColumn("shard", F.lit(-1))
+    counts = whole.mapInArrow(_candidates(chunk, listed), _PHRASES).groupBy("lang", "size", "phrase").agg(count)
+    counts = counts.filter((F.col("f") >= min_count) | (F.col("size") == 0)).withColumn("phrase", F.col("phrase").cast("string"))
+    counts = tables.keep(counts, "counts")
+    return counts.filter("size > 0"), counts.filter("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def _exact(x: str) -> Column:

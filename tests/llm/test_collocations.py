@@ -74,10 +74,10 @@ def test_words_that_need_many_numbers(monkeypatch):
     """The way for chunks of very many different words gives what the usual one gives."""
     text = (" ".join(f"w{n % 97} v{n % 13}" for n in range(2000)) + " \n end").encode()
     usual = collocations._Chunk(b"  \n " + text, 1)
-    phrases, counts = usual.counted(3)
-    wanted = dict(zip(phrases.to_pylist(), counts.tolist(), strict=True))
+    numbers, counts = usual.counted(3)
+    wanted = dict(zip(usual.spelled(numbers).to_pylist(), counts.tolist(), strict=True))
 
     many = collocations._Chunk(b"  \n " + text, 1)
     monkeypatch.setattr(collocations, "MOST_WORDS", 1)
-    phrases, counts = many.counted(3)
-    assert dict(zip(phrases.to_pylist(), counts.tolist(), strict=True)) == wanted
+    numbers, counts = many.counted(3)
+    assert dict(zip(many.spelled(numbers).to_pylist(), counts.tolist(), strict=True)) == wanted
