@@ -42,7 +42,7 @@ from .common import Written
 #: Characters of a byte range, fragments that one step of the tree composes, and links of a chunk.
 RANGE, FAN, LINKS = 1 << 18, 16, 1 << 22
 #: Words that a task remembers, and their characters in all; characters of texts whose new words are encoded together.
-HELD, HELD_CHARACTERS, TOGETHER = 300_000, 6_000_000, 2_000_000
+HELD, HELD_CHARACTERS, TOGETHER = 500_000, 8_000_000, 2_000_000
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 _DONE = "n_a long, n_b long, n_groups long, n_links long"
@@ -127,7 +127,10 @@ def _spelled_links(a: list[int], a_size: list[int], b: list[int], b_size: list[i
     while True:
         links.append(a[i] << 32 | b[j])
         if end_a == end_b:
-            groups.append(",".join(map(str, a[begin_a : i + 1])) + "|" + ",".join(map(str, b[begin_b : j + 1])))
+            if i == begin_a and j == begin_b:
+                groups.append(f"{a[i]}|{b[j]}")
+            else:
+                groups.append(",".join(map(str, a[begin_a : i + 1])) + "|" + ",".join(map(str, b[begin_b : j + 1])))
             i, j = i + 1, j + 1
             if i == len(a):
                 return ";".join(groups).encode(), links.tobytes(), len(groups)
@@ -155,7 +158,10 @@ class Aligner:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         letter = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(hidden)}
-        self.a_bytes = {number: bytes(letter[c] for c in token) for token, number in self.a.get_vocab(with_added_tokens=False).items() if set(token) <= letter.keys()}
+        self.a_bytes = [b""] * self.a.get_vocab_size()
+        for token, number in self.a.get_vocab(with_added_tokens=False).items():
+            if set(token) <= letter.keys():
+                self.a_bytes[number] = bytes(letter[c] for c in token)
         self.b_bytes = [self._piece(n) for n in range(self.b.get_piece_size())]
         self._forget()
 
@@ -178,10 +184,10 @@ class Aligner:
         return sizes and Run(*(np.array(x, np.int64) for x in (a, sizes[0], b, sizes[1])))
 
     def _sizes(self, text: str, a: list[int], b: list[int]) -> tuple[list[int], list[int]] | None:
-        a_bytes, b_bytes = [self.a_bytes.get(x, b"") for x in a], [self.b_bytes[x] for x in b]
+        a_bytes, b_bytes = list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, b))
         if b"".join(a_bytes) != (whole := (" " + text).encode()) or b"".join(b_bytes) != whole:
             return None
-        return [len(x) for x in a_bytes], [len(x) for x in b_bytes]
+        return list(map(len, a_bytes)), list(map(len, b_bytes))
 
     def _learn(self, words: list[str]) -> None:
         """Encode and align words that are not held."""
