@@ -40,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import Written
 
 #: Characters of a byte range, fragments that one step of the tree composes, and links of a chunk.
-RANGE, FAN, LINKS = 1 << 18, 16, 1 << 22
+RANGE, FAN, LINKS = 1 << 18, 16, 1 << 21
 #: Words that a task remembers, and their characters in all; characters of texts whose new words are encoded together.
-HELD, HELD_CHARACTERS, TOGETHER = 500_000, 8_000_000, 2_000_000
+HELD, HELD_CHARACTERS, TOGETHER = 400_000, 6_000_000, 1_000_000
+#: Words encoded in one call.
+ENCODED = 4096
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 _DONE = "n_a long, n_b long, n_groups long, n_links long"
@@ -222,8 +224,8 @@ class Aligner:
             if len(self.numbers) + len(fresh) > HELD or self.characters > HELD_CHARACTERS:
                 self._forget()
                 fresh = list(different)
-            if fresh:
-                self._learn(fresh)
+            for at in range(0, len(fresh), ENCODED):
+                self._learn(fresh[at : at + ENCODED])
             for own in parts:
                 yield list(map(self.numbers.__getitem__, own))
             begin = end
