@@ -24,7 +24,6 @@ single spaces is one range; other columns are not looked at; an empty table give
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
 from array import array
@@ -42,7 +41,7 @@ from .common import Written
 #: Characters of a byte range, fragments that one step of the tree composes, and links of a chunk.
 RANGE, FAN, LINKS = 1 << 18, 16, 1 << 21
 #: Words that a task remembers, and their characters in all; characters of texts whose new words are encoded together.
-HELD, HELD_CHARACTERS, TOGETHER = 400_000, 6_000_000, 1_000_000
+HELD, HELD_CHARACTERS, TOGETHER = 300_000, 5_000_000, 500_000
 #: Words encoded in one call.
 ENCODED = 4096
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
@@ -149,21 +148,22 @@ class Aligner:
     """Both tokenizers, and the words they have aligned."""
 
     def __init__(self, path_a: str, path_b: str):
+        import public_tokenizers
         import sentencepiece
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        # the vocabulary is that of the file; tiktoken merges it in the same way and makes no objects beside the ids
+        vocabulary = Tokenizer.from_file(path_a).get_vocab(with_added_tokens=False)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         letter = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(hidden)}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, number in self.a.get_vocab(with_added_tokens=False).items():
-            if set(token) <= letter.keys():
-                self.a_bytes[number] = bytes(letter[c] for c in token)
+        ranks = {bytes(map(letter.__getitem__, token)): number for token, number in vocabulary.items() if set(token) <= letter.keys()}
+        self.a = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, number in ranks.items():
+            self.a_bytes[number] = token
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.b_bytes = [self._piece(n) for n in range(self.b.get_piece_size())]
         self._forget()
 
@@ -181,7 +181,7 @@ class Aligner:
 
     def run(self, text: str) -> Run | None:
         """Tokens of space + text, None where one side's bytes differ from it."""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        a, b = self.a(" " + text), self.b.encode(text)
         sizes = self._sizes(text, a, b)
         return sizes and Run(*(np.array(x, np.int64) for x in (a, sizes[0], b, sizes[1])))
 
@@ -193,15 +193,15 @@ class Aligner:
 
     def _learn(self, words: list[str]) -> None:
         """Encode and align words that are not held."""
-        both = zip(words, self.a.encode_batch([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1), strict=True)
         while len(self.sums) < len(self.texts) + len(words):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        for word, a, b in both:
+        for word, b in zip(words, self.b.encode(words, num_threads=1), strict=True):
+            a = self.a(" " + word)
             number = self.numbers[word] = len(self.texts)
             text = links = b""
-            if sizes := self._sizes(word, a.ids, b):
-                text, links, groups = _spelled_links(a.ids, sizes[0], b, sizes[1])
-                self.sums[number] = len(a.ids), len(b), groups, len(links) // 8, 0
+            if sizes := self._sizes(word, a, b):
+                text, links, groups = _spelled_links(a, sizes[0], b, sizes[1])
+                self.sums[number] = len(a), len(b), groups, len(links) // 8, 0
             else:
                 self.sums[number] = 0, 0, 0, 0, 1
             self.texts.append(text)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from assayflow.llm import alignment
 from assayflow.llm.alignment import Fragment, Run
@@ -19,10 +20,12 @@ def tokenizers():
 def plainly(texts, aligner):
     """Rows by whole-text encoding and plain loops over bytes."""
     docs = []
+    tokenizer = Tokenizer.from_file(alignment.default_tokenizers()[0])
+    tokenizer.encode_special_tokens = True
     for text in texts:
         tokens = None
         if text:
-            a = aligner.a.encode(" " + text, add_special_tokens=False).ids
+            a = tokenizer.encode(" " + text, add_special_tokens=False).ids
             b = aligner.b.encode(text)
             a = [(x, aligner.a_bytes[x]) for x in a]
             b = [(x, aligner.b_bytes[x]) for x in b]
