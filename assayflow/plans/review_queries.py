@@ -385,7 +385,7 @@ def _(v: DriverViews):
 
 @query(
     "f04_money",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'US$' ELSE 'XYZ ' END || CASE WHEN o_custkey >= 1000 THEN rtrim(rtrim(printf('%.2f', o_custkey / 1000.0), '0'), '.') || 'B' ELSE o_custkey || 'M' END AS text FROM orders WHERE o_custkey > 0""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'US$' ELSE 'XYZ ' END || CASE WHEN o_custkey >= 1000 THEN rtrim(rtrim(((o_custkey + 5) // 1000)::VARCHAR || '.' || lpad(((o_custkey + 5) // 10 % 100)::VARCHAR, 2, '0'), '0'), '.') || 'B' ELSE o_custkey || 'M' END AS text FROM orders WHERE o_custkey > 0""",
 )
 def _(v: DriverViews):
     code = F.when(F.col("o_orderkey") % 2 == 0, F.lit("USD")).otherwise(F.lit("XYZ"))

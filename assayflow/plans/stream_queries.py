@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..streaming import jobs as K
+from ..streaming import state as S
 from .driver_views import DriverViews, duck_sql
 from .monitor_queries import _PENDING, _WATCH_VIEWS, _WATCHED, _alerts
 from .registry import query
+from .text_queries import chunks_sql
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -95,18 +97,52 @@ def _(v: DriverViews):
     return rows.groupBy("watchlist_id").agg(F.count("*").alias("n"), F.count_if("is_new").alias("fresh"))
 
 
-@query("k06_chunk_store")
+_LINES = """lines AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS position FROM documents),
+headed AS (SELECT document_id, position // 10 + 1 AS page, position, text, FALSE AS is_table, regexp_extract(trim(text, ' ' || chr(9) || chr(13)), '^([^\\r\\n]*)', 1) AS line FROM lines),
+found AS (SELECT *, CASE WHEN length(line) BETWEEN 1 AND 120 THEN coalesce(nullif(regexp_extract(line, '(?i)^\\s*(item\\s+\\d+[a-z]?\\b.*)$', 1), ''),
+    nullif(regexp_extract(line, '^\\s*((?:[IVXLC]+)[.)]\\s+[A-Z].*)$', 1), ''), nullif(regexp_extract(line, '^\\s*(\\d{1,2}(?:\\.\\d{1,2})*[.)]?\\s+[A-Z].*)$', 1), '')) END AS head FROM headed),
+sections AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, position ROWS UNBOUNDED PRECEDING) AS section FROM found)"""
+
+
+@query(
+    "k06_chunk_store",
+    f"""WITH RECURSIVE {_LINES}, {chunks_sql("sections")}
+        SELECT p.*, p.document_id || '-' || p.chunk_index AS chunk_id, EXISTS (SELECT 1 FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.text = p.content) AS reused FROM packed p""",
+)
 def _(v: DriverViews):
+    """Documents come in three deliveries, each with lines of every document; the query is started anew for each."""
     folder = scratch(v.spark, "chunks")
-    lines = K.file_stream(v.spark, v.folder, "documents.parquet").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
-    blocks = lines.select("document_id", (F.floor(F.col("position") / 10) + 1).cast("int").alias("page"), F.col("position").cast("long").alias("position"), "text", F.lit(False).alias("is_table"))
+    split = F.split("text", "\n")
+    lines = v.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("document_id"), F.size(split).cast("long").alias("blocks"), F.posexplode(split).alias("position", "text"))
+    blocks = lines.select(
+        "document_id", (F.floor(F.col("position") / 10) + 1).cast("int").alias("page"), F.col("position").cast("long").alias("position"), "text",
+        F.lit(False).alias("is_table"), "blocks", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("document_id")).alias("seen_at"),
+    )
     texts = v.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     vectors = texts.join(v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
-    stream, store = K.chunk_job(blocks, vectors, f"{folder}/store")
-    K.run_available(stream, store, f"{folder}/checkpoint")
+    for delivery in range(3):
+        blocks.filter(F.pmod("position", F.lit(3)) == delivery).write.mode("append").parquet(f"{folder}/blocks")
+        arriving = v.spark.readStream.schema(blocks.schema).parquet(f"{folder}/blocks")
+        stream, store = K.chunk_job(S.whole_documents(arriving), vectors, f"{folder}/store")
+        K.run_available(stream, store, f"{folder}/checkpoint")
     return K.current_chunks(v.spark, f"{folder}/store")
 
 
+@query(
+    "k03_source_silence",
+    """SELECT 'user ' || user_id AS source, CAST(ts AS TIMESTAMP) AS silent_from, CAST(next AS TIMESTAMP) AS silent_to
+       FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM (SELECT DISTINCT user_id, date_trunc('millisecond', ts) AS ts FROM events))
+       WHERE next - ts > INTERVAL 24 HOUR""",
+)
+def _(v: DriverViews):
+    """Gaps of more than a day between a source's events, each told by the source's own state."""
+    folder = scratch(v.spark, "silence")
+    events = K.file_stream(v.spark, v.folder, "events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("source"))
+    K.run_available(S.silent_sources(events, "ts", "source"), K.update_job(f"{folder}/store"), f"{folder}/checkpoint")
+    rows = K.read_batches(v.spark, f"{folder}/store", S.SILENCE).filter("silent_to IS NOT NULL")
+    return rows.select("source", F.col("silent_from").cast("timestamp_ntz").alias("silent_from"), F.col("silent_to").cast("timestamp_ntz").alias("silent_to"))
+
+
 @query("k07_resumed", "SELECT count(*) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents FROM documents")
 def _(v: DriverViews):
     """Two runs over one checkpoint: the second finds nothing new and adds nothing."""

@@ -69,7 +69,49 @@ def _(v: DriverViews):
     return X.with_sections(_blocks(v)).select("document_id", "position", "section")
 
 
-@query("t04_chunks")
+def chunks_sql(blocks: str, target: int = 3200, overlap: int = 400) -> str:
+    """CTEs that pack ``blocks`` (document_id, page, position, text, is_table, section) one by one into ``packed``."""
+    strip = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return f"""b AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, position) AS i FROM {blocks}),
+walk AS (
+  SELECT DISTINCT document_id, 0::BIGINT AS i, '' AS joined, 0::BIGINT AS size, FALSE AS has, NULL::BIGINT AS p0, NULL::BIGINT AS p1, NULL::VARCHAR AS section,
+         NULL::VARCHAR AS one, NULL::BIGINT AS one_from, NULL::BIGINT AS one_to, NULL::VARCHAR AS two, NULL::BIGINT AS page FROM b
+  UNION ALL
+  SELECT document_id, i + 1, CASE WHEN h2 THEN j2 || chr(10) || chr(10) || text ELSE text END, l2 + length(text), TRUE,
+         CASE WHEN f1 THEN page ELSE coalesce(p0, page) END, page, section,
+         CASE WHEN f1 AND c1 <> '' THEN c1 END, p0, p1, CASE WHEN f2 AND c2 <> '' THEN c2 END, page
+  FROM (
+    SELECT *, CASE WHEN f2 THEN right(c2, {overlap}) ELSE j1 END AS j2, CASE WHEN f2 THEN c2 <> '' ELSE h1 END AS h2,
+           CASE WHEN f2 THEN length(right(c2, {overlap})) ELSE l1 END AS l2
+    FROM (
+      SELECT *, f1 AND h1 AND ends = 2 AS f2, {strip("j1")} AS c2
+      FROM (
+        SELECT *, CASE WHEN f1 THEN right(c1, {overlap}) ELSE joined END AS j1, CASE WHEN f1 THEN c1 <> '' ELSE has END AS h1,
+               CASE WHEN f1 THEN length(right(c1, {overlap})) ELSE size END AS l1
+        FROM (
+          SELECT *, has AND ends > 0 AS f1, {strip("joined")} AS c1
+          FROM (
+            SELECT w.document_id, w.i, w.joined, w.size, w.has, w.p0, w.p1, b.page::BIGINT AS page, coalesce(b.text, '') AS text, b.section,
+                   CASE WHEN w.size + length(coalesce(b.text, '')) <= {target} THEN 0 WHEN b.is_table AND length(b.text) > {target} THEN 2 ELSE 1 END AS ends
+            FROM walk w JOIN b ON b.document_id = w.document_id AND b.i = w.i + 1))))) AS x
+),
+ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY i DESC) = 1),
+out AS (
+  SELECT document_id, i, 1 AS step, one_from AS a, one_to AS z, one AS content, section FROM walk WHERE one IS NOT NULL
+  UNION ALL SELECT document_id, i, 2, page, page, two, section FROM walk WHERE two IS NOT NULL
+  UNION ALL SELECT document_id, i, 3, p0, p1, {strip("joined")}, section FROM ends WHERE {strip("joined")} <> ''
+),
+packed AS (
+  SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY i, step) - 1)::INTEGER AS chunk_index,
+         coalesce(nullif(a, 0), 1)::INTEGER AS page_start, coalesce(nullif(z, 0), nullif(a, 0), 1)::INTEGER AS page_end, content, section AS section_title FROM out
+)"""
+
+
+_SECTIONS = """sections AS (SELECT f.document_id, f.page, f.position, f.text, f.position % 9 = 4 AS is_table,
+    last_value(f.head IGNORE NULLS) OVER (PARTITION BY f.document_id ORDER BY f.page, f.position ROWS UNBOUNDED PRECEDING) AS section FROM found f)"""
+
+
+@query("t04_chunks", duck_sql("SELECT * FROM packed", "chunks", ctes=f"{_BLOCKS},\n{_SECTIONS},\n{chunks_sql('sections')}").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(v: DriverViews):
     return X.chunk_blocks(_blocks(v))
 
@@ -125,7 +167,18 @@ def _(v: DriverViews):
     return X.assembled_context(_selected(v)).select("document_id", "chunks", F.md5("context").alias("digest"))
 
 
-@query("t09_batches")
+_BATCHES = """b AS (SELECT document_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(greatest(1, length(content) // 4) AS BIGINT) AS tokens,
+    row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS i FROM chunks),
+walk AS (
+  SELECT document_id, i, chunk_index, tokens, 0 AS batch_no, 1 AS texts, tokens AS used FROM b WHERE i = 1
+  UNION ALL
+  SELECT document_id, i, chunk_index, tokens, CASE WHEN fits THEN batch_no ELSE batch_no + 1 END, CASE WHEN fits THEN texts + 1 ELSE 1 END,
+         CASE WHEN fits THEN used + tokens ELSE tokens END
+  FROM (SELECT b.*, w.batch_no, w.texts, w.used, w.texts < 8 AND w.used + b.tokens <= 400 AS fits FROM walk w JOIN b ON b.document_id = w.document_id AND b.i = w.i + 1) AS x
+)"""
+
+
+@query("t09_batches", duck_sql("SELECT document_id, chunk_index, tokens, batch_no FROM walk", "chunks", ctes=_BATCHES).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(v: DriverViews):
     return X.embedding_batches(v.chunks, max_texts=8, max_tokens=400)
 
