@@ -95,7 +95,7 @@ def decoded(x: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [grams(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "mark", "label", "grams"])
 
 
 def _predicted(names: list[str], model: dict[str, np.ndarray] | None):
@@ -124,7 +124,10 @@ def learned(rows: DataFrame) -> tuple[list[str], dict[str, np.ndarray] | None]:
     names = [r["label"] for r in counts]
     share = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(PER_LANGUAGE / r["n"])) for r in counts])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.filter(draw < share).select("label", "text").mapInArrow(_featured, "label string, grams binary").toPandas()
+    sample = rows.filter(draw < share).select("doc_id", F.xxhash64("text").alias("mark"), "label", "text")
+    sample = sample.mapInArrow(_featured, "doc_id long, mark long, label string, grams binary").toPandas()
+    # learned in one order, however the table is dealt to partitions
+    sample = sample.sort_values(["doc_id", "mark", "label"], kind="stable")
     if sample.empty:
         return [], None
     x = np.stack([np.frombuffer(g, np.float16) for g in sample["grams"]]).astype(np.float32)

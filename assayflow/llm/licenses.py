@@ -1,12 +1,13 @@
 """Licence scans by canonical digest.
 
-A text is brought to a canonical form: lower case, lines that only state a copyright left out, equivalent spellings made
-one, and every run of other characters than letters and digits one space. The digest of the canonical form is joined
-with the digests of known licence texts, which went through the same form. Whole documents are looked up as they are,
-and every line of a document as a text of its own, which finds licence notices inside other text. Known texts of more
-lines are found inside other text as runs of blocks, which blank lines divide: blocks equal to the first block of a known
-text are candidates, and the blocks after them are compared by digest. Overlapping texts (a licence that quotes its
-notice) count each.
+A text is brought to a canonical form: lower case, equivalent spellings made one, every run of other characters than
+letters and digits one space, and copyright statements left out. A statement is what a block, divided from others by blank
+lines, begins with, from its copyright and sign or year up to the words that open a licence. So the form is one of words,
+and neither the width at which a text is wrapped nor its kind of line ends changes it. The digest of the canonical form is
+joined with the digests of known licence texts, which went through the same form. Whole documents are looked up as they
+are, and every line of a document as a text of its own, which finds licence notices inside other text. Known texts of more
+lines are found inside other text as runs of blocks: blocks equal to the first block of a known text are candidates, and
+the blocks after them are compared by digest. Overlapping texts (a licence that quotes its notice) count each.
 
 Nulls and odd input: a null, empty or blank text has no digest and no licence; every row is looked up by itself, so
 repeated rows and null ids are fine; other columns are not looked at; an empty table gives an empty result.
@@ -27,8 +28,9 @@ SPELLINGS = {
     "authorised": "authorized", "favour": "favor", "whilst": "while", "judgement": "judgment",
     "noncommercial": "non commercial", "percent": "per cent", "https": "http",
 }
-#: A line that only states a copyright, after lower-casing.
-COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright\b|\(c\)|©|all rights reserved[^\p{L}\p{N}]*$).*$"
+#: How a copyright statement begins, and the words that open a licence behind one, in canonical form.
+STATEMENT = r"^(?:c )?(?:copyright (?:c |[0-9]|the |by )|c [0-9]{4} |c all$|all rights reserved$)"
+OPENING = r"(permission is |permission to |redistribution and use |everyone is permitted |licensed under |released under |this (?:program|software|source|file|work|library) )"
 #: Licence notices and short licences.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
@@ -70,35 +72,37 @@ FILES = (
 )
 
 
+def file_texts() -> list[tuple[str, str]]:
+    return [(name.split("+")[0], pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in FILES]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """``license_id, text`` of the texts above; a caller may pass a larger table of the same columns."""
-    files = [(name.split("+")[0], pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in FILES]
-    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in (*KNOWN, *files)])
+    rows = F.array(*[F.struct(F.lit(name).alias("license_id"), F.lit(text).alias("text")) for name, text in (*KNOWN, *file_texts())])
     return spark.range(1).select(F.inline(rows))
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical form of each line; lines that only state a copyright, and blank ones, are left out."""
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda line: ~line.rlike(COPYRIGHT))
-    plain = F.regexp_replace(F.array_join(lines, "\n"), r"[^\p{L}\p{N}\n]+", " ")
-    any_spelling = r"\b(" + "|".join(SPELLINGS) + r")\b"
-
-    def one_spelling(line: Column) -> Column:
-        out = line
-        for spelled, as_one in SPELLINGS.items():
-            out = F.regexp_replace(out, rf"\b{spelled}\b", as_one)
-        return F.btrim(F.when(line.rlike(any_spelling), out).otherwise(line))
-
-    return F.filter(F.transform(F.split(plain, "\n"), one_spelling), lambda line: line != "")
+def canonical(text: Column) -> Column:
+    """The words of a text in canonical form, without a copyright statement at its start."""
+    plain = F.btrim(F.regexp_replace(F.replace(F.lower(text), F.lit("©"), F.lit(" c ")), r"[^\p{L}\p{N}]+", " "))
+    one = plain
+    for spelled, as_one in SPELLINGS.items():
+        one = F.regexp_replace(one, rf"\b{spelled}\b", as_one)
+    words = F.when(plain.rlike(r"\b(" + "|".join(SPELLINGS) + r")\b"), one).otherwise(plain)
+    opened = F.regexp_replace(words, r"^.*?" + OPENING, "$1")
+    return F.when(~words.rlike(STATEMENT), words).when(words.rlike(OPENING), opened).otherwise("")
 
 
 def digests(texts: DataFrame, *keep: str) -> DataFrame:
     """``keep``, with the digest of the whole canonical text, those of its canonical lines, and digest and lines of its blocks."""
-    blocks = F.filter(F.transform(F.split(text_of(F.col("`text`")), r"\n\s*\n"), canonical_lines), lambda lines: F.size(lines) > 0)
-    lines = texts.select(*keep, blocks.alias("blocks")).withColumn("lines", F.flatten("blocks"))
-    whole = F.when(F.size("lines") > 0, F.md5(F.array_join("lines", " ")))
-    each = F.transform("blocks", lambda block: F.struct(F.md5(F.array_join(block, " ")).alias("digest"), F.size(block).alias("n")))
-    return lines.select(*keep, whole.alias("digest"), F.transform("lines", lambda line: F.md5(line)).alias("line_digests"), each.alias("blocks"))
+    full = lambda part: part != ""
+    blocks = F.filter(F.split(text_of(F.col("`text`")), r"\n\s*\n"), lambda block: block.rlike(r"[\p{L}\p{N}]"))
+    each = F.transform(blocks, lambda block: F.struct(canonical(block).alias("words"), F.filter(F.transform(F.split(block, "\n"), canonical), full).alias("lines")))
+    rows = texts.select(*keep, F.filter(each, lambda block: block["words"] != "").alias("blocks"))
+    whole = F.when(F.size("blocks") > 0, F.md5(F.array_join("blocks.words", " ")))
+    lines = F.transform(F.flatten("blocks.lines"), lambda line: F.md5(line))
+    short = F.transform("blocks", lambda block: F.struct(F.md5(block["words"]).alias("digest"), F.size(block["lines"]).alias("n")))
+    return rows.select(*keep, whole.alias("digest"), lines.alias("line_digests"), short.alias("blocks"))
 
 
 def scanned(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

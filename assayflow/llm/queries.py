@@ -89,35 +89,65 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-def _spelled(text: str) -> str:
-    """A text's canonical lines in SQL, as the operator makes them."""
-    lines = f"list_filter(string_split(lower({text}), chr(10)), lambda x: NOT regexp_matches(x, {_quoted(licenses.COPYRIGHT)}))"
-    plain = f"regexp_replace(array_to_string({lines}, chr(10)), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+def _canonical(text: str) -> str:
+    """The operator's canonical form of a column in SQL."""
+    plain = f"trim(regexp_replace(replace(lower({text}), '©', ' c '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for spelled, as_one in licenses.SPELLINGS.items():
         plain = f"regexp_replace({plain}, '\\b{spelled}\\b', '{as_one}', 'g')"
-    return f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return plain
+
+
+def _opened(words: str) -> str:
+    return (
+        f"CASE WHEN NOT regexp_matches({words}, {_quoted(licenses.STATEMENT)}) THEN {words} "
+        f"WHEN regexp_matches({words}, {_quoted(licenses.OPENING)}) THEN regexp_replace({words}, {_quoted('^.*?' + licenses.OPENING)}, '\\1') ELSE '' END"
+    )
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_TEXTS = (*licenses.KNOWN, *licenses.file_texts())
 LICENSES_SQL = f"""
 WITH k AS (
-  SELECT license_id, {_spelled("text")} AS lines
-  FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) AS t(license_id, text)
+  SELECT license_id, row_number() OVER () AS row, text
+  FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in _TEXTS)}) AS t(license_id, text)
+), texts AS (
+  SELECT 'k' AS kind, row, license_id, text FROM k UNION ALL SELECT 'd', doc_id, NULL, coalesce(text, '') FROM documents
+), b0 AS (
+  SELECT kind, row, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS block, unnest(range(len(regexp_split_to_array(text, '\\n\\s*\\n')))) AS place FROM texts
+), b1 AS (
+  SELECT *, {_canonical("block")} AS plain FROM b0
+), b2 AS (
+  SELECT kind, row, block, place, {_opened("plain")} AS words FROM b1
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY kind, row ORDER BY place) AS at FROM b2 WHERE words <> ''
+), l0 AS (
+  SELECT kind, row, at, unnest(string_split(block, chr(10))) AS line FROM b
+), l1 AS (
+  SELECT kind, row, at, {_canonical("line")} AS plain FROM l0
+), l AS (
+  SELECT kind, row, at, md5(words) AS digest FROM (SELECT kind, row, at, {_opened("plain")} AS words FROM l1) WHERE words <> ''
+), n AS (
+  SELECT kind, row, at, count(*) AS n FROM l GROUP BY ALL
+), whole AS (
+  SELECT kind, row, md5(string_agg(words, ' ' ORDER BY at)) AS digest, list(md5(words) ORDER BY at) AS run FROM b GROUP BY kind, row
 ), known AS (
-  SELECT md5(array_to_string(lines, ' ')) AS digest, min(license_id) AS license_id FROM k WHERE len(lines) > 0 GROUP BY 1
-), d AS (
-  SELECT doc_id, {_spelled("coalesce(text, '')")} AS lines FROM documents
+  SELECT digest, min(license_id) AS license_id FROM whole JOIN k USING (row) WHERE kind = 'k' GROUP BY digest
+), runs AS (
+  SELECT run, min(license_id) AS license_id FROM whole JOIN k USING (row) WHERE kind = 'k' GROUP BY run
+), hits AS (
+  SELECT row, license_id FROM l JOIN known USING (digest) WHERE kind = 'd'
+  UNION ALL
+  SELECT b.row, runs.license_id FROM b JOIN runs ON md5(b.words) = runs.run[1] JOIN whole w ON w.kind = 'd' AND w.row = b.row
+  LEFT JOIN n ON n.kind = 'd' AND n.row = b.row AND n.at = b.at
+  WHERE b.kind = 'd' AND w.run[b.at:b.at + len(runs.run) - 1] = runs.run AND (coalesce(n.n, 0) > 1 OR len(runs.run) > 1)
 ), found AS (
-  SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS names
-  FROM (SELECT doc_id, md5(unnest(lines)) AS digest FROM d) JOIN known USING (digest) GROUP BY doc_id
-), w AS (
-  SELECT doc_id, CASE WHEN len(lines) > 0 THEN md5(array_to_string(lines, ' ')) END AS digest FROM d
+  SELECT row, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS names FROM hits GROUP BY row
 )
-SELECT w.doc_id, w.digest, known.license_id, coalesce(found.n, 0)::BIGINT AS n_notices, found.names AS licenses
-FROM w LEFT JOIN known USING (digest) LEFT JOIN found ON w.doc_id = found.doc_id
+SELECT d.doc_id, w.digest, known.license_id, coalesce(found.n, 0)::BIGINT AS n_notices, found.names AS licenses
+FROM documents d LEFT JOIN whole w ON w.kind = 'd' AND w.row = d.doc_id LEFT JOIN known ON known.digest = w.digest LEFT JOIN found ON found.row = d.doc_id
 """
 
 

@@ -34,6 +34,12 @@ def test_language_of_odd_texts(spark, docs_of):
     assert language.identified(docs_of([(1, "words", None)]), F.lit(False)).first().lang_pred == "und"
 
 
+def test_language_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    found = [sorted(tuple(r) for r in language.identified(d, F.col("doc_id") % 4 == 2).collect()) for d in (docs, docs.repartition(7, "source").sortWithinPartitions(F.desc("doc_id")))]
+    assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("languages", [1, 2, 4, 7, 30])
 def test_codewords_differ(languages):
     code = language.codewords(languages)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -218,6 +219,23 @@ def test_full_licence_texts_whole_and_inside(docs_of):
     assert got[200].license_id is None and got[200].licenses is None and got[200].n_notices == 0
 
 
+@pytest.mark.parametrize("width", [50, 60, 72, 100, 10_000])
+def test_licence_texts_wrapped_anew(docs_of, width):
+    """Every known text at any width, with Windows line ends or not, whole and inside other text."""
+    def wrapped(text):
+        blocks = re.split(r"\n\s*\n", text)
+        return "\n\n".join(textwrap.fill(" ".join(block.split()), width, break_long_words=False, break_on_hyphens=False) for block in blocks)
+
+    texts = dict(zip(licenses.FILES, [text for _, text in licenses.file_texts()], strict=True))
+    rows = [(k, wrapped("Copyright 2001-2019 Some One and others <a@b.c>\nAll rights reserved.\n\n" + t).replace("\n", "\r\n" if k % 2 else "\n")) for k, t in enumerate(texts.values())]
+    rows += [(100 + k, "Own words before.\n\n" + wrapped(t) + "\n\nOwn words\nafter.") for k, t in enumerate(texts.values())]
+    got = {r.doc_id: r for r in licenses.scanned(docs_of(rows)).collect()}
+    for k, name in enumerate(texts):
+        own = name.split("+")[0]
+        assert got[k].license_id == own and got[100 + k].license_id is None, name
+        assert own in (got[100 + k].licenses or "").split(","), name
+
+
 @pytest.mark.parametrize("call", [minhash.classes, rules.ledger, lines.drop_common_lines, substrings.without_repeats, licenses.scanned, minhash.without_near_copies, rules.keep_good, lines.without_common_lines])
 def test_empty_table(docs_of, call):
     assert call(docs_of([])).count() == 0
