@@ -116,7 +116,7 @@ def _(v: DriverViews):
     lines = v.documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("document_id"), F.size(split).cast("long").alias("blocks"), F.posexplode(split).alias("position", "text"))
     blocks = lines.select(
         "document_id", (F.floor(F.col("position") / 10) + 1).cast("int").alias("page"), F.col("position").cast("long").alias("position"), "text",
-        F.lit(False).alias("is_table"), "blocks", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("document_id")).alias("seen_at"),
+        F.lit(False).alias("is_table"), "blocks", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.pmod("position", F.lit(3))).alias("seen_at"),
     )
     texts = v.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     vectors = texts.join(v.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,8 @@ class OpenDocuments(StatefulProcessor):
 
     Blocks come in any order and in any batch. Each bears ``blocks``, how many its document has, or null where the sender
     does not know yet. When as many are there, the document leaves whole and its state is gone. A document that
-    is not complete ``wait`` after its last block leaves with what it has, marked incomplete; its blocks stay another
-    ``wait``, and if more come it leaves again, whole.
+    is not complete ``wait`` after the time of its newest block leaves with what it has, marked incomplete; its blocks stay
+    another ``wait``, and if more come it leaves again, whole.
     """
 
     def __init__(self, wait: timedelta):
@@ -55,7 +56,9 @@ class OpenDocuments(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         wanted, held, timer, _ = self.status.get() if self.status.exists() else (-1, 0, 0, False)
+        newest = timerValues.getCurrentWatermarkInMs()
         for batch in rows:
+            newest = max(newest, int(batch["moment"].max()))
             for page, position, text, is_table, blocks in zip(*(batch[c] for c in ("page", "position", "text", "is_table", "blocks")), strict=True):
                 at = (int(page), int(position))
                 if not self.blocks.containsKey(at):
@@ -69,7 +72,7 @@ class OpenDocuments(StatefulProcessor):
             yield from self._whole(key[0], True)
             self._forget()
             return
-        timer = timerValues.getCurrentWatermarkInMs() + self.wait
+        timer = newest + self.wait
         self.handle.registerTimer(timer)
         self.status.update((wanted, held, timer, False))
 
@@ -110,7 +113,8 @@ def whole_documents(blocks: DataFrame, moment: str = "seen_at", delay: str = "1
     Blocks that arrive behind the watermark are taken too: they may be what an open document waits for.
     """
     use_rocksdb(blocks.sparkSession)
-    rows = blocks.select("document_id", "page", "position", "text", "is_table", "blocks", moment).withWatermark(moment, delay)
+    millis = F.coalesce(F.unix_millis(F.col(moment).cast("timestamp")), F.lit(0)).alias("moment")
+    rows = blocks.select("document_id", "page", "position", "text", "is_table", "blocks", millis, F.col(moment).alias("seen")).withWatermark("seen", delay)
     return rows.groupBy("document_id").transformWithStateInPandas(OpenDocuments(wait), BLOCK, "append", "EventTime")
 
 
@@ -136,14 +140,20 @@ class SilentSources(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest, timer = self.last.get() if self.last.exists() else (None, None)
-        # a key's rows come in parts; only their times are gathered, and sorted, as events may be out of order
-        moments = pd.concat([batch["moment"] for batch in rows]).astype("int64").sort_values().tolist()
+        # a key's rows come in parts and out of order; what is held are spans without a silence, no more than the time
+        # they cover has widths
+        spans: list[tuple[int, int]] = []
+        for batch in rows:
+            moments = np.sort(batch["moment"].to_numpy(np.int64))
+            breaks = np.flatnonzero(np.diff(moments) > self.width)
+            firsts, lasts = moments[np.concatenate([[0], breaks + 1])], moments[np.concatenate([breaks, [len(moments) - 1]])]
+            spans = self._merged(sorted([*spans, *zip(firsts.tolist(), lasts.tolist(), strict=True)]))
         found = []
-        for at in moments:
-            if newest is None or at > newest:
-                if newest is not None and at - newest > self.width:
-                    found.append((key[0], newest, at))
-                newest = at
+        for first, last in spans:
+            if newest is None or last > newest:
+                if newest is not None and first - newest > self.width:
+                    found.append((key[0], newest, first))
+                newest = last
         if timer is not None:
             self.handle.deleteTimer(timer)
         timer = newest + self.width
@@ -157,6 +167,15 @@ class SilentSources(StatefulProcessor):
         self.last.update((newest, None))
         yield self._rows([(key[0], newest, None)])
 
+    def _merged(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out = spans[:1]
+        for first, last in spans[1:]:
+            if first - out[-1][1] <= self.width:
+                out[-1] = (out[-1][0], max(out[-1][1], last))
+            else:
+                out.append((first, last))
+        return out
+
     def _rows(self, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["source", "silent_from", "silent_to"])
         for name in ("silent_from", "silent_to"):
