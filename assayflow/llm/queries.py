@@ -111,43 +111,43 @@ def _quoted(text: str) -> str:
 _TEXTS = (*licenses.KNOWN, *licenses.file_texts())
 LICENSES_SQL = f"""
 WITH k AS (
-  SELECT license_id, row_number() OVER () AS row, text
+  SELECT license_id, row_number() OVER () AS rid, text
   FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in _TEXTS)}) AS t(license_id, text)
 ), texts AS (
-  SELECT 'k' AS kind, row, license_id, text FROM k UNION ALL SELECT 'd', doc_id, NULL, coalesce(text, '') FROM documents
+  SELECT 'k' AS kind, rid, license_id, text FROM k UNION ALL SELECT 'd', doc_id, NULL, coalesce(text, '') FROM documents
 ), b0 AS (
-  SELECT kind, row, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS block, unnest(range(len(regexp_split_to_array(text, '\\n\\s*\\n')))) AS place FROM texts
+  SELECT kind, rid, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS block, unnest(range(len(regexp_split_to_array(text, '\\n\\s*\\n')))) AS place FROM texts
 ), b1 AS (
   SELECT *, {_canonical("block")} AS plain FROM b0
 ), b2 AS (
-  SELECT kind, row, block, place, {_opened("plain")} AS words FROM b1
+  SELECT kind, rid, block, place, {_opened("plain")} AS words FROM b1
 ), b AS (
-  SELECT *, row_number() OVER (PARTITION BY kind, row ORDER BY place) AS at FROM b2 WHERE words <> ''
+  SELECT *, row_number() OVER (PARTITION BY kind, rid ORDER BY place) AS nth FROM b2 WHERE words <> ''
 ), l0 AS (
-  SELECT kind, row, at, unnest(string_split(block, chr(10))) AS line FROM b
+  SELECT kind, rid, nth, unnest(string_split(block, chr(10))) AS line FROM b
 ), l1 AS (
-  SELECT kind, row, at, {_canonical("line")} AS plain FROM l0
+  SELECT kind, rid, nth, {_canonical("line")} AS plain FROM l0
 ), l AS (
-  SELECT kind, row, at, md5(words) AS digest FROM (SELECT kind, row, at, {_opened("plain")} AS words FROM l1) WHERE words <> ''
+  SELECT kind, rid, nth, md5(words) AS digest FROM (SELECT kind, rid, nth, {_opened("plain")} AS words FROM l1) WHERE words <> ''
 ), n AS (
-  SELECT kind, row, at, count(*) AS n FROM l GROUP BY ALL
+  SELECT kind, rid, nth, count(*) AS n FROM l GROUP BY ALL
 ), whole AS (
-  SELECT kind, row, md5(string_agg(words, ' ' ORDER BY at)) AS digest, list(md5(words) ORDER BY at) AS run FROM b GROUP BY kind, row
+  SELECT kind, rid, md5(string_agg(words, ' ' ORDER BY nth)) AS digest, list(md5(words) ORDER BY nth) AS run FROM b GROUP BY kind, rid
 ), known AS (
-  SELECT digest, min(license_id) AS license_id FROM whole JOIN k USING (row) WHERE kind = 'k' GROUP BY digest
+  SELECT digest, min(license_id) AS license_id FROM whole JOIN k USING (rid) WHERE kind = 'k' GROUP BY digest
 ), runs AS (
-  SELECT run, min(license_id) AS license_id FROM whole JOIN k USING (row) WHERE kind = 'k' GROUP BY run
+  SELECT run, min(license_id) AS license_id FROM whole JOIN k USING (rid) WHERE kind = 'k' GROUP BY run
 ), hits AS (
-  SELECT row, license_id FROM l JOIN known USING (digest) WHERE kind = 'd'
+  SELECT rid, license_id FROM l JOIN known USING (digest) WHERE kind = 'd'
   UNION ALL
-  SELECT b.row, runs.license_id FROM b JOIN runs ON md5(b.words) = runs.run[1] JOIN whole w ON w.kind = 'd' AND w.row = b.row
-  LEFT JOIN n ON n.kind = 'd' AND n.row = b.row AND n.at = b.at
-  WHERE b.kind = 'd' AND w.run[b.at:b.at + len(runs.run) - 1] = runs.run AND (coalesce(n.n, 0) > 1 OR len(runs.run) > 1)
+  SELECT b.rid, runs.license_id FROM b JOIN runs ON md5(b.words) = runs.run[1] JOIN whole w ON w.kind = 'd' AND w.rid = b.rid
+  LEFT JOIN n ON n.kind = 'd' AND n.rid = b.rid AND n.nth = b.nth
+  WHERE b.kind = 'd' AND w.run[b.nth:b.nth + len(runs.run) - 1] = runs.run AND (coalesce(n.n, 0) > 1 OR len(runs.run) > 1)
 ), found AS (
-  SELECT row, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS names FROM hits GROUP BY row
+  SELECT rid, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS names FROM hits GROUP BY rid
 )
 SELECT d.doc_id, w.digest, known.license_id, coalesce(found.n, 0)::BIGINT AS n_notices, found.names AS licenses
-FROM documents d LEFT JOIN whole w ON w.kind = 'd' AND w.row = d.doc_id LEFT JOIN known ON known.digest = w.digest LEFT JOIN found ON found.row = d.doc_id
+FROM documents d LEFT JOIN whole w ON w.kind = 'd' AND w.rid = d.doc_id LEFT JOIN known ON known.digest = w.digest LEFT JOIN found ON found.rid = d.doc_id
 """
 
 
