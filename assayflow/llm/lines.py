@@ -7,8 +7,10 @@ count has reached the threshold move to the settled runs. No level is ever rewri
 digest is rewritten once per level, and a very common line stops costing anything once it is settled.
 
 Nulls and odd input: every row is a document; a null or empty text is one empty line, which has no key and is never
-dropped; a null doc_id stays null; repeated rows count as documents of their own and get the same result; other columns
-are carried, whatever their names; an empty table gives an empty result.
+dropped; a null doc_id stays null, and each row without an id is a document of its own; all rows of one doc_id are one
+document in the counts, whether they repeat a text or not, and each of them gets its own result; very long texts are split
+whole, inside the row; there are no ties, as a key is common or not; other columns are carried, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +35,23 @@ def row_key(text: str = "text") -> list[Column]:
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
-    """Per document: its row key and the digest of every line's key, null where the key is empty."""
+    """Per row: its id and row key, and the digest of every line's key, null where the key is empty."""
     digest = lambda key: F.when(key != "", F.unhex(F.md5(key)))
     keys = F.transform(F.split(text_of(), "\n"), key_of)
-    return docs.select(*row_key(), keys.alias("keys")).select("k1", "k2", F.transform("keys", digest).alias("digests"))
+    held = docs.select(F.col("doc_id").alias("doc"), *row_key(), keys.alias("keys"))
+    return held.select("doc", "k1", "k2", F.transform("keys", digest).alias("digests"))
+
+
+def per_document(digests: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row per document and different digest in it.
+
+    Only the rows of ids that stand in several rows (``repeated``) need a shuffle to be made different; of these a document
+    may have any number, as equal digests of an id are combined before and after it.
+    """
+    each = F.explode(F.array_distinct("digests")).alias("digest")
+    alone = digests.join(repeated, "doc", "left_anti").select(each)
+    several = digests.join(repeated, "doc", "left_semi").select("doc", each).distinct().select("digest")
+    return alone.unionByName(several).filter("digest IS NOT NULL")
 
 
 class Runs:
@@ -98,9 +113,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int =
     tables = Written(spark, "lines")
     digests = tables.keep(line_digests(docs), "digests")
     runs = Runs(spark, min_docs)
+    repeated = tables.keep(digests.filter("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc"), "repeated")
+    # all rows of an id are in one batch, as the runs add up what the batches count
+    dealt = F.pmod(F.when(F.col("doc").isNull(), F.col("k1")).otherwise(F.xxhash64("doc")), F.lit(batches))
     for batch in range(batches):
-        part = digests.filter(F.pmod("k1", F.lit(batches)) == batch)
-        runs.add(part.select(F.explode(F.array_distinct("digests")).alias("digest")).filter("digest IS NOT NULL"))
+        runs.add(per_document(digests.filter(dealt == batch), repeated))
     common = tables.keep(runs.common(), "common")
     runs.tables.drop("")
     each = digests.select("k1", "k2", F.posexplode("digests").alias("place", "digest")).filter("digest IS NOT NULL")

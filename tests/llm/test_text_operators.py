@@ -113,7 +113,8 @@ def test_policies_and_ablations(docs_of, corpus):
 
 def test_common_lines_equal_plain_python(docs_of, corpus):
     key = lambda line: lowered(line).strip(" \t\n\x0b\x0c\r")
-    held = Counter(k for _, text in corpus for k in {key(x) for x in (text or "").split("\n")} if k)
+    of_document = [(place if doc_id is None else f"id {doc_id}", key(x)) for place, (doc_id, text) in enumerate(corpus) for x in (text or "").split("\n")]
+    held = Counter(k for _, k in set(of_document) if k)
     want = []
     for doc_id, text in corpus:
         own = (text or "").split("\n")
@@ -124,6 +125,17 @@ def test_common_lines_equal_plain_python(docs_of, corpus):
     assert sum(r[2] for r in want) >= 24
 
 
+def test_lines_are_counted_by_document_and_not_by_row(docs_of):
+    rows = [(1, "here alone\nin two")] * 10 + [(2, "in two\nin ten")] + [(k, f"own {k}\nIn Ten ") for k in range(3, 12)] + [(3, "another text of 3\nin ten")] * 12
+    rows += [(None, "no id")] * 9 + [(None, "no id\nmore"), (12, "")]
+    got = {}
+    for r in lines.drop_common_lines(docs_of(rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_lines, r.n_dropped, r.kept_text))
+    assert got[1] == {(2, 0, "here alone\nin two")} and got[2] == {(2, 1, "in two")}
+    assert got[3] == {(2, 1, "own 3"), (2, 1, "another text of 3")} and got[11] == {(2, 1, "own 11")}
+    assert got[None] == {(1, 1, ""), (2, 1, "more")} and got[12] == {(1, 0, "")}
+
+
 def test_runs_settle_and_compact(spark):
     runs = lines.Runs(spark, min_docs=3, fan=2)
     batch = lambda *keys: spark.createDataFrame([(bytes([k]) * 16,) for k in keys], "digest binary")
