@@ -63,7 +63,23 @@ SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
 
 @query("op2_quality_rules", RULES_SQL)
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.judged(rules.ledger(table(spark, folder, "documents")))
+    return rules.judged(rules.stored(table(spark, folder, "documents")))
+
+
+ABLATIONS_SQL = RULES_SQL[: RULES_SQL.rindex("SELECT *, failed & 3")].rstrip() + """, p AS (
+  SELECT * FROM (VALUES ('base', 1, 3), ('full', 1, 63)) AS t(policy, version, mask)
+), r AS (
+  SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('word_length', 8), ('repeated_lines', 16), ('marks', 32)) AS t(rule, bit)
+)
+SELECT policy, version, rule, count(*) FILTER (failed & bit <> 0) AS fail, count(*) FILTER (failed & mask = bit) AS fail_alone,
+       count(*) FILTER ((failed & mask) - (failed & bit) = 0) AS kept_without
+FROM f, p, r WHERE mask & bit <> 0 GROUP BY ALL
+"""
+
+
+@query("rule_ablations", ABLATIONS_SQL)
+def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.ablations(rules.stored(table(spark, folder, "documents")), [rules.BASE, rules.FULL])
 
 
 LINES_SQL = r"""

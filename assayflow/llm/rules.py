@@ -5,8 +5,9 @@ failed. Policies are masks over those bits, so a new policy version, and what ea
 aggregate over the ledger and never reads a text again.
 
 Nulls and odd input: a null text is an empty one (no words; it fails ``few_words``); a null doc_id stays null;
-repeated rows give repeated ledger rows; other columns of the input are not looked at; an empty table gives an
-empty ledger.
+repeated rows give repeated ledger rows; very long texts are measured whole, inside the row; there are no ties, as each
+rule is met or not at its bound; other columns of the input are not looked at; an empty table gives an empty ledger and
+ablations of no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of
+from .common import Written, text_of, words_of
 
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks")
@@ -109,6 +110,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs.select("doc_id", "text")).select("doc_id", "ledger.*")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger as a written table, from which policies and ablations are computed without the texts."""
+    return Written(docs.sparkSession, "rules").keep(ledger(docs), "ledger")
+
+
 def passes(failed: Column, policy: Policy) -> Column:
     return failed.bitwiseAND(F.lit(policy.mask)) == 0
 
