@@ -237,8 +237,8 @@ def packing_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_mixing")
 def mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = mixing.rated(table(spark, folder, "documents").select("doc_id", "text", "lang"))
-    return rows.select(F.col("row.doc_id").alias("doc_id"), "domain", "confidence", "n_tokens", "rate", "copies")
+    rows = mixing.rated(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "domain", "confidence", "n_tokens", "rate", "copies", "target", "reached")
 
 
 @query("op11_tokenizer_alignment")

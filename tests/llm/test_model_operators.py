@@ -154,21 +154,71 @@ def test_hilbert_steps_to_neighbours():
 def test_mixing_meets_its_targets(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     aims = {"en": 80_000.0, "de": 60_000.0, "fr": 70_000.0, "es": 90_000.0}
-    rows = mixing.rated(docs, targets=aims).groupBy("domain").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("n"), F.min("rate").alias("low")).collect()
+    rows = mixing.rated(docs, "lang", aims).groupBy("domain").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("n"), F.min("rate").alias("low"), F.max("target").alias("target"), F.max("reached").alias("reached")).collect()
     assert all(abs(r.n - aims[r.domain]) < 0.03 * aims[r.domain] and r.low >= 0 for r in rows) and len(rows) == 4
-    again = mixing.rated(docs).select(F.avg((F.col("domain") == F.col("row.lang")).cast("int"))).first()[0]
+    assert all(r.target == aims[r.domain] and abs(r.reached - r.target) < 0.002 * sum(aims.values()) for r in rows)
+    again = mixing.rated(docs, "lang", trust=0).select(F.avg((F.col("domain") == F.col("row.lang")).cast("int"))).first()[0]
     assert again > 0.95
 
 
+def test_mixing_of_sources(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    rows = mixing.rated(docs).collect()
+    # a label is trusted at 0.9, so the text may move about a tenth of the documents
+    assert len(rows) == 1000 and sum(r.domain == r.row.source for r in rows) > 850
+    hot, rest = ([r.rate for r in rows if (r.row.source == "hot") == side and r.n_tokens] for side in (True, False))
+    assert sum(hot) / len(hot) < 0.6 and sum(rest) / len(rest) > 1.1
+    assert all(abs(r.reached - r.target) <= 0.01 * sum(x.n_tokens for x in rows) for r in rows)
+
+
+def test_fit_equals_dense_least_squares(spark):
+    """The same projected gradient in dense NumPy, and targets that a plain solver proves reachable."""
+    draw = np.random.default_rng(5)
+    p = draw.dirichlet([0.3, 0.3, 0.3], 300)
+    n = draw.integers(0, 500, 300).astype(float)
+    members = spark.createDataFrame([(k, float(n[k]), *map(float, p[k])) for k in range(300)], "k long, n double, p0 double, p1 double, p2 double")
+    aims = np.array([0.2, 0.3, 0.5]) * n.sum()
+    for most in (None, 1.5):
+        rows, targets, reached = mixing.fitted(members, 3, aims, 0.5, most)
+        got = np.array([r.rate for r in rows.orderBy("k").collect()])
+        rate, size, best = np.ones(300), 1.0, None
+        weight = 1 / (n @ p)
+        for _ in range(mixing.PASSES):
+            totals, free = (rate * n) @ p, (n * (rate > 0)) @ p
+            loss = (weight * (totals - aims) ** 2).sum()
+            if best is None or loss < best[0]:
+                best = (loss, rate, totals, (totals - aims) / free)
+            else:
+                size /= 2
+            if abs(best[2] - aims).max() <= mixing.CLOSE * n.sum() or size < 0.01:
+                break
+            rate = np.clip(best[1] - size * p @ best[3], 0, most)
+        assert np.abs(got - best[1]).max() < 1e-6 and np.abs(reached - best[2]).max() < 1e-4 and (targets == aims).all()
+        if most is None:
+            assert abs(reached - aims).max() < 1e-3 * n.sum()
+        else:
+            # half of all tokens is more than rates up to 1.5 can give the third domain beside the other two targets
+            assert reached[2] < aims[2]
+
+
+def test_characters_of_any_script_are_learned(docs_of):
+    texts = {"ru": "это слово и ещё одно", "el": "αυτή είναι μια λέξη", "en": "this is a word and one more"}
+    rows = [(k, texts[x] + f" {k}", x) for k, x in enumerate(list(texts) * 20)] + [(100, texts["ru"], None), (101, texts["el"], None)]
+    got = {r.row.doc_id: (r.domain, r.confidence) for r in mixing.rated(docs_of(rows), "lang", trust=0).collect()}
+    assert all(got[k][0] == x and got[k][1] > 0.95 for k, _, x in rows[:60]) and got[100][0] == "ru" and got[101][0] == "el"
+
+
 def test_mixing_of_odd_rows(spark, docs_of):
     rows = [(1, "the the the", "en"), (2, "und der die", "de"), (3, None, "en"), (4, "", None), (None, "the der", None), (5, "the", "en"), (5, "the", "en")]
-    got = mixing.rated(docs_of(rows)).collect()
+    got = mixing.rated(docs_of(rows), "lang").collect()
     assert len(got) == 7 and all(r.rate >= 0 and r.copies >= 0 for r in got)
     assert mixing.mixed(docs_of(rows)).columns == docs_of(rows).columns
-    capped = mixing.rated(docs_of(rows), most=1.0).collect()
+    capped = mixing.rated(docs_of(rows), "lang", most=1.0).collect()
     assert all(r.rate <= 1 and r.copies <= 1 for r in capped)
-    assert {r.rate for r in mixing.rated(docs_of([(1, "a", None)])).collect()} == {1.0}
+    assert {r.rate for r in mixing.rated(docs_of([(1, "a", None)]), "lang").collect()} == {1.0}
     assert mixing.rated(docs_of([])).count() == 0
+    with pytest.raises(ValueError):
+        mixing.rated(docs_of(rows), "lang", most_domains=1)
 
 
 def test_pipeline_stages_follow_their_order(spark):
