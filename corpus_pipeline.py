@@ -3,8 +3,10 @@
 Each stage takes what its predecessor kept, written as Parquet and read again, so a lost executor costs a stage at most.
 All stages but the last return the columns they were given; the last returns the pieces of the packed sequences.
 
-Mixing runs with rates of at most 1 and mild targets: no document is repeated, and the languages that have more tokens
+Mixing runs with rates of at most 1 and mild targets: no document is repeated, and the sources that have more tokens
 than their share are thinned by a hash of the row.
+
+Nulls and odd input: each stage's module says what it does with them; a table without rows runs through and gives no pieces.
 """
 
 from __future__ import annotations
