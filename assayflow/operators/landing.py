@@ -9,16 +9,17 @@ from ..functions import fixed_values as V
 from .keyed import first_per_key, ordered_index
 
 
-def land_new(incoming: DataFrame, known: DataFrame, order: Column, hash_column: str = "sha256") -> DataFrame:
+def land_new(incoming: DataFrame, known: DataFrame, order: Column, hash_column: str = "sha256", hashes: DataFrame | None = None) -> DataFrame:
     """Rows whose (source, external_id) and content hash are both new; inside the batch the
-    first row in ``order`` wins per external id, then per hash.
+    first row in ``order`` wins per external id, then per hash. ``hashes`` holds the known hashes
+    where they are kept apart from the known ids.
 
     Known keys are removed before the batch is deduplicated, and each dedupe is a map-side
     combining aggregate, so a file repeated very often never gathers in one task.
     """
     keys = ["source", "external_id"]
     fresh = incoming.join(known.select(*keys).distinct(), keys, "left_anti")
-    fresh = fresh.join(known.select(hash_column).distinct(), hash_column, "left_anti")
+    fresh = fresh.join((known if hashes is None else hashes).select(hash_column).distinct(), hash_column, "left_anti")
     per_id = first_per_key(fresh, keys, order)
     return first_per_key(per_id, [hash_column], order)
 

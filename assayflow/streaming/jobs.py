@@ -10,13 +10,14 @@ from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import alerts, landing, texts
 from ..operators.keyed import last_per_key
 from ..sources import hits
+from .state import use_rocksdb
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -57,19 +58,54 @@ def file_stream(spark: SparkSession, folder: str, name: str, per_trigger: int |
 # --- landing -------------------------------------------------------------------------------------
 
 LANDED = "source string, external_id string, sha256 string, doc_id long, seen_at timestamp"
+#: Parts of the key store. Once a store has been written, its number of parts stays.
+PARTS = 64
 
 
-def landing_job(documents: DataFrame, store: str, delay: str = "2 days") -> tuple[DataFrame, Batch]:
-    """Idempotent landing: repeats inside the watermark drop out of the stream, older ones by an
-    anti join against the store. ``documents`` holds the LANDED columns."""
-    unique = documents.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["source", "external_id"])
+def key_part(parts: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
+
+
+def landed_before(spark: SparkSession, store: str, batch_id: int, parts: list[int]) -> DataFrame:
+    """Landed rows of earlier batches in some parts of the store; no file of another part is opened."""
+    rows = read_batches(spark, store, f"{LANDED}, part int")
+    return rows.filter((F.col("batch_id") < batch_id) & F.col("part").isin(*parts))
+
+
+def hashes_before(spark: SparkSession, store: str, batch_id: int, parts: list[int]) -> DataFrame:
+    rows = read_batches(spark, f"{store.rstrip('/')}-hashes", "sha256 string, part int")
+    return rows.filter((F.col("batch_id") < batch_id) & F.col("part").isin(*parts))
+
+
+def landing_job(documents: DataFrame, store: str, parts: int = PARTS) -> tuple[DataFrame, Batch]:
+    """Idempotent landing of ``documents``, which hold the LANDED columns.
+
+    The store is cut into ``parts`` by a hash of (source, external id), and its content hashes, kept beside it, by their own hash.
+    A batch opens the parts that its own keys fall in, so a small batch reads a small share of a large store. What is known is told by
+    the store and not by stream state: a row lands however late it comes, and state does not grow.
+    Rows are written before hashes and both by batch, so a batch that is done again replaces what it left.
+    """
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        known = read_batches(batch.sparkSession, store, LANDED).filter(F.col("batch_id") < batch_id)
-        fresh = landing.land_new(batch, known, F.struct("seen_at", "doc_id"))
-        write_batch(fresh, store, batch_id)
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            # at most ``parts`` numbers each
+            ids, hashes = batch.agg(F.collect_set(key_part(parts, "source", "external_id")), F.collect_set(key_part(parts, "sha256"))).first()
+            known, seen = landed_before(spark, store, batch_id, ids), hashes_before(spark, store, batch_id, hashes)
+            fresh = landing.land_new(batch, known, F.struct("seen_at", "doc_id"), hashes=seen)
+            _write_parts(fresh.withColumn("part", key_part(parts, "source", "external_id")), store, batch_id)
+            written = read_batches(spark, store, f"{LANDED}, part int").filter(F.col("batch_id") == batch_id)
+            _write_parts(written.select("sha256", key_part(parts, "sha256").alias("part")), f"{store.rstrip('/')}-hashes", batch_id)
+        finally:
+            batch.unpersist()
+
+    return documents, land
 
-    return unique, land
+
+def _write_parts(rows: DataFrame, path: str, batch_id: int) -> None:
+    """One batch, one file a part."""
+    rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch_id={batch_id}")
 
 
 def hits_stream(pages: DataFrame, allowed: tuple[str, ...], override: str | None = None) -> DataFrame:
@@ -84,16 +120,25 @@ def hits_stream(pages: DataFrame, allowed: tuple[str, ...], override: str | None
 DELIVERED = "alert_id long, event_id long, channel string"
 
 
-def alert_job(events: DataFrame, alert_rows: DataFrame, items: DataFrame, watchlists: DataFrame, projects: DataFrame, store: str) -> tuple[DataFrame, Batch]:
-    """Events to deliveries, each (alert, event, channel) once. The watch tables are read again
-    with every batch, so list changes count from the next batch on."""
+def alert_job(
+    events: DataFrame, alert_rows: DataFrame, items: DataFrame, watchlists: DataFrame, projects: DataFrame, store: str, delay: str = "30 days",
+) -> tuple[DataFrame, Batch]:
+    """Events to deliveries, each (alert, event, channel) once.
+
+    What has been delivered is keyed state of the stream, which checkpoints with it: the log is written and never read. State of a
+    delivery goes when its event is ``delay`` behind the newest one; events that arrive later than that are too old
+    to tell anybody of. A batch that is done again starts from the state before it and replaces its part of the log.
+    ``events`` bears the event time ``created_at``; events without one do not alert.
+    """
+    use_rocksdb(events.sparkSession)
+    timed = events.filter(F.col("created_at").isNotNull()).withWatermark("created_at", delay)
+    pairs = alerts.alert_candidates(timed, alert_rows, items, watchlists, projects).select("alert_id", "event_id", "channel", "created_at")
+    once = pairs.dropDuplicatesWithinWatermark(["alert_id", "event_id", "channel"])
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        log = read_batches(batch.sparkSession, store, DELIVERED).filter(F.col("batch_id") < batch_id)
-        pending = alerts.pending_alerts(batch, alert_rows, items, watchlists, projects, log, limit=None)
-        write_batch(pending.select("alert_id", "event_id", "channel").distinct(), store, batch_id)
+        write_batch(batch.select("alert_id", "event_id", "channel"), store, batch_id)
 
-    return events, deliver
+    return once, deliver
 
 
 def seen_markers(events: DataFrame, items: DataFrame, watchlists: DataFrame, projects: DataFrame) -> DataFrame:
@@ -115,8 +160,15 @@ def weekly_counts(events: DataFrame, moment: str, key: str, delay: str = "1 day"
     return windowed.select(F.col("w.start").alias("week_start"), key, "n")
 
 
-def monthly_counts(events: DataFrame, moment: str, key: str) -> DataFrame:
-    return events.groupBy(F.date_format(moment, "yyyy-MM").alias("month"), key).agg(F.count("*").alias("n"))
+def daily_counts(events: DataFrame, moment: str, key: str, delay: str = "1 day") -> DataFrame:
+    """Months are no windows of one length; their days are, and the watermark closes them."""
+    windowed = events.withWatermark(moment, delay).groupBy(F.window(moment, "1 day").alias("w"), key).agg(F.count("*").alias("n"))
+    return windowed.select(F.col("w.start").alias("day"), key, "n")
+
+
+def months_of(days: DataFrame, key: str) -> DataFrame:
+    """Counts by month from the newest count of each day."""
+    return days.groupBy(F.date_format("day", "yyyy-MM").alias("month"), key).agg(F.sum("n").alias("n"))
 
 
 def update_job(store: str) -> Batch:

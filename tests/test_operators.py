@@ -1,8 +1,9 @@
 import random
-from datetime import date
+from datetime import date, datetime
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from assayflow.functions import text as T
@@ -269,16 +270,57 @@ def test_landing_stream_keeps_each_filing_once(spark, tmp_path):
     assert run()[-1] == 6 and len(run()) == 3
 
 
-def test_delivery_log_is_exactly_once(spark, tmp_path):
-    events = spark.createDataFrame([(1, 10, "x", date(2026, 1, 1)), (2, 11, "x", date(2026, 1, 2))], "event_id long, project_id long, event_type string, event_date date")
+def test_landing_opens_the_parts_of_its_own_keys(spark, tmp_path):
+    columns = "source string, external_id string, sha256 string, doc_id long, seen_at timestamp"
+    rows = lambda ids, day: spark.createDataFrame([("s", str(n), f"h{n}", n, datetime(2026, 1, day)) for n in ids], columns)
+    store = str(tmp_path / "store")
+    _, land = K.landing_job(rows([1], 1), store)
+    land(rows(range(200), 20), 0)
+    part = lambda frame, *c: {r[0] for r in frame.select(K.key_part(K.PARTS, *c)).collect()}
+    late = rows([5, 500], 1)
+    opened = {"store": part(late, "source", "external_id"), "store-hashes": part(late, "sha256")}
+    # a file that is no Parquet, wherever the batch has nothing to look for
+    for folder, parts in opened.items():
+        for file in (tmp_path / folder / "batch_id=0").rglob("*.parquet"):
+            if int(file.parent.name.split("=")[1]) not in parts:
+                file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+                file.write_bytes(b"not to be read")
+    land(late, 1)
+    land(late, 1)
+    # 5 is known, and 500 lands although its time is far behind
+    assert [r.doc_id for r in spark.read.parquet(f"{store}/batch_id=1").collect()] == [500]
+
+
+def test_deliveries_are_exactly_once(spark, tmp_path):
+    columns = "event_id long, project_id long, event_type string, event_date date, created_at timestamp"
     alert = spark.createDataFrame([(7, 1, "email", "a@b")], "alert_id long, user_id int, channel string, address string")
     items = spark.createDataFrame([(5, 1, 10, None), (6, 1, None, 3), (8, 2, 10, None)], "item_id int, watchlist_id int, project_id long, company_id long")
     lists = spark.createDataFrame([(1, 1), (2, 1)], "watchlist_id int, user_id int").withColumn("last_seen_at", F.lit(None).cast("timestamp"))
     projects = spark.createDataFrame([(10, 3, "P"), (11, 3, "Q")], "project_id long, company_id long, name string")
-    store = str(tmp_path / "log")
-    _, deliver = K.alert_job(events, alert, items, lists, projects, store)
-    deliver(events, 0)
-    deliver(events, 0)
-    deliver(events, 1)
-    rows = K.read_batches(spark, store, K.DELIVERED).collect()
-    assert sorted((r.alert_id, r.event_id) for r in rows) == [(7, 1), (7, 2)]
+    inbox, store, checkpoint = (str(tmp_path / n) for n in ("in", "log", "cp"))
+
+    def add(*events):
+        rows = [(n, project, "x", date(2026, 1, day), datetime(2026, 1, day)) for n, project, day in events]
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(inbox)
+
+    def run(fail=False):
+        events = spark.readStream.schema(columns).parquet(inbox)
+        once, deliver = K.alert_job(events, alert, items, lists, projects, store)
+
+        def broken(batch, batch_id):
+            deliver(batch, batch_id)
+            raise RuntimeError("lost after the log was written")
+
+        K.run_available(once, broken if fail else deliver, checkpoint)
+        return sorted((r.alert_id, r.event_id) for r in K.read_batches(spark, store, K.DELIVERED).collect())
+
+    add((1, 10, 1), (2, 11, 2), (2, 11, 2))
+    assert run() == [(7, 1), (7, 2)]
+    add((1, 10, 1), (3, 10, 3))
+    with pytest.raises(StreamingQueryException):
+        run(fail=True)
+    # the batch is done again; then an event arrives out of order, one over again, and one on a project nobody watches
+    assert run() == [(7, 1), (7, 2), (7, 3)]
+    add((4, 11, 1), (3, 10, 3), (5, 99, 3))
+    assert run() == [(7, 1), (7, 2), (7, 3), (7, 4)]
+
