@@ -466,10 +466,10 @@ def snapshots(resources: DataFrame, economics: DataFrame, filings: DataFrame) ->
 
 def resource_movers(
     resources: DataFrame, filings: DataFrame, projects: DataFrame, as_of: date,
-    days: int = 90, limit: int = 8, commodity: str | None = None,
+    days: int = 90, limit: int = 8, commodity: str | None = None, companies: DataFrame | None = None,
 ) -> DataFrame:
     """Estimates filed in the window, one per project, real changes before scope changes before
-    first estimates; inside each class the biggest move, then the newest."""
+    first estimates; inside each class the biggest move, then the newest. With ``companies``, the owner's name too."""
     window = filings.filter(F.col("filed_at") >= F.lit(as_of - timedelta(days=days))).select("document_id")
     # only projects that filed in the window are worked out, and a filing counts under its first estimate
     active = resources.join(window, "document_id", "left_semi").select("project_id").distinct()
@@ -488,18 +488,25 @@ def resource_movers(
     rank = F.when(~has_delta, F.lit(2)).when(F.col("scope_change"), F.lit(1)).otherwise(F.lit(0))
     scored = newest.withColumn("move_class", rank).withColumn("move_size", size)
     order = [F.col("move_class"), F.col("move_size").desc(), F.col("estimate_date").desc(), F.col("project_id")]
-    return ranked_top(scored, order, limit)
+    return _with_owner(ranked_top(scored, order, limit), companies)
+
+
+def _with_owner(top: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """Names are looked up for the few rows of a finished list only."""
+    if companies is None:
+        return top
+    return top.join(companies.select("company_id", F.col("name").alias("company_name")), "company_id", "left")
 
 
 def new_studies(
     economics: DataFrame, filings: DataFrame, projects: DataFrame, as_of: date,
-    days: int = 90, limit: int = 10, commodity: str | None = None,
+    days: int = 90, limit: int = 10, commodity: str | None = None, companies: DataFrame | None = None,
 ) -> DataFrame:
     """Newest study per project when filed in the window, with the previous study and the change
-    of its headline value where both are on one basis."""
+    of its headline value where both are on one basis. With ``companies``, the owner's name too."""
     dated = economics.join(filings.select("document_id", "filed_at"), "document_id")
     recent = dated.filter(F.col("filed_at") >= F.lit(as_of - timedelta(days=days))).select("project_id").distinct()
-    names = projects.select("project_id", F.col("name").alias("project_name"), "commodities")
+    names = projects.select("project_id", F.col("name").alias("project_name"), "company_id", "commodities")
     if commodity:
         names = names.filter(F.array_contains("commodities", commodity))
     studies = study_progression(dated.join(recent, "project_id", "left_semi"), filings)
@@ -516,12 +523,12 @@ def new_studies(
     latest = latest.filter(F.col("filed_at") >= F.lit(as_of - timedelta(days=days))).join(names, "project_id")
     comparable = (F.col("prev.headline.key") == F.col("headline.key")) & F.col("prev.currency").eqNullSafe(F.col("currency"))
     shown = latest.select(
-        "project_id", "project_name", "document_id", "study_type", "study_date", "filed_at", "npv_value",
+        "project_id", "project_name", "company_id", "document_id", "study_type", "study_date", "filed_at", "npv_value",
         F.col("prev.study_type").alias("prev_study_type"),
         F.col("prev.npv_value").alias("prev_npv"),
         F.when(comparable, percent_change("prev.npv_value", "npv_value")).alias("npv_pct"),
     )
-    return ranked_top(shown, [F.col("filed_at").desc_nulls_last(), F.col("project_id")], limit)
+    return _with_owner(ranked_top(shown, [F.col("filed_at").desc_nulls_last(), F.col("project_id")], limit), companies)
 
 
 # --- intercepts ----------------------------------------------------------------------------------

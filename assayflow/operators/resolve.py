@@ -352,6 +352,12 @@ def archive_stats(matched: DataFrame) -> DataFrame:
     )
 
 
+def unmatched_files(matched: DataFrame) -> DataFrame:
+    """The files behind the count of misses: new, not French, and without one sure row in the index."""
+    fresh = ~F.lower("document").contains("french") & ~F.col("known")
+    return matched.filter(fresh & F.col("submitted_date").isNull()).select("archive", "document_id", "document", "company", "size_bytes")
+
+
 def upsert_occurrences(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Merge occurrences by (source, external id); a stored project link is kept.
 

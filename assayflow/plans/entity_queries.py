@@ -518,6 +518,17 @@ def _(v: DriverViews):
     return R.archive_stats(_matched(v))
 
 
+@query(
+    "d17_unmatched_files",
+    duck_sql(
+        "SELECT m.archive, document_id, m.document, f.company, f.size_bytes FROM matched m JOIN files f USING (document_id) WHERE NOT contains(lower(m.document), 'french') AND NOT m.known AND m.submitted_date IS NULL",
+        ctes=_INDEX,
+    ),
+)
+def _(v: DriverViews):
+    return R.unmatched_files(_matched(v))
+
+
 @query(
     "d18_checkpoints",
     """SELECT event_type AS slice, arg_max(props, struct_pack(a := ts, b := event_id)) AS checkpoint FROM events WHERE value > 10 GROUP BY 1""",

@@ -310,14 +310,15 @@ def _(v: DriverViews):
 
 def _movers_sql(days: int, limit: int) -> str:
     return _history(
-        f""", recent AS (SELECT l.*, p.name AS project_name, coalesce(mi_pct, inferred_pct, metal_pct) IS NOT NULL AS has_delta
+        f""", recent AS (SELECT l.*, p.name AS project_name, c.name AS company_name, coalesce(mi_pct, inferred_pct, metal_pct) IS NOT NULL AS has_delta
                          FROM lines l JOIN filings f USING (document_id) JOIN projects p ON p.project_id = l.project_id
+                              LEFT JOIN companies c ON c.company_id = p.company_id
                          WHERE f.filed_at >= {DAY} - {days}),
               newest AS (SELECT *, CASE WHEN NOT has_delta THEN 2 WHEN scope_change THEN 1 ELSE 0 END AS move_class,
                                 CASE WHEN has_delta THEN greatest(abs(coalesce(metal_pct, 0)), abs(coalesce(mi_pct, 0)), abs(coalesce(inferred_pct, 0))) ELSE 0 END AS move_size
                          FROM recent WHERE has_delta OR coalesce(mi, inf) IS NOT NULL
                          QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY estimate_date DESC) = 1)
-              SELECT CAST(row_number() OVER o AS INT) AS rank, project_id, project_name, document_id, estimate_date, move_class,
+              SELECT CAST(row_number() OVER o AS INT) AS rank, project_id, project_name, company_name, document_id, estimate_date, move_class,
                      round(move_size, 2) AS move_size, {_PCT}
               FROM newest WINDOW o AS (ORDER BY move_class, move_size DESC, estimate_date DESC, project_id)
               ORDER BY rank LIMIT {limit}""",
@@ -327,9 +328,9 @@ def _movers_sql(days: int, limit: int) -> str:
 
 @query("h16_movers", _movers_sql(720, 20))
 def _(v: DriverViews):
-    rows = H.resource_movers(v.resources, v.filings, v.projects, AS_OF, days=720, limit=20)
+    rows = H.resource_movers(v.resources, v.filings, v.projects, AS_OF, days=720, limit=20, companies=v.companies)
     return rows.select(
-        "rank", "project_id", "project_name", "document_id", "estimate_date", "move_class", F.round("move_size", 2).alias("move_size"), *_rounded()
+        "rank", "project_id", "project_name", "company_name", "document_id", "estimate_date", "move_class", F.round("move_size", 2).alias("move_size"), *_rounded()
     )
 
 
@@ -346,17 +347,17 @@ def _(v: DriverViews):
                                lag(currency) OVER w AS prev_cur,
                                row_number() OVER (PARTITION BY project_id ORDER BY study_date DESC NULLS LAST, study_id DESC) AS rn
                         FROM full_one WINDOW w AS (PARTITION BY project_id ORDER BY study_date ASC NULLS FIRST, study_id)),
-              shown AS (SELECT pr.project_id, p.name AS project_name, document_id, study_type, study_date, filed_at, npv_value, prev_study_type, prev_npv,
+              shown AS (SELECT pr.project_id, p.name AS project_name, c.name AS company_name, document_id, study_type, study_date, filed_at, npv_value, prev_study_type, prev_npv,
                                CASE WHEN prev_key = npv_key AND prev_cur = currency THEN (npv_value - prev_npv) / nullif(abs(prev_npv), 0) * 100 END AS npv_pct
-                        FROM pairs pr JOIN projects p ON p.project_id = pr.project_id WHERE rn = 1 AND filed_at >= {DAY} - 90)
-              SELECT CAST(row_number() OVER o AS INT) AS rank, project_id, project_name, document_id, study_type, study_date, filed_at,
+                        FROM pairs pr JOIN projects p ON p.project_id = pr.project_id LEFT JOIN companies c ON c.company_id = p.company_id WHERE rn = 1 AND filed_at >= {DAY} - 90)
+              SELECT CAST(row_number() OVER o AS INT) AS rank, project_id, project_name, company_name, document_id, study_type, study_date, filed_at,
                      round(npv_value, 6) AS npv_value, prev_study_type, round(prev_npv, 6) AS prev_npv, round(npv_pct, 2) AS npv_pct
               FROM shown WINDOW o AS (ORDER BY filed_at DESC NULLS LAST, project_id) ORDER BY rank LIMIT 10""",
         "projects",
     ),
 )
 def _(v: DriverViews):
-    rows = H.new_studies(v.economics, v.filings, v.projects, AS_OF)
+    rows = H.new_studies(v.economics, v.filings, v.projects, AS_OF, companies=v.companies).drop("company_id")
     return rows.withColumns({"npv_value": F.round("npv_value", 6), "prev_npv": F.round("prev_npv", 6), "npv_pct": F.round("npv_pct", 2)})
 
 

@@ -12,6 +12,7 @@ from ..operators import review as V
 from ..sources import exports
 from .driver_views import DriverViews, duck_sql
 from .registry import query
+from .stream_queries import scratch
 
 # --- retrieval -------------------------------------------------------------------------------------
 
@@ -263,6 +264,24 @@ def _(v: DriverViews):
     return V.decision_counts(facts, _decisions(v))
 
 
+@query(
+    "s15_decision_lines",
+    duck_sql(
+        """SELECT estimate_id AS fact_id, round(CASE WHEN e THEN 123.5 ELSE tonnes END, 2) AS tonnes, CASE WHEN e THEN 'inferred' ELSE category END AS category,
+                  reviewed OR e OR coalesce(action = 'approve', false) AS reviewed, CASE WHEN NOT reviewed AND (e OR action = 'approve') THEN 'ok' END AS review_note
+           FROM (SELECT *, coalesce(NOT reviewed AND action = 'edit' AND document_id % 2 = 0, false) AS e FROM decided) WHERE NOT coalesce(action = 'delete' AND NOT reviewed, false)""",
+        "resources", ctes=_DECIDED,
+    ),
+)
+def _(v: DriverViews):
+    """Decisions written as JSON lines, in the order in which they were taken, and read back from the files."""
+    folder = f"{scratch(v.spark, 'decisions')}/lines"
+    exports.write_to_read(_decisions(v).orderBy("seq", "id").drop("seq"), folder)
+    facts = v.resources.withColumnRenamed("estimate_id", "fact_id")
+    rows = V.apply_decisions(facts, exports.read_decisions(v.spark, folder), "resource")
+    return rows.select("fact_id", F.round("tonnes", 2).alias("tonnes"), "category", "reviewed", "review_note")
+
+
 @query("v08_bulk_approve", duck_sql("SELECT estimate_id, reviewed OR extraction_confidence >= 0.7 AS reviewed, CASE WHEN NOT reviewed AND extraction_confidence >= 0.7 THEN 'human' END AS review_source FROM resources", "resources"))
 def _(v: DriverViews):
     return V.bulk_approve(v.resources).select("estimate_id", "reviewed", "review_source")
@@ -316,18 +335,55 @@ def _(v: DriverViews):
 
 
 def _sides(v: DriverViews):
-    tonnes = F.when(F.col("line") % 5 != 0, F.col("tonnes")) if "line" in v.resources.columns else F.when(F.length("estimate_id") % 3 != 0, F.col("tonnes"))
-    rows = v.resources.select("document_id", F.col("estimate_id").alias("row_id"), "category", tonnes.alias("tonnes"), "grade")
+    """Classes are coarse, and many rows have no tonnes or none at all, so one row often has several partners to choose from."""
+    tonnes = F.when(F.length("estimate_id") % 3 != 0, F.col("tonnes"))
+    rows = v.resources.select("document_id", F.col("estimate_id").alias("row_id"), F.left("category", F.lit(1)).alias("category"), tonnes.alias("tonnes"), "grade")
     new = rows.withColumn("tonnes", F.when(F.length("row_id") % 2 == 0, F.col("tonnes") * 1.01).otherwise(F.col("tonnes") * 1.1))
     return rows, new
 
 
-@query("e01_match")
+#: Both sides walked in id order: each reference row takes the first candidate left that is close.
+_WALK = """ref AS (SELECT document_id, estimate_id AS row_id, left(category, 1) AS category, CASE WHEN length(estimate_id) % 3 <> 0 THEN tonnes END AS tonnes, au, cu FROM resources),
+cand AS (SELECT * REPLACE (CAST(tonnes AS DOUBLE) * CASE WHEN length(row_id) % 2 = 0 THEN 1.01::DOUBLE ELSE 1.1::DOUBLE END AS tonnes) FROM ref),
+steps AS (SELECT *, row_number() OVER (PARTITION BY document_id, category ORDER BY row_id) AS i FROM ref),
+pools AS (SELECT document_id, category, list(struct_pack(id := row_id, t := tonnes) ORDER BY row_id) AS free FROM cand GROUP BY ALL),
+walk AS (
+  SELECT document_id, category, 0::BIGINT AS i, NULL::VARCHAR AS ref_id, NULL::VARCHAR AS cand_id, free FROM pools
+  UNION ALL
+  SELECT document_id, category, i, row_id, pick, list_filter(free, lambda x: x.id IS DISTINCT FROM pick) FROM (
+    SELECT s.document_id, s.category, s.i, s.row_id, w.free, list_filter(w.free, lambda x: CASE WHEN x.t IS NULL OR s.tonnes IS NULL THEN x.t IS NULL AND s.tonnes IS NULL
+             ELSE abs(s.tonnes - x.t) <= 0.02::DOUBLE * greatest(abs(s.tonnes), abs(x.t), 1e-9) END)[1].id AS pick
+    FROM walk w JOIN steps s ON s.document_id = w.document_id AND s.category = w.category AND s.i = w.i + 1)),
+pairs AS (SELECT document_id, ref_id, cand_id FROM walk WHERE cand_id IS NOT NULL)"""
+_AGREE = "CASE WHEN a.{g} IS NOT NULL AND b.{g} IS NOT NULL AND abs(a.{g} - b.{g}) <= 0.02::DOUBLE * greatest(abs(a.{g}), abs(b.{g}), 1e-9) THEN 1 ELSE 0 END"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(
+    "e01_match",
+    _recursive(duck_sql(
+        f""", agreed AS (SELECT p.document_id, count(*) AS matched, sum({_AGREE.format(g="au")} + {_AGREE.format(g="cu")}) AS agreeing,
+                  sum((a.au IS NOT NULL AND b.au IS NOT NULL)::INT + (a.cu IS NOT NULL AND b.cu IS NOT NULL)::INT) AS shared
+             FROM pairs p JOIN ref a ON a.document_id = p.document_id AND a.row_id = p.ref_id JOIN ref b ON b.document_id = p.document_id AND b.row_id = p.cand_id GROUP BY 1)
+           SELECT document_id, n AS ref_rows, n AS new_rows, coalesce(matched, 0) AS matched, CAST(coalesce(agreeing, 0) AS BIGINT) AS agreeing, CAST(coalesce(shared, 0) AS BIGINT) AS shared
+           FROM (SELECT document_id, count(*) AS n FROM ref GROUP BY 1) LEFT JOIN agreed USING (document_id)""",
+        "resources", ctes=_WALK,
+    )),
+)
 def _(v: DriverViews):
     return E.compare_extractions(*_sides(v))
 
 
-@query("e01_unmatched")
+@query(
+    "e01_unmatched",
+    _recursive(duck_sql(
+        "SELECT document_id, row_id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.document_id = c.document_id AND p.cand_id = c.row_id)",
+        "resources", ctes=_WALK,
+    )),
+)
 def _(v: DriverViews):
     reference, candidate = _sides(v)
     return E.unmatched_rows(candidate, E.match_rows(reference, candidate)).select("document_id", "row_id")

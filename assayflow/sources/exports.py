@@ -28,8 +28,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Review decisions, one JSON object a line, in the order of ``seq``; blank lines are no decisions."""
-    return spark.read.schema(DECISION_SHAPE).json(path).withColumn("seq", F.monotonically_increasing_id()).filter(F.col("id").isNotNull())
+    """Review decisions, one JSON object a line; blank lines are no decisions.
+
+    ``seq`` orders them by file name and then as they stand in the file, however Spark deals files and their parts to tasks.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.schema(DECISION_SHAPE).json(path).withColumn("seq", place).filter(F.col("id").isNotNull())
 
 
 def write_to_read(rows: DataFrame, path: str) -> None:

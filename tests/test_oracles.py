@@ -10,7 +10,7 @@ SAMPLE = (
     "q01_companies q10_screener q10_screener_filtered q18_facets q26_stacked_months q30_dashboard q40_merge_events h01_estimates h14_delta h16_movers "
     "h17_new_studies m01_weekly m05_coverage c02_cost c05_within_cap d06_company d12_match d15_priority d16_band t03_headings t06_select "
     "t17_event_class t18_near_duplicate_flags t19_citations n10_category_split n12_confidence r01_cosine r02_keyword r03_fusion r07_quality v04_verify_resources v07_counts v08_decisions v08_decision_counts v08_bulk_approve v10_queue d04_issuer_upsert d05_occurrence_upsert d06_company_updates q41_guarded_select a02_pending e03_stratified "
-    "s01_hits s06_index_rows s13_results t14_resource_tables k04_weeks k03_source_silence k06_chunk_store t04_chunks t09_batches f04_money"
+    "s01_hits s06_index_rows s13_results t14_resource_tables k04_weeks k04_months k01_landing k02_alert_deliveries k03_source_silence k06_chunk_store e01_match e01_unmatched s15_decision_lines d17_unmatched_files t04_chunks t09_batches f04_money"
 ).split()
 
 
