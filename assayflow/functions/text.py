@@ -212,11 +212,15 @@ def profile_digits(value: ColumnLike) -> Column:
     return F.regexp_replace(strip(value), "^0+", "")
 
 
-def words(value: ColumnLike) -> Column:
-    """Search words: letters and digits, stop words out, a light plural and suffix rule."""
+def plain_words(value: ColumnLike) -> Column:
+    """Letters and digits in lower case, stop words out."""
     raw = F.split(F.lower(col(value)), r"[^a-z0-9]+")
-    kept = F.filter(raw, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
-    return F.transform(kept, stem)
+    return F.filter(raw, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
+
+
+def words(value: ColumnLike) -> Column:
+    """Search words: plain words after a light plural and suffix rule."""
+    return F.transform(plain_words(value), stem)
 
 
 # Fixed list: common English words that carry no meaning in a search.

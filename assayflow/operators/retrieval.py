@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import fixed_values as V
 from ..functions import text as T
+from ..session import cut_lineage
 from .keyed import top_per_key
 
 #: Queries, and chunks, of a cell.
@@ -121,21 +122,37 @@ def _nearest(limit: int):
 # --- keyword arm -------------------------------------------------------------------------------
 
 
+def postings(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``word, chunk_id, tf`` for the words of a vocabulary. Suffixes are cut from a chunk's distinct words, not from each occurrence.
+
+    Texts are dealt by chunk before they are cut into words: both counts then stay where the chunk is, and a file of few
+    row groups does not leave the cutting to few tasks.
+    """
+    dealt = chunks.select("chunk_id", "content").repartition("chunk_id")
+    found = dealt.select("chunk_id", F.explode(T.plain_words("content")).alias("plain"))
+    counted = found.groupBy("chunk_id", "plain").agg(F.count("*").alias("n"))
+    words = counted.select("chunk_id", T.stem(F.col("plain")).alias("word"), "n")
+    return words.join(vocabulary, "word", "left_semi").groupBy("chunk_id", "word").agg(F.sum("n").alias("tf"))
+
+
 def keyword_hits(chunks: DataFrame, queries: DataFrame, limit: int = V.ARM_LIMIT) -> DataFrame:
     """Chunks holding every word of a query, ranked by the summed term weight ln(1 + count).
 
-    Chunks are reduced to counts of words some query asks for before words and queries meet, so
-    a common word costs one row per chunk and word, not one per occurrence and query.
+    A query meets only the chunks on the list of its rarest word; whether such a chunk holds the others too is
+    looked up in the chunk's own counts. A word that stands nowhere is the rarest of all, and its query meets none. The lists are written
+    once and read for each of the three uses.
     """
     asked = queries.select("query_id", F.array_distinct(T.words("query_text")).alias("ws")).filter(F.size("ws") > 0)
-    terms = asked.select("query_id", F.size("ws").alias("n_words"), F.explode("ws").alias("word"))
-    vocabulary = terms.select("word").distinct()
-    words = chunks.select("chunk_id", F.explode(T.words("content")).alias("word"))
-    counts = words.join(vocabulary, "word", "left_semi").groupBy("chunk_id", "word").agg(F.count("*").alias("tf"))
-    scored = counts.join(terms, "word").groupBy("query_id", "chunk_id").agg(
-        F.count("*").alias("matched"), F.max("n_words").alias("n_words"), F.round(F.sum(F.log1p("tf")), 6).alias("weight")
-    )
-    full = scored.filter(F.col("matched") == F.col("n_words")).select("query_id", "chunk_id", "weight")
+    terms = asked.select("query_id", F.explode("ws").alias("word"))
+    lists = cut_lineage(postings(chunks, terms.select("word").distinct()))
+    often = lists.groupBy("word").agg(F.count("*").alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)), "word")
+    leads = terms.join(often, "word", "left").groupBy("query_id").agg(F.min_by("word", rarity).alias("word"))
+    met = leads.join(lists.select("word", "chunk_id"), "word").select("query_id", "chunk_id")
+    held = lists.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "tf"))).alias("held"))
+    rows = met.join(asked, "query_id").join(held, "chunk_id").filter(F.size(F.array_except("ws", F.map_keys("held"))) == 0)
+    weight = F.aggregate("ws", F.lit(0.0), lambda total, w: total + F.log1p(F.element_at("held", w)))
+    full = rows.select("query_id", "chunk_id", F.round(weight, 6).alias("weight"))
     return top_per_key(full, ["query_id"], [F.col("weight").desc(), F.col("chunk_id")], limit, "rank")
 
 

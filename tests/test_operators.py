@@ -250,6 +250,32 @@ def test_vector_hits_over_many_blocks(spark):
         assert [c for _, c in sorted(got[f"q{q}"])] == np.argsort(1 - unit @ unit[q], kind="stable")[:7].tolist()
 
 
+def test_keyword_hits_equal_plain_counting(spark):
+    rng = random.Random(3)
+    vocabulary = ["assays", "assay", "drilling", "drilled", "zone", "zones", "gold", "ore", "mines", "companies", "the", "x9"]
+    texts = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) + (" gold." if i % 2 else "")) for i in range(150)] + [(900, None), (901, "")]
+    queries = [("a", "gold"), ("b", "assay drill"), ("c", "Zones, gold; company"), ("d", "gold nowhere"), ("e", "the"), ("f", ""), ("g", None), ("h", "gold gold ore")]
+
+    def stems(text):
+        out = []
+        for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split():
+            if len(w) > 1 and w not in T.STOP_WORDS:
+                if len(w) > 4:
+                    w = w[:-3] + "y" if w.endswith("ies") else w
+                    w = w[:-3] if w.endswith("ing") else w[:-2] if w.endswith("ed") else w
+                    w = w.removesuffix("s")
+                out.append(w)
+        return out
+
+    wanted = []
+    for name, text in queries:
+        asked = set(stems(text))
+        found = [(-round(sum(np.log1p(stems(t).count(w)) for w in asked), 6), i) for i, t in texts if asked and asked <= set(stems(t))]
+        wanted += [(name, rank, i) for rank, (_, i) in enumerate(sorted(found)[:40], 1)]
+    got = R.keyword_hits(spark.createDataFrame(texts, "chunk_id int, content string"), spark.createDataFrame(queries, "query_id string, query_text string")).collect()
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got) == sorted(wanted) and {w[0] for w in wanted} == {"a", "b", "c", "h"}
+
+
 def test_landing_stream_keeps_each_filing_once(spark, tmp_path):
     folder, store, checkpoint = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "cp")
     folder.mkdir()
