@@ -43,6 +43,8 @@ SHARPNESS = 60.0
 #: Share of a domain to the power of this, brought to sum 1, is its default target.
 ALPHA = 0.5
 PASSES, CLOSE = 24, 1e-4
+#: Steps of the fit that stand in one plan; the rates are written then, so that plans do not grow with the passes.
+STEPS = 2
 #: Labels that a mixture may have unless the call says more; beyond that is an error, as every label is a column of the plan.
 MOST_DOMAINS = 64
 
@@ -126,13 +128,14 @@ def default_targets(totals: np.ndarray, alpha: float, most: float | None) -> np.
     return wanted * min([totals.sum() * most, *reach])
 
 
-def fitted(members: DataFrame, domains: int, targets: np.ndarray | None, alpha: float, most: float | None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def fitted(members: DataFrame, domains: int, targets: np.ndarray | None, alpha: float, most: float | None, tables: Written | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """``members`` (n, p0, p1, ...) with ``rate``; the targets; and the totals that the rates reach.
 
     The gradient of a domain is divided by the tokens of it whose rates can move. As posteriors sum to 1, these are the row sums
     of the Gram matrix, which therefore never exceeds them: a whole step does not overshoot, whatever the posteriors.
     """
     p = [F.col(f"p{d}") for d in range(domains)]
+    tables = tables or Written(members.sparkSession, "fit")
 
     def clipped(column: Column) -> Column:
         column = F.greatest(F.lit(0.0), column)
@@ -149,10 +152,16 @@ def fitted(members: DataFrame, domains: int, targets: np.ndarray | None, alpha:
     whole = max(reached.sum(), 1e-9)
     weight = 1 / np.maximum(reached, 1e-9 * whole)
     targets = default_targets(reached, alpha, most) if targets is None else targets
-    size, best = 1.0, None
-    for _ in range(PASSES):
+    size, best, steps, written = 1.0, None, 0, []
+    for passed in range(PASSES):
         loss = float((weight * (reached - targets) ** 2).sum())
         if best is None or loss < best[0]:
+            steps += 1
+            if steps > STEPS:
+                members, steps = tables.keep(members.withColumn("rate", rate), f"rates{passed}"), 0
+                rate = F.col("rate")
+                tables.drop(*written)
+                written = [f"rates{passed}"]
             best = (loss, rate, reached, (reached - targets) / np.maximum(free, 1e-9 * whole))
         else:
             size /= 2
@@ -190,7 +199,7 @@ def rated(
     names = list(docs_of)
     members = tables.keep(posteriors(counted, learned(counted, docs_of, len(letters)), trust), "members")
     aims = None if targets is None else np.array([float(targets.get(x, 0.0)) for x in names])
-    rates, aims, reached = fitted(members, len(names), aims, alpha, most)
+    rates, aims, reached = fitted(members, len(names), aims, alpha, most, tables)
     top = F.greatest(*[F.col(f"p{d}") for d in range(len(names))]) if len(names) > 1 else F.col("p0")
     of_domain = lambda values: F.coalesce(*[F.when(F.col(f"p{d}") == F.col("confidence"), F.lit(x)) for d, x in enumerate(values)])
     draw = F.pmod(F.xxhash64(F.col("k2"), F.col("k1")), F.lit(1_000_000)) / 1_000_000
