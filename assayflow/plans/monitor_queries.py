@@ -341,8 +341,10 @@ def _alerts(v: DriverViews):
     )
 
 
-def _deliveries(v: DriverViews):
-    return v.events.filter("event_type = 'financing'").join(_alerts(v).select("alert_id", "user_id", "channel"), F.col("user_id") == F.col("event_id") % 5).select("alert_id", "event_id", "channel")
+def _notices(v: DriverViews):
+    """Deliveries as notices: each went to all alerts of a user on a channel."""
+    reached = _alerts(v).select("user_id", "channel").distinct()
+    return v.events.filter("event_type = 'financing'").join(reached, F.col("user_id") == F.col("event_id") % 5).select("user_id", "event_id", "channel")
 
 
 _PENDING = _WATCHED + """, alerts AS (SELECT s_suppkey AS alert_id, s_suppkey % 5 AS user_id, CASE WHEN s_acctbal > 0 THEN 'email' ELSE 'push' END AS channel,
@@ -358,14 +360,13 @@ pairs AS (SELECT DISTINCT a.alert_id, f.event_id, f.project_id, f.event_type, f.
     duck_sql("SELECT alert_id, event_id, event_type, event_date FROM pairs ORDER BY event_date DESC NULLS LAST, event_id, alert_id LIMIT 50", *_WATCH_VIEWS, ctes=_PENDING),
 )
 def _(v: DriverViews):
-    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _deliveries(v))
+    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _notices(v))
     return rows.select("alert_id", "event_id", "event_type", "event_date")
 
 
 @query("a02_pending_counts", duck_sql("SELECT alert_id, count(*) AS n, max(event_date) AS newest FROM pairs GROUP BY 1", *_WATCH_VIEWS, ctes=_PENDING))
 def _(v: DriverViews):
-    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _deliveries(v), limit=None)
-    return rows.groupBy("alert_id").agg(F.count("*").alias("n"), F.max("event_date").alias("newest"))
+    return A.pending_counts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _notices(v))
 
 
 @query(
@@ -378,7 +379,7 @@ def _(v: DriverViews):
     ),
 )
 def _(v: DriverViews):
-    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _deliveries(v))
+    rows = A.pending_alerts(v.events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, _notices(v))
     return A.alert_text(rows, v.projects, v.companies).select("alert_id", "event_id", "subject", "body")
 
 
