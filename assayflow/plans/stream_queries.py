@@ -44,9 +44,9 @@ def _(v: DriverViews):
 def _(v: DriverViews):
     folder = scratch(v.spark, "alerts")
     events = K.file_stream(v.spark, v.folder, "events.parquet").selectExpr("event_id", "user_id AS project_id", "event_type", "cast(ts AS date) AS event_date", "cast(ts AS timestamp) AS created_at")
-    stream, deliver = K.alert_job(events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, f"{folder}/store")
-    K.run_available(stream, deliver, f"{folder}/checkpoint")
-    return K.read_batches(v.spark, f"{folder}/store", K.DELIVERED).groupBy("alert_id").agg(F.count("*").alias("n"))
+    stream, notify = K.notice_job(events, _alerts(v), v.watchlist_items, v.watchlists, v.projects, f"{folder}/store")
+    K.run_available(stream, notify, f"{folder}/checkpoint")
+    return K.delivery_counts(v.spark, f"{folder}/store")
 
 
 def _counts(v: DriverViews, name: str, frame, schema: str, keys: list[str]):
