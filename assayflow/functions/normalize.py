@@ -128,12 +128,13 @@ def clean_metal(grade: ColumnLike, metal: ColumnLike) -> Column:
     return F.map_concat(kept, added)
 
 
-def validate_resources(rows: DataFrame) -> DataFrame:
+def validate_resources(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Split categories, convert tonnage, move stray ounces and lower the confidence of odd rows.
 
-    Labels repeat, so each different one is split once and joined back.
+    Labels repeat, so each different one is split once and joined back. ``labels`` holds the categories that occur, where
+    they are known beforehand; without it the rows are worked out a second time to find them.
     """
-    labels = rows.select(F.col("category").alias("_label")).distinct().withColumn("_split", split_category("_label"))
+    labels = (rows if labels is None else labels).select(F.col("category").alias("_label")).distinct().withColumn("_split", split_category("_label"))
     empty = F.create_map().cast("map<string,double>")
     grade = F.coalesce(F.col("grade"), empty)
     metal = F.coalesce(F.col("contained_metal"), empty)

@@ -228,6 +228,11 @@ def _(v: DriverViews):
 # --- HTML tables -------------------------------------------------------------------------------------
 
 
+def _tasks(v: DriverViews) -> int:
+    """Pages cost more to parse than their size tells: dealt to a fixed number of tasks, not to one for so many MB."""
+    return max(v.spark.sparkContext.defaultParallelism, int(v.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _html_pages(v: DriverViews):
     """A page per order: one resource table of its lines, one table without a tonnage column."""
     line = F.concat(
@@ -235,6 +240,7 @@ def _html_pages(v: DriverViews):
         F.coalesce(F.try_element_at("grade", F.lit("Au_gpt")).cast("string"), F.lit("n/a")), F.lit("</td><td>"), F.coalesce(F.try_element_at("grade", F.lit("Cu_pct")).cast("string"), F.lit("—")), F.lit("</td></tr>"),
     )
     rows = v.resources.filter("category IN ('measured','indicated','inferred')").select("document_id", "estimate_id", line.alias("line"))
+    rows = rows.repartition(_tasks(v), "document_id")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("estimate_id", "line"))), lambda s: s["line"]), "\n")
     head = F.lit("<html><table><tr><th>Class</th><th>Tonnage (kt)</th><th>Au\n (g/t)</th><th>Cu %</th></tr>")
     tail = F.lit("</table><table><tr><td>Person</td><td>Role</td></tr><tr><td>Measured</td><td>5</td></tr></table></html>")
@@ -246,7 +252,7 @@ _ROWS = "tab AS (SELECT estimate_id, document_id, category, tonnes, au, cu FROM
 
 @query("t10_cells", duck_sql("SELECT document_id, 4 * (count(*) + 1) + 4 AS cells, 2 AS tables FROM tab GROUP BY 1", "resources", ctes=_ROWS))
 def _(v: DriverViews):
-    cells = html.html_cells(_html_pages(v), tasks=v.spark.sparkContext.defaultParallelism)
+    cells = html.html_cells(_html_pages(v))
     return cells.groupBy("document_id").agg(F.count("*").alias("cells"), F.count_distinct("table_no").cast("int").alias("tables"))
 
 
@@ -255,7 +261,7 @@ def _(v: DriverViews):
     duck_sql("SELECT document_id, category, round(tonnes, 2) AS tonnes, au, cu, CAST(least(0.9, CASE WHEN tonnes <= 0 THEN 0.3 WHEN tonnes < 10000 THEN 0.5 END) AS DOUBLE) AS extraction_confidence FROM tab", "resources", ctes=_ROWS),
 )
 def _(v: DriverViews):
-    rows = html.resource_rows(html.html_cells(_html_pages(v), tasks=v.spark.sparkContext.defaultParallelism))
+    rows = html.resource_rows(html.html_cells(_html_pages(v)))
     grade = lambda k, n: F.try_element_at("grade", F.lit(k)).alias(n)
     return rows.select("document_id", "category", F.round("tonnes", 2).alias("tonnes"), grade("Au_gpt", "au"), grade("Cu_pct", "cu"), "extraction_confidence")
 
@@ -272,7 +278,7 @@ def _(v: DriverViews):
         F.lit("</table><table>"), pair("post-tax npv (5%)", F.format_number("o_custkey", 0)), pair("Initial capex (us$m)", (F.col("o_orderkey") % 90).cast("string")), F.lit("</table>"),
     )
     pages = v.table("orders").select(F.col("o_orderkey").alias("document_id"), page.alias("html"))
-    rows = html.economics_rows(html.html_cells(pages, tasks=v.spark.sparkContext.defaultParallelism))
+    rows = html.economics_rows(html.html_cells(pages, tasks=_tasks(v)))
     return rows.select("document_id", F.try_element_at("npv", F.lit("post_tax_5pct")).alias("npv_5"), "irr_pct", "capex_initial", "currency", "study_type")
 
 

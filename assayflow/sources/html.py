@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,12 @@ from ..functions.columns import contains_any
 CELL_SCHEMA = "document_id {key}, table_no int, row_no int, col_no int, is_header boolean, text string"
 
 
+#: A tag that bears nothing but its name. Pages of such tags alone need no markup rules.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[ \t\r\n]*>")
+PLAIN_NAMES = frozenset("html head body table thead tbody tfoot tr td th caption p div span br hr b i u em strong sup sub ul ol li h1 h2 h3 h4 h5 h6".split())
+CELLS_PER_BATCH = 50_000
+
+
 class _Cells(HTMLParser):
     """Collects (table, row, column, is header, text) in reading order, nested tables included."""
 
@@ -26,6 +33,23 @@ class _Cells(HTMLParser):
         self.tables = 0
         self.open: list[dict] = []
 
+    def read(self, body: str) -> list[tuple]:
+        """All cells of one page. Plain pages are cut at their tags, which gives the same calls as the parser."""
+        parts = PLAIN_TAG.split(body)
+        names = [n.lower() for n in parts[2::3]]
+        if "&" in body or "\x00" in body or len(names) != body.count("<") or not PLAIN_NAMES.issuperset(names):
+            self.feed(body)
+            return self.finish()
+        self.handle_data(parts[0])
+        for closing, name, text in zip(parts[1::3], names, parts[3::3]):
+            if closing:
+                self.handle_endtag(name)
+            else:
+                self.handle_starttag(name, ())
+            if text:
+                self.handle_data(text)
+        return self.finish()
+
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.open.append({"no": self.tables, "row": -1, "col": -1, "text": None, "head": False})
@@ -71,28 +95,37 @@ def html_cells(pages: DataFrame, html: str = "html", tasks: int | None = None) -
 
     ``tasks`` spreads few but costly pages over more tasks; large inputs arrive split already.
     """
-    key = pages.schema["document_id"].dataType.simpleString()
+    schema = CELL_SCHEMA.format(key=pages.schema["document_id"].dataType.simpleString())
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["document_id", "table_no", "row_no", "col_no", "is_header", "text"]
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split(" ")[0] for c in schema.split(", ")]
         for batch in batches:
+            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
             rows: list[tuple] = []
-            for document, body in zip(batch["document_id"], batch["html"]):
-                parser = _Cells()
-                parser.feed(body or "")
-                rows += [(document, *cell) for cell in parser.finish()]
+            for document, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows += [(document, *cell) for cell in _Cells().read(body.as_py() or "")]
+                if len(rows) >= CELLS_PER_BATCH:
+                    yield _batch(rows, names, types)
+                    rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield _batch(rows, names, types)
 
     rows = pages.select("document_id", F.col(html).alias("html"))
-    rows = rows.repartition(tasks) if tasks else rows
-    return rows.mapInPandas(parse, CELL_SCHEMA.format(key=key))
+    rows = rows.repartition(tasks, "document_id") if tasks else rows
+    return rows.mapInArrow(parse, schema)
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """One row per table row: its cells in column order and whether it holds a header cell."""
-    ordered = F.array_sort(F.collect_list(F.struct("col_no", "text", "is_header")))
-    rows = cells.groupBy("document_id", "table_no", "row_no").agg(ordered.alias("c"))
+    """One row per table row: its cells in column order and whether it holds a header cell.
+
+    Cells are dealt by document once, which later groups by document keep.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct("col_no", "text", "is_header")))
+    rows = cells.repartition("document_id").groupBy("document_id", "table_no", "row_no").agg(ordered.alias("c"))
     heads = F.filter("c", lambda c: c["is_header"])
     return rows.select(
         "document_id", "table_no", "row_no", F.transform("c", lambda c: c["text"]).alias("cells"), F.transform(heads, lambda c: F.lower(c["text"])).alias("heads")
@@ -120,27 +153,40 @@ def classified_tables(headers: DataFrame) -> DataFrame:
 
 
 def resource_rows(cells: DataFrame) -> DataFrame:
-    """Resource rows of tables that read as resource tables: class, tonnes, grades."""
+    """Resource rows of tables that read as resource tables: class, tonnes, grades.
+
+    The rows of a table stay with its header, so cells are parsed and shuffled once; what a header says is worked out once a table.
+    """
     rows = table_rows(cells)
-    tables = classified_tables(table_headers(rows)).filter("is_resource")
+    early = lambda c: F.when(F.col("row_no") < 3, c)
+    tables = rows.groupBy("document_id", "table_no").agg(
+        F.min_by("heads", early(F.when(F.size("heads") > 0, F.col("row_no")))).alias("marked"),
+        F.min_by(F.transform("cells", lambda c: F.lower(c)), early(F.col("row_no"))).alias("plain"),
+        F.collect_list(F.when((F.col("row_no") > 0) & (F.size("cells") >= 2), F.struct("row_no", "cells"))).alias("body"),
+    )
+    tables = tables.select("document_id", "table_no", "body", F.coalesce("marked", "plain").alias("headers"))
+    tables = classified_tables(tables.filter("headers IS NOT NULL")).filter("is_resource")
     plain = lambda h: contains_any(h, ("tonne", "tonnage")) | F.trim(h).isin("mt", "kt", "ktns")
     at = F.array_position(F.transform("headers", plain), F.lit(True)).cast("int")
     tables = tables.withColumn("t_at", at).filter("t_at > 0").withColumn("factor", T.tonnes_factor(F.try_element_at("headers", F.col("t_at"))))
-    body = rows.filter((F.col("row_no") > 0) & (F.size("cells") >= 2)).join(tables, ["document_id", "table_no"])
-    blob = F.array_join("cells", " ")
     keys = F.transform("headers", lambda h, i: F.struct((i + 1).alias("at"), F.when(i + 1 != F.col("t_at"), T.header_grade_key(h)).alias("key")))
-    named = F.filter(keys, lambda k: k["key"].isNotNull())
-    read = F.transform(named, lambda k: F.struct(k["key"].alias("key"), T.cell_number(F.try_element_at("cells", k["at"])).alias("value")))
-    usable = F.filter(read, lambda e: e["value"].isNotNull())
+    tables = tables.withColumn("named", F.filter(keys, lambda k: k["key"].isNotNull()))
+    body = tables.select("document_id", "table_no", "t_at", "factor", "named", F.explode("body").alias("r"))
+    body = body.select("document_id", "table_no", "t_at", "factor", "named", "r.row_no", "r.cells")
+    read = F.transform("named", lambda k: F.struct(k["key"].alias("key"), T.cell_number(F.try_element_at("cells", k["at"])).alias("value")))
+    body = body.withColumn("read", read).withColumn("usable", F.filter("read", lambda e: e["value"].isNotNull()))
     # A key named by two columns keeps the last one, as a map assignment would.
-    last = F.filter(usable, lambda e, i: ~F.exists(F.slice(usable, i + 2, F.size(usable)), lambda later: later["key"] == e["key"]))
+    rest = lambda i: F.slice("usable", i + 2, F.size("usable"))
+    last = F.filter("usable", lambda e, i: ~F.exists(rest(i), lambda later: later["key"] == e["key"]))
     tonnes = T.cell_number(F.try_element_at("cells", F.col("t_at"))) * F.col("factor")
     out = body.select(
-        "document_id", "table_no", "row_no", T.row_class(blob).alias("category"), F.lit(None).cast("string").alias("domain"), tonnes.alias("tonnes"),
+        "document_id", "table_no", "row_no", T.row_class(F.array_join("cells", " ")).alias("category"), F.lit(None).cast("string").alias("domain"), tonnes.alias("tonnes"),
         F.lit(None).cast("string").alias("tonnage_unit"), F.map_from_entries(last).alias("grade"), F.create_map().cast("map<string,double>").alias("contained_metal"),
         F.lit(V.TABLE_CONFIDENCE).alias("extraction_confidence"),
     )
-    return N.validate_resources(out.filter(F.col("category").isNotNull() & F.col("tonnes").isNotNull()))
+    names = F.array(*[F.lit(name) for name in sorted({name for _, name in V.ROW_CLASSES})])
+    classes = cells.sparkSession.range(1).select(F.explode(names).alias("category"))
+    return N.validate_resources(out.filter(F.col("category").isNotNull() & F.col("tonnes").isNotNull()), classes)
 
 
 def economics_rows(cells: DataFrame) -> DataFrame:

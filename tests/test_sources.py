@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date
 
 import pytest
@@ -147,3 +148,33 @@ def test_file_discovery(spark, tmp_path):
 def test_vocabularies(spark):
     row = spark.range(1).select(stage(F.lit("")).alias("a"), country(F.lit("  ")).alias("b"), country(F.lit("Peru")).alias("c")).first()
     assert tuple(row) == (None, None, "Peru")
+
+
+def test_plain_pages_read_as_the_parser_reads_them():
+    pieces = ["<table>", "</table>", "<tr>", "<TD >", "</td>", "<th\n>", "</tr>", "a b", "\n", "<p>", "x > y", "<td class='k'>", "&amp;", "<br/>", "<!-- c -->", "<script>", "</script>", "<", "<3"]
+    drawn = random.Random(5)
+    plain = 0
+    for n in range(4000):
+        body = "".join(drawn.choices(pieces[:11] if n % 2 else pieces, k=drawn.randint(0, 25)))
+        asked = html._Cells()
+        asked.feed(body)
+        read = html._Cells()
+        read.feed = lambda body, feed=read.feed: (feed(body), read.__dict__.update(fed=True))
+        assert read.read(body) == asked.finish(), body
+        plain += "fed" not in read.__dict__
+    assert plain > 1500
+
+
+def test_resource_rows_parse_each_page_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+    page = "<table><tr><th>Class</th><th>Tonnes</th></tr><tr><td>Measured</td><td>{}</td></tr></table>"
+    pages = spark.createDataFrame([(n, page.format(n + 20000)) for n in range(5)], "document_id long, html string")
+
+    def seen(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    rows = html.resource_rows(html.html_cells(pages.mapInArrow(seen, pages.schema))).collect()
+    assert sorted((r.document_id, r.category, r.tonnes) for r in rows) == [(n, "measured", n + 20000.0) for n in range(5)]
+    assert parsed.value == 5
