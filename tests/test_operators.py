@@ -350,3 +350,18 @@ def test_deliveries_are_exactly_once(spark, tmp_path):
     add((4, 11, 1), (3, 10, 3), (5, 99, 3))
     assert run() == [(7, 1), (7, 2), (7, 3), (7, 4)]
 
+
+
+def test_figures_meet_numbers_on_leading_digits(spark, monkeypatch):
+    """Every form of a figure is found, rounded up or grouped by blanks too, and facts are not multiplied by their forms."""
+    value = 9_999_600.4
+    forms = spark.range(1).select(V.printed_forms(F.lit(value), (1.0, 1e-3, 1e-6), 2).alias("f")).first().f
+    texts = [f"see {form} t" for form in forms] + ["see 9,999.6004 t", "see 19 999 600 t", "see 9 999 600.5 t", "see 10 t or 100"]
+    chunks = spark.createDataFrame([(1, n, text) for n, text in enumerate(texts)], "document_id long, chunk_id int, content string")
+    anchors = spark.createDataFrame([("a", 1, forms), ("b", 2, forms)], "fact_id string, document_id long, forms array<string>")
+    leads = []
+    joined = V._lead
+    monkeypatch.setattr(V, "_lead", lambda c: leads.append(c) or joined(c))
+    hits = V.figure_hits(anchors, chunks).collect()
+    assert {(h.fact_id, h.chunk_id) for h in hits} == {("a", n) for n in range(len(forms))}
+    assert leads and anchors.select(F.size(F.array_distinct(F.transform("forms", lambda f: joined(F.substring_index(f, " ", 1)))))).first()[0] < len(forms) / 2
