@@ -545,24 +545,40 @@ def scored_intercepts(drills: DataFrame, key: str | Column) -> DataFrame:
     )
 
 
+#: Buckets of holes in which a bound of the last score of a list is looked for.
+HOLE_BUCKETS = 4096
+
+
+def _best_of_holes(scored: DataFrame, limit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best row of each hole that can be among the first ``limit`` holes of its ``by`` group.
+
+    Holes are dealt to buckets by a hash, and a bucket's highest score is one number. Holes of different buckets
+    differ, so at least ``limit`` holes reach the ``limit``-th highest bucket, and no row below it is needed. Only the rows
+    from there on are shuffled whole. Groups with fewer buckets than ``limit`` have no bound.
+    """
+    by = list(by)
+    rows = scored.withColumn("_hole", F.coalesce(F.col("hole_id"), F.col("drill_id")))
+    bucket = F.pmod(F.xxhash64("project_id", "_hole"), F.lit(HOLE_BUCKETS)).alias("_bucket")
+    highest = rows.groupBy(*by, bucket).agg(F.max("score").alias("_high"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_high").desc()))
+    bounds = highest.withColumn("_n", place).filter(F.col("_n") == limit).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_high").alias("_bound"))
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    near = rows.join(F.broadcast(bounds), match or F.lit(True), "left").filter(F.col("_bound").isNull() | (F.col("score") >= F.col("_bound")))
+    # NaN counts as the highest score, as in a descending order
+    order = F.struct(~F.isnan("score"), -F.col("score"), F.col("drill_id"))
+    return first_per_key(near.select(*rows.columns), [*by, "project_id", "_hole"], order).drop("_hole")
+
+
 def rank_intercepts(drills: DataFrame, key: str, limit: int = 8, per_hole: bool = False) -> DataFrame:
     """Best intercepts overall, optionally only the best one of each hole."""
     scored = scored_intercepts(drills, key)
     if per_hole:
-        hole = F.coalesce(F.col("hole_id"), F.col("drill_id"))
-        scored = first_per_key(
-            scored.withColumn("_hole", hole), ["project_id", "_hole"], F.struct(-F.col("score"), F.col("drill_id"))
-        ).drop("_hole")
+        scored = _best_of_holes(scored, limit)
     return ranked_top(scored, [F.col("score").desc(), F.col("drill_id")], limit)
 
 
 def rank_intercepts_by_key(drills: DataFrame, keys: tuple[str, ...] = ("Au_gpt", "Cu_pct"), limit: int = 8) -> DataFrame:
-    """Rankings for several keys side by side, best row per hole, in one pass."""
+    """Rankings for several keys side by side, best row per hole."""
     rows = drills.withColumn("key", F.explode(F.array(*[F.lit(k) for k in keys])))
-    scored = scored_intercepts(rows, F.col("key"))
-    best = first_per_key(
-        scored.withColumn("_hole", F.coalesce(F.col("hole_id"), F.col("drill_id"))),
-        ["key", "project_id", "_hole"],
-        F.struct(-F.col("score"), F.col("drill_id")),
-    ).drop("_hole")
+    best = _best_of_holes(scored_intercepts(rows, F.col("key")), limit, ("key",))
     return top_per_key(best, ["key"], [F.col("score").desc(), F.col("drill_id")], limit)
