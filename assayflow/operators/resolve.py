@@ -306,14 +306,12 @@ def match_files(files: DataFrame, index: DataFrame) -> DataFrame:
     listed = rows.withColumn("slack", slack).withColumn("bucket", F.explode(F.sequence(low, high)))
     near = F.abs(F.col("file_size_kb") - F.col("kb")) <= F.col("slack")
     both = (F.col("i_number") != "") & (F.col("number") != "")
-    numbered = listed.filter("i_number <> ''").withColumnRenamed("i_number", "number").join(
-        asked.filter("number <> ''"), ["doc", "bucket", "number"]
-    ).filter(near).withColumn("i_number", F.col("number"))
-    named = listed.withColumnRenamed("i_party", "party").join(asked, ["doc", "bucket", "party"]).filter(near & ~both).withColumn(
-        "i_party", F.col("party")
-    )
-    columns = ["doc", "number", "party", "size_bytes", "i_party", "profile_name", "profile_number", "submitted_date", "submitted_time", "file_size_kb"]
-    pairs = numbered.select(*columns).unionByName(named.select(*columns))
+    # one list of marks a side, by number and by name, so that each side is cut and reduced once
+    marks = lambda number, party: F.explode(F.array_compact(F.array(
+        F.when(F.col(number) != "", F.concat(F.lit("n"), number)), F.concat(F.lit("p"), party)
+    ))).alias("mark")
+    met = listed.select("*", marks("i_number", "i_party")).join(asked.select("*", marks("number", "party")), ["doc", "bucket", "mark"])
+    pairs = met.filter(near & (F.col("mark").startswith("n") | ~both))
     when = F.struct("submitted_date", "submitted_time", "file_size_kb")
     own_name = F.when(F.col("i_party") == F.col("party"), F.lit(0)).otherwise(F.lit(1))
     settled = pairs.groupBy("doc", "number", "party", "size_bytes").agg(
