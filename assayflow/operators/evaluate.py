@@ -39,13 +39,14 @@ def match_rows(reference: DataFrame, candidate: DataFrame, tolerance: float = TO
     runs = both.withColumn("_break", breaks).withColumn(
         "run", F.sum("_break").over(by_size.rowsBetween(Window.unboundedPreceding, 0))
     ).drop("_break")
-    sides = runs.groupBy("document_id", "category", "run").agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("c"))
-    mixed = runs.join(sides.filter("r > 0 AND c > 0").select("document_id", "category", "run"), ["document_id", "category", "run"], "left_semi")
+    # runs, and the walk below, stay where the class's rows were sorted
+    whole = Window.partitionBy("document_id", "category", "run")
+    mixed = runs.withColumn("_r", F.max("is_ref").over(whole)).withColumn("_c", F.min("is_ref").over(whole)).filter(F.col("_r") & ~F.col("_c"))
     doc = reference.schema["document_id"].dataType.simpleString()
     row = reference.schema["row_id"].dataType.simpleString()
 
     keys = ["document_id", "category", "run"]
-    ordered = mixed.select(*keys, "is_ref", "row_id", "tonnes").repartition(*keys).sortWithinPartitions(*keys, "row_id")
+    ordered = mixed.select(*keys, "is_ref", "row_id", "tonnes").sortWithinPartitions(*keys, "row_id")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, wanted, free = None, [], {}
@@ -108,10 +109,8 @@ def set_overlap(reference: DataFrame, candidate: DataFrame, value: str = "name")
 
     Counted by grouping on (document, value), so no document's values are gathered.
     """
-    mark = lambda t, side: t.select("document_id", F.lower(value).alias("v"), F.lit(side).alias("side")).distinct()
-    per_value = mark(reference, "r").unionByName(mark(candidate, "n")).groupBy("document_id", "v").agg(
-        F.max(F.col("side") == "r").alias("r"), F.max(F.col("side") == "n").alias("n")
-    )
+    mark = lambda t, r: t.select("document_id", F.lower(value).alias("v"), F.lit(r).alias("r"), F.lit(not r).alias("n"))
+    per_value = mark(reference, True).unionByName(mark(candidate, False)).groupBy("document_id", "v").agg(F.max("r").alias("r"), F.max("n").alias("n"))
     return per_value.groupBy("document_id").agg(
         F.count_if("r").alias("reference"), F.count_if("n").alias("new"), F.count_if(F.col("r") & F.col("n")).alias("overlap")
     )
