@@ -125,13 +125,18 @@ def _nearest(limit: int):
 def postings(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``word, chunk_id, tf`` for the words of a vocabulary. Suffixes are cut from a chunk's distinct words, not from each occurrence.
 
+    Words are counted inside their text, in sorted order, so no table of all words of all chunks is held: only those of the vocabulary are grouped.
+
     Texts are dealt by chunk before they are cut into words: both counts then stay where the chunk is, and a file of few
     row groups does not leave the cutting to few tasks.
     """
     dealt = chunks.select("chunk_id", "content").repartition("chunk_id")
-    found = dealt.select("chunk_id", F.explode(T.plain_words("content")).alias("plain"))
-    counted = found.groupBy("chunk_id", "plain").agg(F.count("*").alias("n"))
-    words = counted.select("chunk_id", T.stem(F.col("plain")).alias("word"), "n")
+    sorted_words = dealt.select("chunk_id", F.array_sort(T.plain_words("content")).alias("ws")).filter(F.size("ws") > 0)
+    last = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: (i == F.size("ws")) | (F.get("ws", i - 1) != F.get("ws", i)))
+    runs = sorted_words.withColumn("ends", last)
+    entry = lambda end, k: F.struct(F.get("ws", end - 1).alias("plain"), (end - F.coalesce(F.get("ends", k - 1), F.lit(0))).alias("n"))
+    counted = runs.select("chunk_id", F.explode(F.transform("ends", entry)).alias("e"))
+    words = counted.select("chunk_id", T.stem(F.col("e.plain")).alias("word"), "e.n")
     return words.join(vocabulary, "word", "left_semi").groupBy("chunk_id", "word").agg(F.sum("n").alias("tf"))
 
 
