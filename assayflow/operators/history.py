@@ -55,28 +55,37 @@ def is_report_total(domain: Column | str) -> Column:
     return F.coalesce(F.lower(F.trim(col(domain))).rlike(V.REPORT_TOTAL), F.lit(False))
 
 
-def _cells(dated: DataFrame) -> DataFrame:
-    """Partial totals per (project, date, document, group, combined, total row, grade key).
-
-    Each row is exploded into one entry per grade key plus one with a null key that carries the
-    row count and the tonnage, so row counts, tonnes and weighted grades come from one shuffle.
-    """
+def _measured(resources: DataFrame) -> DataFrame:
+    """What totals need of a row, worked out before rows travel; rows that have it already stay."""
+    if "entries" in resources.columns:
+        return resources
     entry = "struct<key:string,value:double>"
     entries = F.concat(
         F.array(F.lit(None).cast(entry)),
         F.coalesce(F.map_entries("grade"), F.array().cast(f"array<{entry}>")),
     )
-    tonnes = F.when(F.col("tonnes") > 0, F.col("tonnes"))
-    flat = dated.select(
+    return resources.select(
         "project_id",
-        "estimate_date",
         "document_id",
-        "filed_at",
+        *[c for c in ("effective_date", "filed_at") if c in resources.columns],
         category_group("category").alias("grp"),
         is_combined("category").alias("combined"),
         is_report_total("domain").alias("is_total"),
-        tonnes.alias("t"),
-        F.explode(entries).alias("e"),
+        F.when(F.col("tonnes") > 0, F.col("tonnes")).alias("t"),
+        entries.alias("entries"),
+    )
+
+
+def _cells(resources: DataFrame, filings: DataFrame) -> DataFrame:
+    """Partial totals per (project, date, document, group, combined, total row, grade key).
+
+    Each row is exploded into one entry per grade key plus one with a null key that carries the
+    row count and the tonnage, so row counts, tonnes and weighted grades come from one shuffle. Rows are dealt by
+    document before they are joined and exploded: the date, the cells and the document are then worked out where the rows are.
+    """
+    dated = dated_resources(_measured(resources).repartition("document_id"), filings)
+    flat = dated.select(
+        "project_id", "estimate_date", "document_id", "filed_at", "grp", "combined", "is_total", "t", F.explode("entries").alias("e")
     ).select("*", F.col("e.key").alias("key"), F.col("e.value").alias("g"))
     weighed = F.col("t").isNotNull() & F.col("g").isNotNull()
     return flat.groupBy("project_id", "estimate_date", "document_id", "grp", "combined", "is_total", "key").agg(
@@ -103,8 +112,10 @@ def _pick_documents(documents: DataFrame) -> DataFrame:
     newest_first = -F.coalesce(F.unix_date("filed_at"), F.lit(-1_000_000_000))
     order = F.struct(-F.col("row_count"), newest_first, F.col("document_id"))
     kept = [c for c in documents.columns if c not in ("project_id", "estimate_date")]
+    # documents of a date seldom meet in one task, so they are dealt before they are compared and sorted once
     return (
-        documents.groupBy("project_id", "estimate_date")
+        documents.repartition("project_id", "estimate_date")
+        .groupBy("project_id", "estimate_date")
         .agg(F.min_by(F.struct(*kept), order).alias("d"), (F.count("*") - 1).alias("also_in"))
         .select("project_id", "estimate_date", "d.*", "also_in")
     )
@@ -161,7 +172,7 @@ def estimates(resources: DataFrame, filings: DataFrame) -> DataFrame:
     a handful of them, its cells travel as one array and totals are worked out for the chosen
     document only.
     """
-    cells = _cells(dated_resources(resources, filings))
+    cells = _cells(resources, filings)
     documents = cells.groupBy("project_id", "estimate_date", "document_id").agg(
         F.collect_list(F.struct("grp", "combined", "is_total", "key", "n", "t", "gt", "gtt")).alias("cells"),
         F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("row_count"),
@@ -303,85 +314,89 @@ def latest_changes(resources: DataFrame, filings: DataFrame) -> DataFrame:
     return newest
 
 
-def zone_cells(resources: DataFrame, filings: DataFrame) -> DataFrame:
-    """Zone x estimate cells, long form: (project, group, zone, date) -> tonnes, grade, label.
+def _zone_estimates(resources: DataFrame, filings: DataFrame, *more: str) -> DataFrame:
+    """One row per (project, date) with the zone cells of the document chosen for it, its ``age`` among the project's dates (1 is
+    the newest) and their number ``n_estimates``. Projects that are null have none.
 
-    Only rows of the document chosen for the estimate count, under the same rules as the totals.
-    The first row of a cell is the smallest estimate_id.
+    As with the totals, a document's rows are summed to cells first, which travel with it as one array, so rows are shuffled once and joined
+    with nothing but their filing. The first row of a cell is the smallest estimate_id.
     """
-    dated = dated_resources(resources, filings).withColumn("grp", category_group("category"))
-    chosen = chosen_documents(dated).select("project_id", "estimate_date", F.col("document_id").alias("_doc"))
-    rows = (
-        dated.join(chosen, ["project_id", "estimate_date"])
-        .filter(F.col("document_id").eqNullSafe(F.col("_doc")) & F.col("grp").isin(*GROUPS))
-        .withColumn("combined", is_combined("category"))
-        .withColumn("is_total", is_report_total("domain"))
-    )
-    keys = ["project_id", "estimate_date", "grp"]
-    counts = rows.groupBy(*keys).agg(
-        F.max("combined").alias("has_combined"),
-        F.count_if("combined").alias("n_combined"),
-        F.count_if(F.col("combined") & F.col("is_total")).alias("t_combined"),
-        F.count_if(~F.col("combined")).alias("n_parts"),
-        F.count_if(~F.col("combined") & F.col("is_total")).alias("t_parts"),
-    )
-    n = F.when(F.col("has_combined"), F.col("n_combined")).otherwise(F.col("n_parts"))
-    t = F.when(F.col("has_combined"), F.col("t_combined")).otherwise(F.col("t_parts"))
-    counts = counts.select(*keys, "has_combined", ((t > 0) & (t < n)).alias("totals_win"))
-    picked = rows.join(counts, keys).filter(
-        (F.col("combined") == F.col("has_combined")) & (~F.col("totals_win") | F.col("is_total"))
-    )
-    return picked.groupBy("project_id", "grp", zone_key("domain").alias("zone"), "estimate_date").agg(
-        F.min_by("tonnes", "estimate_id").alias("tonnes"),
-        F.min_by("grade", "estimate_id").alias("grade"),
-        F.max_by("domain", F.when(F.col("domain").isNotNull(), F.col("estimate_id"))).alias("label"),
+    rows = resources.filter(F.col("project_id").isNotNull()).select(
+        "project_id", "document_id", *[c for c in ("effective_date", "filed_at") if c in resources.columns], "estimate_id", "domain",
+        category_group("category").alias("grp"), is_combined("category").alias("combined"), is_report_total("domain").alias("is_total"),
+        zone_key("domain").alias("zone"), F.struct("tonnes", *more).alias("row"),
+    )
+    dated = dated_resources(rows.repartition("document_id"), filings)
+    document = ["project_id", "estimate_date", "document_id"]
+    named = F.when(F.col("domain").isNotNull(), F.col("estimate_id"))
+    cells = dated.groupBy(*document, "grp", "combined", "is_total", "zone").agg(
+        F.count("*").alias("n"), F.max("filed_at").alias("filed_at"), F.min("estimate_id").alias("first_id"), F.min_by("row", "estimate_id").alias("row"),
+        F.max(named).alias("label_id"), F.max_by("domain", named).alias("label"),
+    )
+    documents = cells.groupBy(*document).agg(
+        F.collect_list(F.struct("grp", "combined", "is_total", "zone", "n", "first_id", "row", "label_id", "label")).alias("cells"),
+        F.sum("n").alias("row_count"), F.max("filed_at").alias("filed_at"),
+    )
+    by_date = Window.partitionBy("project_id").orderBy(F.col("estimate_date").desc())
+    return _pick_documents(documents).select(
+        "project_id", "estimate_date", "cells", F.row_number().over(by_date).alias("age"),
+        F.count("*").over(Window.partitionBy("project_id")).alias("n_estimates"),
+    )
+
+
+def _counted_cells(estimates: DataFrame) -> DataFrame:
+    """The cells that count, under the same rules as the totals: combined rows beat their parts and a report total beats its zones."""
+    table = estimates
+    rows = lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda total, c: total + c["n"])
+    # step by step, as each step is used more than once in the next
+    table = table.withColumns({f"_{g}": F.filter("cells", lambda c: c["grp"] == g) for g in GROUPS})
+    table = table.withColumns({f"_{g}_c": F.exists(f"_{g}", lambda c: c["combined"]) for g in GROUPS})
+    table = table.withColumns({f"_{g}": F.filter(f"_{g}", lambda c: c["combined"] == F.col(f"_{g}_c")) for g in GROUPS})
+    table = table.withColumns({f"_{g}_t": rows(F.filter(f"_{g}", lambda c: c["is_total"])) for g in GROUPS})
+    table = table.withColumns({f"_{g}_w": (F.col(f"_{g}_t") > 0) & (F.col(f"_{g}_t") < rows(F.col(f"_{g}"))) for g in GROUPS})
+    kept = [F.filter(f"_{g}", lambda c: ~F.col(f"_{g}_w") | c["is_total"]) for g in GROUPS]
+    return table.select("project_id", "estimate_date", "age", "n_estimates", F.explode(F.concat(*kept)).alias("c")).select(
+        "project_id", "estimate_date", "age", "n_estimates", "c.grp", "c.zone", "c.first_id", "c.row", "c.label_id", "c.label"
     )
 
 
+def zone_cells(resources: DataFrame, filings: DataFrame) -> DataFrame:
+    """Zone x estimate cells, long form: (project, group, zone, date) -> tonnes, grade, label."""
+    cells = _counted_cells(_zone_estimates(resources, filings, "grade"))
+    return cells.groupBy("project_id", "grp", "zone", "estimate_date").agg(
+        F.min_by("row", "first_id").alias("row"), F.max_by("label", "label_id").alias("label")
+    ).select("project_id", "grp", "zone", "estimate_date", "row.tonnes", "row.grade", "label")
+
+
 def zone_matrix(resources: DataFrame, filings: DataFrame, last: int = 4) -> DataFrame:
     """One row per (project, group, zone) with one tonnage column per estimate, newest last.
 
-    The pivot values are a fixed list (the last n estimates), so no job runs to discover them.
+    The columns are a fixed list (the last n estimates), so no job runs to discover them.
     """
-    cells = _ranked_cells(resources, filings, last)
-    ranks = list(range(last, 0, -1))
-    wide = cells.groupBy("project_id", "grp", "zone").pivot("age", ranks).agg(F.first("tonnes"))
-    names = [F.col(str(r)).alias(f"estimate_{r}_back") for r in ranks]
-    return wide.select("project_id", "grp", "zone", *names)
-
-
-def _ranked_cells(resources: DataFrame, filings: DataFrame, last: int) -> DataFrame:
-    dates = dated_resources(resources, filings).select("project_id", "estimate_date").distinct()
-    newest = top_per_key(dates, ["project_id"], [F.col("estimate_date").desc()], last, "age")
-    return zone_cells(resources, filings).join(newest, ["project_id", "estimate_date"])
+    cells = _counted_cells(_zone_estimates(resources, filings).filter(F.col("age") <= last))
+    columns = [F.min_by("row.tonnes", F.when(F.col("age") == r, F.col("first_id"))).alias(f"estimate_{r}_back") for r in range(last, 0, -1)]
+    return cells.groupBy("project_id", "grp", "zone").agg(*columns)
 
 
 def zone_changes(resources: DataFrame, filings: DataFrame, last: int = 4) -> DataFrame:
     """Change of each zone between the two newest estimates: percent, new or not reported."""
-    cells = _ranked_cells(resources, filings, last)
+    cells = _counted_cells(_zone_estimates(resources, filings).filter(F.col("age") <= last))
+    tonnes = lambda age: F.min_by("row.tonnes", F.when(F.col("age") == age, F.col("first_id")))
     both = cells.groupBy("project_id", "grp", "zone").agg(
-        F.max(F.when(F.col("age") == 1, F.struct("tonnes"))).alias("now"),
-        F.max(F.when(F.col("age") == 2, F.struct("tonnes"))).alias("before"),
-        F.max_by("label", F.when(F.col("label").isNotNull(), -F.col("age"))).alias("label"),
+        F.max(F.col("age") == 1).alias("has_now"), tonnes(1).alias("now"), F.max(F.col("age") == 2).alias("had"), tonnes(2).alias("before"),
+        F.max("n_estimates").alias("n_estimates"),
+        F.max_by("label", F.when(F.col("label").isNotNull(), F.struct(-F.col("age"), F.col("label_id")))).alias("label"),
     )
-    has_now, had = F.col("now").isNotNull(), F.col("before").isNotNull()
-    dates = _two_estimates(resources, filings)
     state = (
-        F.when(has_now & had, F.lit("changed"))
-        .when(has_now & F.coalesce(F.col("n_estimates") >= 2, F.lit(False)), F.lit("new"))
-        .when(had & ~has_now, F.lit("not reported"))
+        F.when(F.col("has_now") & F.col("had"), F.lit("changed"))
+        .when(F.col("has_now") & (F.col("n_estimates") >= 2), F.lit("new"))
+        .when(F.col("had") & ~F.col("has_now"), F.lit("not reported"))
     )
-    return both.join(dates, "project_id", "left").select(
+    return both.select(
         "project_id", "grp", "zone",
         F.coalesce("label", F.lit("Total")).alias("label"),
         state.alias("state"),
-        percent_change(F.col("before.tonnes"), F.col("now.tonnes")).alias("pct"),
-    )
-
-
-def _two_estimates(resources: DataFrame, filings: DataFrame) -> DataFrame:
-    return dated_resources(resources, filings).groupBy("project_id").agg(
-        F.count_distinct("estimate_date").alias("n_estimates")
+        percent_change("before", "now").alias("pct"),
     )
 
 
@@ -390,6 +405,10 @@ def _two_estimates(resources: DataFrame, filings: DataFrame) -> DataFrame:
 
 def study_progression(economics: DataFrame, filings: DataFrame) -> DataFrame:
     """Studies with a usable figure, one per (project, type, date, headline value), oldest first."""
+    return _one_of_equal_studies(_usable_studies(economics, filings))
+
+
+def _usable_studies(economics: DataFrame, filings: DataFrame) -> DataFrame:
     rows = economics
     if "filed_at" not in rows.columns:
         rows = rows.join(filings.select("document_id", "filed_at"), "document_id", "left")
@@ -398,9 +417,11 @@ def study_progression(economics: DataFrame, filings: DataFrame) -> DataFrame:
     )
     figures = ("irr_pct", "capex_initial", "mine_life_years")
     rows = rows.filter(F.coalesce("headline.value", *figures).isNotNull())
-    rows = rows.withColumn("npv_value", F.col("headline.value"))
-    keys = ["project_id", "study_type", "study_date", "npv_value"]
-    return first_per_key(rows, keys, F.col("study_id"))
+    return rows.withColumn("npv_value", F.col("headline.value"))
+
+
+def _one_of_equal_studies(studies: DataFrame) -> DataFrame:
+    return first_per_key(studies, ["project_id", "study_type", "study_date", "npv_value"], F.col("study_id"))
 
 
 METRICS = (("npv", False), ("irr", False), ("capex", True), ("aisc", True), ("mine_life", False), ("payback", True))
@@ -452,14 +473,13 @@ def study_changes(economics: DataFrame, filings: DataFrame) -> DataFrame:
 
 def snapshots(resources: DataFrame, economics: DataFrame, filings: DataFrame) -> DataFrame:
     """Latest estimate, latest study and last change per project."""
-    newest = last_per_key(estimate_deltas(resources, filings), ["project_id"], F.col("estimate_date"))
+    deltas = estimate_deltas(resources, filings).select("project_id", "estimate_date", "mi_tonnes", "inferred_tonnes", "change")
+    newest = last_per_key(deltas, ["project_id"], F.col("estimate_date"))
     keys = primary_grade_keys(resources).select("project_id", "grade_key")
-    studies = last_per_key(
-        study_progression(economics, filings), ["project_id"], F.struct("study_date", "study_id")
-    ).select("project_id", "study_type", "study_date", "npv_value")
+    usable = _usable_studies(economics, filings).select("project_id", "study_id", "study_type", "study_date", "npv_value")
+    studies = last_per_key(_one_of_equal_studies(usable), ["project_id"], F.struct("study_date", "study_id")).drop("study_id")
     return (
-        newest.select("project_id", "estimate_date", "mi_tonnes", "inferred_tonnes", "change")
-        .join(keys, "project_id", "full_outer")
+        newest.join(keys, "project_id", "full_outer")
         .join(studies, "project_id", "full_outer")
     )
 
@@ -473,7 +493,7 @@ def resource_movers(
     window = filings.filter(F.col("filed_at") >= F.lit(as_of - timedelta(days=days))).select("document_id")
     # only projects that filed in the window are worked out, and a filing counts under its first estimate
     active = resources.join(window, "document_id", "left_semi").select("project_id").distinct()
-    deltas = estimate_deltas(resources.join(active, "project_id", "left_semi"), filings)
+    deltas = estimate_deltas(_measured(resources).join(active, "project_id", "left_semi"), filings)
     recent = first_per_key(deltas.join(window, "document_id", "left_semi"), ["project_id", "document_id"], F.col("estimate_date"))
     names = projects.select("project_id", F.col("name").alias("project_name"), "company_id", "commodities")
     if commodity:
