@@ -24,6 +24,7 @@ single spaces is one range; other columns are not looked at; an empty table give
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 from array import array
@@ -42,8 +43,8 @@ from .common import Written
 RANGE, FAN, LINKS = 1 << 18, 16, 1 << 21
 #: Words that a task remembers, and their characters in all; characters of texts whose new words are encoded together.
 HELD, HELD_CHARACTERS, TOGETHER = 300_000, 5_000_000, 500_000
-#: Words encoded in one call.
-ENCODED = 4096
+#: Words encoded in one call, rows that are Python strings at a time, and links of a chunk that wait to be counted.
+ENCODED, SLICE, FOLDED = 4096, 256, 1 << 18
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 _DONE = "n_a long, n_b long, n_groups long, n_links long"
@@ -151,10 +152,10 @@ class Aligner:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         # the vocabulary is that of the file; tiktoken merges it in the same way and makes no objects beside the ids
-        vocabulary = Tokenizer.from_file(path_a).get_vocab(with_added_tokens=False)
+        with open(path_a, encoding="utf-8") as stored:
+            vocabulary = json.load(stored)["model"]["vocab"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         letter = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(hidden)}
@@ -274,18 +275,19 @@ def _cut(size: int):
 def _whole_documents(paths: tuple[str, str], most: int):
     """Documents of one range, all of whose groups are closed, in chunks of links."""
 
-    def aligned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def aligned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
         aligner = Aligner(*paths)
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = batch.column("text").to_pylist()
-            sums, digests, links = [[0] * 4 for _ in texts], [""] * len(texts), [None] * len(texts)
+            sums, digests, links, plain = [[0] * 4 for _ in texts], [""] * len(texts), [None] * len(texts), []
             filled = [n for n, text in enumerate(texts) if text]
             for n, words in zip(filled, aligner.aligned([texts[n] for n in filled]), strict=True):
                 own, closed, raw = aligner.closed(words)
                 if own:
                     sums[n], digests[n], links[n] = own, hashlib.sha256(closed).hexdigest(), _zipped(raw)
+                    plain.append(np.frombuffer(raw, np.int64))
             columns = [pa.array(c, pa.int64()) for c in np.array(sums, np.int64).reshape(-1, 4).T]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(links, pa.binary()), batch.column("doc_id"), *columns, pa.array(digests, pa.string())], _ROW)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(links, pa.binary()), batch.column("doc_id"), *columns, pa.array(digests, pa.string())], _ROW), plain
 
     return lambda batches: _gathered(aligned_rows(batches), most)
 
@@ -424,32 +426,70 @@ def _long_documents(texts: DataFrame, tables: Written, paths: tuple[str, str], s
     return tables.keep(done, "long"), inside.select("row", "links")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, as texts of a whole batch are large once they are Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+class Tally:
+    """Different pairs of ids and how often each was added; what is new is folded in before it gets long."""
+
+    def __init__(self) -> None:
+        self.pairs = self.counts = _NONE
+        self.fresh: list[np.ndarray] = []
+        self.waiting = self.added = 0
+
+    def add(self, links: list[np.ndarray]) -> None:
+        for own in links:
+            self.fresh.append(own)
+            self.waiting += len(own)
+            self.added += len(own)
+            if self.waiting >= FOLDED:
+                self.fold()
+
+    def fold(self) -> None:
+        pairs, counts = np.unique(np.concatenate([_NONE, *self.fresh]), return_counts=True)
+        both, places = np.unique(np.concatenate([self.pairs, pairs]), return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        # each side holds a pair once
+        total[places[: len(self.pairs)]] += self.counts
+        total[places[len(self.pairs) :]] += counts
+        self.pairs, self.counts, self.fresh, self.waiting = both, total, [], 0
+
+
+def _gathered(batches: Iterator[tuple[pa.RecordBatch, list[np.ndarray]]], most: int) -> Iterator[pa.RecordBatch]:
     """Rows with links in chunks: each chunk's different pairs of ids with their number, then its rows."""
-    chunk, rows, links, held = TaskContext.get().partitionId() << 32, [], [], 0
+    chunk, rows, tally = TaskContext.get().partitionId() << 32, [], Tally()
 
     def sent() -> Iterator[pa.RecordBatch]:
-        pairs, counts = np.unique(np.concatenate([_NONE, *links]), return_counts=True)
-        numbers = [pa.array(np.full(len(pairs), chunk)), pa.array(pairs), pa.array(counts, pa.int64())]
+        tally.fold()
+        pairs = tally.pairs
+        numbers = [pa.array(np.full(len(pairs), chunk)), pa.array(pairs), pa.array(tally.counts, pa.int64())]
         nothing = [pa.nulls(len(pairs), field.type) for field in rows[0].schema]
         yield pa.RecordBatch.from_arrays(numbers + nothing, ["chunk", "pair", "k", *_ROW])
         for batch in rows:
             numbers = [pa.array(np.full(batch.num_rows, chunk)), *[pa.nulls(batch.num_rows, pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays(numbers + batch.columns, ["chunk", "pair", "k", *_ROW])
 
-    for batch in batches:
+    for batch, links in batches:
         if not batch.num_rows:
             continue
         rows.append(batch)
-        links += [_unzipped(raw) for raw in batch.column("links").to_pylist() if raw]
-        held = sum(map(len, links))
-        if held >= most:
+        tally.add(links)
+        if tally.added >= most:
             yield from sent()
-            chunk, rows, links = chunk + 1, [], []
+            chunk, rows, tally = chunk + 1, [], Tally()
     if rows:
         yield from sent()
 
 
+def _with_links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in _sliced(batches):
+        yield batch, [_unzipped(raw) for raw in batch.column("links").to_pylist() if raw]
+
+
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted chunks: the counts of a chunk's pairs come first, then its rows."""
     chunk, parts, lookup = None, [], None
@@ -494,7 +534,7 @@ def aligned(docs: DataFrame, tokenizers: tuple[str, str] | None = None, size: in
     long, more_links = _long_documents(texts.filter(longer), tables, paths, size, fan)
     nothing = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
     more_links = more_links.filter("links IS NOT NULL").select("row", "links", *nothing, F.lit(None).cast("string").alias("groups_sha256"))
-    more = tables.keep(more_links.mapInArrow(lambda batches: _gathered(batches, chunk_links), schema), "more")
+    more = tables.keep(more_links.mapInArrow(lambda batches: _gathered(_with_links(batches), chunk_links), schema), "more")
 
     # the chunks of both tables bear a number each
     dealt = short.withColumn("long", F.lit(0)).unionByName(more.withColumn("long", F.lit(1)))

@@ -135,3 +135,17 @@ def test_fragments_are_a_monoid(tokenizers):
 def test_links_are_the_overlaps():
     run = Run(np.array([1, 2, 3]), np.array([2, 3, 1]), np.array([7, 8]), np.array([3, 3]))
     assert [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in run.links()] == [(1, 7), (2, 7), (2, 8), (3, 8)]
+
+
+def test_links_are_counted_as_they_come_and_not_held():
+    """What a chunk holds is its different pairs, not all links that it has seen."""
+    rng, tally, seen, most = np.random.default_rng(3), alignment.Tally(), [], 0
+    for _ in range(50):
+        own = rng.integers(0, 500, 100_000)
+        tally.add([own])
+        seen.append(own)
+        most = max(most, tally.waiting)
+    tally.fold()
+    pairs, counts = np.unique(np.concatenate(seen), return_counts=True)
+    assert tally.pairs.tolist() == pairs.tolist() and tally.counts.tolist() == counts.tolist()
+    assert tally.added == 5_000_000 and most < 2 * alignment.FOLDED
