@@ -1,7 +1,10 @@
 """Streaming state: documents that come in parts, sources that fall silent, and queries that end inside a batch."""
 
+import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +85,100 @@ def test_an_incomplete_document_leaves_when_its_wait_is_over(spark, blocks):
     assert run() == sorted(left + [(1, n, True) for n in range(3)])
 
 
+def test_a_batch_costs_state_by_shelves_and_not_by_blocks(spark, blocks):
+    """A call to the state costs more than the block it moves: 9,000 blocks of 3,000 open documents are no 9,000 calls."""
+    blocks.deliver([block(d, n, 4, text="short") for d in range(3000) for n in range(3)])
+    query = K.run_available(S.whole_documents(blocks.stream()), K.update_job(f"{blocks.path}/store"), f"{blocks.path}/checkpoint")
+    updated = sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.stateOperators)
+    assert 0 < updated <= 4 * 1024
+    blocks.deliver([block(d, 3, 4, text="short") for d in range(3000)])
+    K.run_available(S.whole_documents(blocks.stream()), K.update_job(f"{blocks.path}/store"), f"{blocks.path}/checkpoint")
+    rows = K.read_batches(spark, f"{blocks.path}/store", S.BLOCK)
+    assert rows.count() == rows.select("document_id", "position").distinct().count() == 12000
+
+
+class Held:
+    """State of one key in memory, with the timers that are set."""
+
+    def __init__(self):
+        self.values, self.timers, self.states = {}, set(), {}
+
+    def getMapState(self, name, *_):
+        own = self.states.setdefault(name, {})
+        return SimpleNamespace(getValue=own.get, updateValue=own.__setitem__, removeKey=own.__delitem__)
+
+    def getValueState(self, name, *_):
+        own = self.states.setdefault(name, {})
+        return SimpleNamespace(get=lambda: own.get(0), update=lambda v: own.__setitem__(0, v), clear=own.clear)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_documents_of_a_shelf_leave_as_each_alone_would(monkeypatch, seed):
+    """Random deliveries with repeats, unknown lengths and waits that end, against plain dictionaries."""
+    for name, value in (("PART", 300), ("HELD", (900, 5000)[seed % 2]), ("LEAST", 3), ("SENT", 4)):
+        monkeypatch.setattr(S, name, value)
+    draw, wait = random.Random(seed), 50
+    held = Held()
+    open_documents = S.OpenDocuments(timedelta(milliseconds=wait))
+    open_documents.init(held)
+    plain: dict[int, dict] = {}
+    sizes = {d: draw.choice([0, 1, 2, 5, 30]) for d in range(12)}
+    moment = watermark = left = 0
+    for step in range(120):
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)  # noqa: B023
+        rows = []
+        for _ in range(draw.randrange(25)):
+            document = draw.randrange(12)
+            rows.append((document, draw.randrange(1, 3), draw.randrange(max(1, sizes[document] // 2)), draw.choice([None, f"{step} " + "x" * draw.randrange(90)]), False, draw.choice([None, sizes[document]]), moment + draw.randrange(9)))
+        wanted = []
+        for document, page, position, text, is_table, blocks, at in rows:
+            own = plain.setdefault(document, {"blocks": {}, "wanted": -1})
+            own["blocks"][page, position] = (text, is_table)
+            own["wanted"] = own["wanted"] if blocks is None else blocks
+            own["newest"] = max(own["newest"] if own.get("step") == step else watermark, at)
+            own.update(step=step, due=own["newest"] + wait, left=False)
+        for document, own in list(plain.items()):
+            if own["step"] == step and 0 <= own["wanted"] <= len(own["blocks"]):
+                wanted += [(document, *place, *b, True) for place, b in own["blocks"].items()]
+                del plain[document]
+        names = ["document_id", "page", "position", "text", "is_table", "blocks", "moment"]
+        parts = [pd.DataFrame(rows[n : n + 7], columns=names) for n in range(0, len(rows), 7)]
+        got = [tuple(r) for f in (open_documents.handleInputRows((0,), iter(parts), clock) if rows else []) for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+        assert sorted(got, key=repr) == sorted(wanted, key=repr)
+        left += len(got)
+        moment += draw.choice([0, 3, 30])
+        watermark = max(watermark, moment - 10)
+        wanted = []
+        for document, own in list(plain.items()):
+            if own["due"] <= watermark and own["left"]:
+                del plain[document]
+            elif own["due"] <= watermark:
+                wanted += [(document, *place, *b, False) for place, b in own["blocks"].items()]
+                own.update(left=True, due=own["due"] + wait)
+        got = []
+        for timer in [t for t in held.timers if t <= watermark]:
+            held.timers.remove(timer)
+            for f in open_documents.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda: timer)):  # noqa: B023
+                got += [tuple(r) for r in f.astype(object).where(f.notna(), None).itertuples(index=False)]
+        assert sorted(got, key=repr) == sorted(wanted, key=repr)
+        assert len(held.timers) == bool(plain) and (not plain or min(held.timers) <= min(own["due"] for own in plain.values()))
+    assert left > 100
+    # when all have left, nothing is held
+    for _ in range(3):
+        watermark += 10 * wait
+        for timer in list(held.timers):
+            held.timers.remove(timer)
+            for _f in open_documents.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda: timer)):  # noqa: B023
+                pass
+    assert not held.timers and not any(held.states.values())
+
+
 EVENTS = "source string, ts timestamp"
 
 
