@@ -4,9 +4,10 @@ A window is 50 consecutive words. A word goes if a window covers it that also st
 
 Every window names an anchor: the 20-word run in it with the smallest hash. Equal windows have equal anchors, so windows
 whose anchor only one document holds have no partner and are left out. The others become pieces (the neighbouring
-windows of one anchor, with their words) that are dealt to shards by their anchor; all occurrences of a window meet in
-one shard. Each shard indexes its different pieces and streams them past the index by backward search, which reports
-for every window the smallest document that holds it. Shards have a bounded number of words, whatever the input.
+windows of one anchor, with their words as text, which compresses where word hashes do not) that are dealt to shards by
+their anchor; all occurrences of a window meet in one shard. Each shard numbers its words, indexes its different pieces
+and streams them past the index by backward search, which reports for every window the smallest document that holds it.
+Shards have a bounded number of words, whatever the input.
 
 Anchors in more than ``HOT`` documents would bring a shard a piece from each: their windows are dealt one by one by
 their own hash and met as one row per different window, however many documents hold it.
@@ -37,6 +38,17 @@ SHARD_WORDS = 200_000
 SEEN = 100_000
 
 
+class WordNumbers(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")]
 
@@ -83,9 +95,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         columns = [batch.column(c).to_pylist() for c in (*names, "text", "shared", "hot")]
         for *own, text, shared, hot in zip(*columns, strict=True):
-            hashes = held.of(words_in(text, lower=False))
-            if len(hashes) < WINDOW:
+            words = words_in(text, lower=False)
+            if len(words) < WINDOW:
                 continue
+            hashes = held.of(words)
             places, runs = anchors(hashes)
             turns = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
             ends = np.append(turns[1:], len(places))
@@ -96,9 +109,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, end = int(turns[at]), int(ends[at])
                 if busy[at]:
                     for s in range(start, end):
-                        add(own, s, 1, int(whole[s]), hashes[s : s + WINDOW].tobytes(), True)
+                        add(own, s, 1, int(whole[s]), b" ".join(words[s : s + WINDOW]), True)
                 else:
-                    add(own, start, end - start, int(key[at]), hashes[start : end + WINDOW - 1].tobytes(), False)
+                    add(own, start, end - start, int(key[at]), b" ".join(words[start : end + WINDOW - 1]), False)
         yield pa.RecordBatch.from_arrays(
             [pa.array(v, t) for v, t in zip(rows.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)],
             list(rows),
@@ -107,7 +120,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by shard; each shard is indexed and searched when it is complete."""
-    shard, digests, pieces, owners = None, [], [], []
+    shard, digests, pieces, owners, numbers = None, [], [], [], WordNumbers()
 
     def search() -> pa.RecordBatch:
         index = FMIndex(pieces, np.array(owners, np.int64), WINDOW)
@@ -118,10 +131,10 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, digest, words, owner in zip(*(batch.column(c).to_pylist() for c in ("shard", "digest", "words", "owner")), strict=True):
             if own != shard and pieces:
                 yield search()
-                digests, pieces, owners = [], [], []
+                digests, pieces, owners, numbers = [], [], [], WordNumbers()
             shard = own
             digests.append(digest)
-            pieces.append(np.frombuffer(words, np.uint64))
+            pieces.append(numbers.of(words.split()))
             owners.append(owner)
     if pieces:
         yield search()
@@ -146,7 +159,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for every row; the kept words are joined by one space."""
-    tables = Written(docs.sparkSession, "substrings")
+    tables = Written(docs.sparkSession, "substrings", tidy=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.select("doc_id", "text", *row_key())
     anchored = keyed.filter("doc_id IS NOT NULL").mapInArrow(_anchored, "doc_id long, k1 long, k2 int, anchors array<long>")

@@ -5,12 +5,15 @@ import random
 import re
 from collections import Counter, defaultdict
 import textwrap
+import time
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assayflow.llm import licenses, lines, minhash, rules, substrings
+from assayflow.llm.common import TIDY
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -208,6 +211,37 @@ def test_edge_windows_alone_in_their_piece(docs_of):
     assert not wrong, f"{len(wrong)} documents: {wrong[:10]}"
 
 
+def _shuffles_on_disk(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name.split("_")[1] for d in folders for f in Path(d.getPath()).glob("*/shuffle_*.data")}
+
+
+def test_substrings_keep_no_shuffle_files_of_written_steps(spark, docs_of, corpus):
+    """Only the count of words, a row a task, may stay: disk must not wait for the driver to collect its garbage."""
+    before, setting = _shuffles_on_disk(spark), spark.conf.get(TIDY)
+    rows = substrings.without_repeats(docs_of(corpus))
+    for _ in range(50):
+        if len(left := _shuffles_on_disk(spark) - before) <= 1:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1, f"{len(left)} shuffles stay"
+    assert spark.conf.get(TIDY) == setting
+    assert rows.count() == len(corpus)
+
+
+def test_pieces_carry_their_words_as_text():
+    """Text is compressed where it is shuffled and written; 64-bit hashes of words are not, and need eight bytes a word."""
+    draw = random.Random(5)
+    own = [f"w{draw.randint(0, 999)}" for _ in range(300)]
+    _, runs = substrings.anchors(substrings.WordHashes().of([w.encode() for w in own]))
+    every = runs.view("int64").tolist()
+    for hot in ([], every):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "k1": [1], "k2": pa.array([1], pa.int32()), "text": ["\n ".join(own)], "shared": [every], "hot": pa.array([hot], pa.list_(pa.int64()))})
+        pieces = [r for b in substrings._cut(iter([batch])) for r in b.to_pylist()]
+        assert sorted(r["start"] + k for r in pieces for k in range(r["windows"])) == list(range(251))
+        assert all(r["words"].decode() == " ".join(own[r["start"] : r["start"] + r["windows"] + 49]) for r in pieces)
+
+
 def test_licence_texts_match_in_any_spelling(docs_of):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and "hereby" in t)
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + mit.upper()), (2, mit.replace("sublicense", "sub" + "licence").replace(", ", " -- ")), (3, "Some text.\nReleased under the M.I.T. Licence"), (4, "Some text.\n  ** Released under the MIT Licence!!\nMore."), (5, None), (6, ""), (7, "(c) All"), (None, "Licensed under CC BY-NC 4.0.")]
